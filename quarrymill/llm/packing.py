@@ -52,8 +52,8 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 1, c
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch), strict=True):
-                    ids = encoder.encode(text) + end
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(_texts(batch)), strict=True):
+                    ids += end
                     n, start = len(ids) // 4, 0
                     for length in cut_lengths(n, capacity, tail):
                         rows.append((doc_id, start, length, n, ids[4 * start : 4 * (start + length)], worker, numbers[length]))

@@ -7,10 +7,12 @@ Words repeat, so each Python worker keeps a bounded memo from word to ids.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,20 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize, shuffle_partitions, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words of each of the memo's two generations, and the longest word that it keeps.
 MEMO_WORDS = 400_000
 MEMO_WORD_BYTES = 64
+#: Unknown words that are encoded as one string.
+JOINED = 256
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian uint32 bytes; the memo never holds over MEMO_WORDS words."""
+    """Ids of texts as little-endian uint32 bytes.
+
+    The memo has two generations of at most MEMO_WORDS words: when the young one is full it
+    becomes the old one, and words looked up there move back.
+    """
 
     def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,7 +46,14 @@ class WordEncoder:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.memo: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.vocabulary_size = max(vocabulary.values()) + 1
+        self.ends_word = np.zeros(self.vocabulary_size, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        normalizer = str(json.loads(self.tokenizer.to_str())["normalizer"])
+        self.lowers, self.joins = "Lowercase" in normalizer, bool(self.ends_word.any())
 
     @classmethod
     def get(cls, tokenizer: str) -> WordEncoder:
@@ -45,22 +61,73 @@ class WordEncoder:
             _encoders[tokenizer] = cls(tokenizer)
         return _encoders[tokenizer]
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _parts(self, word: str) -> int:
+        """Pre-tokens of a word where they are plain to see, else 0: letters, maybe with one mark after them."""
+        stem = word[:-1] if word[-1] in ".,;:!?" else word
+        plain = stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha() and max(stem) < "\u3000"
+        return 1 + (stem is not word) if plain and stem.isalpha() else 0
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Plain words go to the tokenizer many at a time and are parted at word-end tokens."""
+        out: list[bytes] = [b""] * len(words)
+        texts = [w.decode() for w in words]
+        parts = [self._parts(t) if self.joins else 0 for t in texts]
+        plain = [k for k, p in enumerate(parts) if p]
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        single = [k for k, p in enumerate(parts) if not p]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            last = np.cumsum([parts[k] for k in group])
+            if len(ends) != last[-1]:
+                single += group
+                continue
+            stops, data, begin = (4 * ends[last - 1]).tolist(), ids.tobytes(), 0
+            for k, stop in zip(group, stops, strict=True):
+                out[k] = data[begin:stop]
+                begin = stop
+        if single:
+            for k, encoded in zip(single, self.tokenizer.encode_batch_fast([texts[k] for k in single], add_special_tokens=False), strict=True):
+                out[k] = np.array(encoded.ids, "<u4").tobytes()
+        return out
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        memo = self.memo
-        unknown = [w for w in set(words) if w not in memo]
-        if not unknown:
-            return b"".join([memo[w] for w in words])
-        found = dict(zip(unknown, self._ids(unknown), strict=True))
-        out = b"".join([memo[w] if w in memo else found[w] for w in words])
-        if len(memo) + len(found) > MEMO_WORDS:
-            memo.clear()
-        memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_WORD_BYTES)
-        return out
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Ids of each text; texts are taken a few megabytes at a time."""
+        waiting: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            if self.lowers and b"<|" not in text:  # the names of special tokens keep their case
+                text = text.lower()
+            waiting.append(text.split())
+            size += len(text)
+            if size > 2_000_000:
+                yield from self._encode_split(waiting)
+                waiting, size = [], 0
+        yield from self._encode_split(waiting)
+
+    def _encode_split(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        words = set().union(*texts)
+        young, old = self.young, self.old
+        unknown = []
+        now: dict[bytes, bytes] = {}
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    unknown.append(w)
+                    continue
+                young[w] = ids
+            now[w] = ids
+        now.update(zip(unknown, self._encode_words(unknown), strict=True))
+        young.update((w, now[w]) for w in unknown if len(w) <= MEMO_WORD_BYTES)
+        if len(young) > MEMO_WORDS:
+            self.old, self.young = young, {}
+        for text in texts:
+            yield b"".join([now[w] for w in text])
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
@@ -79,12 +146,12 @@ def _shard_name(shard: int) -> str:
 class ShardWriter:
     """One Arrow stream file of equal-length sequences, written batch by batch.
 
-    Columns: ``input_ids`` (uint32) and ``mask`` (uint8, 0 for padding), both fixed-size
-    lists of ``seq_len``. It is written under a temporary name and renamed when complete,
+    Columns: ``input_ids`` (uint16 where the vocabulary allows, else uint32) and ``mask``
+    (boolean, false for padding), both fixed-size lists of ``seq_len``. It is written under a temporary name and renamed when complete,
     so a lost or repeated task never leaves half a file.
     """
 
-    def __init__(self, folder: str, shard: int, seq_len: int, batch_rows: int):
+    def __init__(self, folder: str, shard: int, seq_len: int, batch_rows: int, vocabulary_size: int):
         from pyarrow import fs
 
         self.fs, root = fs.FileSystem.from_uri(folder)
@@ -92,7 +159,8 @@ class ShardWriter:
         self.final = f"{root}/{_shard_name(shard)}"
         self.temporary = f"{self.final}.{os.getpid()}.{os.urandom(4).hex()}.tmp"
         self.seq_len, self.batch = seq_len, seq_len * batch_rows
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+        self.kind = np.uint16 if vocabulary_size <= 1 << 16 else np.uint32
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(self.kind), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.sink = self.fs.open_output_stream(self.temporary)
         self.writer = pa.ipc.new_stream(self.sink, self.schema)
         self.waiting: list[np.ndarray] = []
@@ -100,16 +168,15 @@ class ShardWriter:
 
     def _write(self, ids: np.ndarray) -> None:
         room = -len(ids) % self.seq_len
-        mask = np.ones(len(ids) + room, np.uint8)
-        mask[len(ids) :] = 0
-        ids = np.concatenate([ids, np.zeros(room, np.uint32)]) if room else ids
+        mask = np.arange(len(ids) + room) < len(ids)
+        ids = np.concatenate([ids, np.zeros(room, self.kind)]) if room else ids
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, ids: np.ndarray) -> int:
         """Append ids; returns where in the shard they begin."""
         begin = self.total
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind))
         self.n_waiting += len(ids)
         self.total += len(ids)
         if self.n_waiting >= self.batch:
@@ -142,20 +209,20 @@ class ShardReader:
         self.seq_len = self.batches[0].schema.field("input_ids").type.list_size if self.batches else 1
         self.per_batch = len(self.batches[0]) * self.seq_len if self.batches else 1
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the k-th sequence, both views of the file's bytes."""
         batch, row = divmod(k * self.seq_len, self.per_batch)
         part = slice(row, row + self.seq_len)
-        return self._flat(batch, "input_ids")[part], self._flat(batch, "mask")[part]
+        return self._ids(batch)[part], self.batches[batch].column("mask").flatten()[part]
 
-    def _flat(self, batch: int, name: str) -> np.ndarray:
-        return self.batches[batch].column(name).flatten().to_numpy(zero_copy_only=True)
+    def _ids(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column("input_ids").flatten().to_numpy(zero_copy_only=True)
 
     def pieces(self, begin: int, length: int) -> Iterator[np.ndarray]:
         """Views of ids begin..begin+length of the shard, without padding."""
         while length > 0:
             batch, at = divmod(begin, self.per_batch)
-            view = self._flat(batch, "input_ids")[at : at + length]
+            view = self._ids(batch)[at : at + length]
             yield view
             begin, length = begin + len(view), length - len(view)
 
@@ -190,10 +257,10 @@ def write_token_files(
         for batch in batches:
             if not len(batch):
                 continue
-            writer = writer or ShardWriter(folder, shard, seq_len, batch_rows)
+            writer = writer or ShardWriter(folder, shard, seq_len, batch_rows, encoder.vocabulary_size)
             starts, sizes = [], []
-            for text in _texts(batch):
-                ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+            for data in encoder.encode_all(_texts(batch)):
+                ids = np.frombuffer(data + end, "<u4")
                 starts.append(writer.add(ids))
                 sizes.append(len(ids))
             yield pa.RecordBatch.from_arrays(
@@ -225,7 +292,7 @@ def read_token_files(folder: str, index: DataFrame) -> DataFrame:
                         open_shards.popitem(last=False)
                 crc = 0
                 for view in open_shards[shard].pieces(begin, length):
-                    crc = zlib.crc32(view.astype("<u4", copy=False).tobytes(), crc)
+                    crc = zlib.crc32(view.astype("<u4"), crc)
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64())], names=[*batch.schema.names, "ids_crc32"])
 
@@ -241,7 +308,7 @@ def with_token_count(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.get(tokenizer)
         for batch in batches:
-            sizes = pa.array([len(encoder.encode(x)) // 4 for x in _texts(batch)], pa.int64())
+            sizes = pa.array([len(x) // 4 for x in encoder.encode_all(_texts(batch))], pa.int64())
             yield pa.RecordBatch.from_arrays([sizes], names=["n_tokens"])
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(count, "n_tokens long")

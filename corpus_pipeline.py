@@ -5,24 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import packing
+from quarrymill.llm import decontaminate, packing, quality, simhash, suffix_dedup
 from quarrymill.llm.common import materialize, table
 
 ORACLE_SQL = None  # models, fingerprints and tokenizers are beyond SQL; tests hold it against brute force
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs.select(*COLUMNS), model).where(quality.predicted() == 1).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the smallest id."""
+    first = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"))
+    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur earlier; a document of which nothing is left goes."""
+    kept = suffix_dedup.remove_repeats(docs, as_text=True).where("n_removed < n_bytes or n_bytes = 0")
+    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "turn", "doc_id", F.col("kept").alias("text"))
+    others = suffix_dedup.numbered_rows(docs, "lang", "source").drop("text")
+    return kept.join(others, ["doc", "turn"]).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold benchmark passages."""
+    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=COLUMNS)
+    return judged.where(~decontaminate.is_contaminated()).select("carried.*")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left: one row per piece."""
     packed = packing.pack_documents(docs)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", drop_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between them the rows are written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

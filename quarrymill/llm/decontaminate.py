@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import materialize, text_or_empty
 from .tokens import _texts
@@ -111,16 +112,19 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spans: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spans: bool = False, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted array of item ids).
 
     With ``spans``, also spans: code point ranges of the hit passages in the original text.
+    ``carry`` names columns of docs to hand through in a struct named carried.
     A null text has no words; a null item text is no item; a null item_id reads "null".
     Rows with equal doc_id are judged one by one, equal item ids count once. Empty
     benchmark: nothing is hit. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    schema = "doc_id long, n_words long, n_hit long, items array<string>" + ", spans array<struct<begin: int, end: int>>" * spans
+    carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), carried.alias("carried"))
+    schema = _schema(docs, spans)
 
     def judge(key: str, items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +141,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spa
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=["doc_id", "n_words", "n_hit", "items", "spans"][: 4 + spans]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=schema.names)
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
 
     packed = [pickle.dumps(block) for block in _blocks(benchmark)]
     if len(packed) <= 1:
         data = packed[0] if packed else pickle.dumps([])
-        return judge(hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data))
-    return _in_blocks(docs, packed, size, spans)
+        found = judge(hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data))
+    else:
+        found = _in_blocks(docs, packed, size, spans)
+    return found if carry else found.drop("carried")
+
+
+def _schema(docs: DataFrame, spans: bool) -> StructType:
+    hit = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
+    out = StructType([docs.schema["doc_id"], docs.schema["carried"], StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
+    return out.add("spans", ArrayType(hit)) if spans else out
 
 
 def _in_blocks(docs: DataFrame, packed: list[bytes], size: int, spans: bool) -> DataFrame:
@@ -157,7 +167,7 @@ def _in_blocks(docs: DataFrame, packed: list[bytes], size: int, spans: bool) ->
     the documents, so the runs of several blocks merge exactly.
     """
     sc = docs.sparkSession.sparkContext
-    have = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.array().cast("array<string>").alias("items")), "scan")
+    have = materialize(docs.select("doc_id", "text", F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.array().cast("array<string>").alias("items"), "carried"), "scan")
     for data in packed:
         key, shared = hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data)
 
@@ -169,29 +179,30 @@ def _in_blocks(docs: DataFrame, packed: list[bytes], size: int, spans: bool) ->
                     more, found = finder.scan(words_of(text))
                     runs[k] = runs[k] + [{"a": a, "b": b} for a, b in more]
                     items[k] = sorted({*items[k], *found})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, batch.schema.field(2).type), pa.array(items, batch.schema.field(3).type)], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, batch.schema.field(2).type), pa.array(items, batch.schema.field(3).type), batch.column(4)], schema=batch.schema)
 
         have = materialize(have.mapInArrow(add, have.schema), "scan")
 
-    schema = "doc_id long, n_words long, n_hit long, items array<string>" + ", spans array<struct<begin: int, end: int>>" * spans
+    schema = _schema(docs, spans)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, runs, items in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(3 + spans)]
+            for text, runs, items in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for r in sorted(runs, key=lambda r: (r["a"], r["b"])):
                     if merged and r["a"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], r["b"])
                     else:
                         merged.append([r["a"], r["b"]])
-                row = {"doc_id": doc_id, "n_words": len(words_of(text)), "n_hit": sum(b - a for a, b in merged), "items": items}
+                row = [len(words_of(text)), sum(b - a for a, b in merged), items]
                 if spans:
                     where = word_spans(text.decode()) if merged else []
-                    row["spans"] = [{"begin": where[a][0], "end": where[b - 1][1]} for a, b in merged]
-                rows.append(row)
-            kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds[: 4 + spans]))
+                    row.append([{"begin": where[a][0], "end": where[b - 1][1]} for a, b in merged])
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=schema.names)
 
     return have.mapInArrow(close, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, simhash, suffix_dedup, tokens
+from . import chat, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
 from .common import table
 
 
@@ -35,22 +35,44 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = weighted_sampling
+    return w.fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        w.as_text(F.col("sig")).alias("fingerprint"), w.as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        w.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), w.likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_limits(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_simhash": op5_simhash,
+    "op6_weighted_sampling": op6_weighted_sampling,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_chat_perspectives": op8_chat_perspectives,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.ROTATE_SQL}

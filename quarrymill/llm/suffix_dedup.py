@@ -307,13 +307,13 @@ def _mark_repeats(width: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc, turn, text: turn tells rows of one doc_id apart, in text order; the ids are only counted where all differ."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+def numbered_rows(docs: DataFrame, *extra: str) -> DataFrame:
+    """doc (the id, null as the least long), turn, text and extra columns: turn tells rows of one doc_id apart, in text order; the ids are only counted where all differ."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *extra)
     repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count()
     if not repeated:
-        return rows.select("doc", F.lit(0).alias("turn"), "text")
-    return rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("turn"), "text")
+        return rows.select("doc", F.lit(0).alias("turn"), "text", *extra)
+    return rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("turn"), "text", *extra)
 
 
 def removals(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -340,42 +340,48 @@ def removals(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
     return compared.where(~F.col("candidate")).select("doc", "turn", "begin", "finish").union(found).union(known)
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))]
-    for whole in batches:
-        for at in range(0, len(whole), 500):
-            batch = whole.slice(at, 500)
-            out: list[list] = [[] for _ in names]
-            for doc, text, ranges in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for r in sorted(ranges or [], key=lambda r: r["begin"]):
-                    if merged and r["begin"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["finish"])
-                    else:
-                        merged.append([r["begin"], r["finish"]])
-                kept, last = [], 0
-                for a, b in merged:
-                    kept.append(text[last:a])
-                    last = b
-                kept.append(text[last:])
-                removed = [{"begin": a, "finish": b} for a, b in merged]
-                row = (None if doc == _NULL_ID else doc, len(text), sum(b - a for a, b in merged), len(merged), b"".join(kept), removed)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+def _apply(as_text: bool):
+    kept_type = pa.string() if as_text else pa.binary()
+    names = ["doc_id", "turn", "n_bytes", "n_removed", "n_spans", "kept", "removed"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), kept_type, pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                out: list[list] = [[] for _ in names]
+                for doc, turn, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
+                    merged: list[list[int]] = []
+                    for r in sorted(ranges or [], key=lambda r: r["begin"]):
+                        if merged and r["begin"] <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], r["finish"])
+                        else:
+                            merged.append([r["begin"], r["finish"]])
+                    parts, last = [], 0
+                    for a, b in merged:
+                        parts.append(text[last:a])
+                        last = b
+                    kept = b"".join([*parts, text[last:]])
+                    removed = [{"begin": a, "finish": b} for a, b in merged]
+                    row = (None if doc == _NULL_ID else doc, turn, len(text), sum(b - a for a, b in merged), len(merged), kept.decode(errors="ignore") if as_text else kept, removed)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    return run
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes), removed (byte ranges).
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, turn, n_bytes, n_removed, n_spans, kept (bytes), removed (byte ranges).
 
     Null text counts as empty. A null doc_id comes before all others; rows with equal doc_id
-    count as documents of their own in the order of their texts. Texts shorter than
-    ``width`` bytes lose nothing. Other columns are ignored. Empty table: no row. Kept bytes
-    may begin or end inside a character where only part of it repeats.
+    count as documents of their own in the order of their texts, and turn (0, 1, ...) tells
+    them apart. Texts shorter than ``width`` bytes lose nothing. Other columns are ignored.
+    Empty table: no row. Kept bytes may begin or end inside a character where only part of
+    it repeats; with ``as_text``, kept is a string without such parts.
     """
-    numbered = _numbered(docs)
+    numbered = numbered_rows(docs)
     ranges = removals(numbered, width).groupBy("doc", "turn").agg(F.collect_list(F.struct("begin", "finish")).alias("ranges"))
-    joined = numbered.join(ranges, ["doc", "turn"], "left").select("doc", "text", "ranges")
-    return joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin: long, finish: long>>")
-
+    joined = numbered.join(ranges, ["doc", "turn"], "left").select("doc", "turn", "text", "ranges")
+    kept = "string" if as_text else "binary"
+    return joined.mapInArrow(_apply(as_text), f"doc_id long, turn int, n_bytes long, n_removed long, n_spans long, kept {kept}, removed array<struct<begin: long, finish: long>>")

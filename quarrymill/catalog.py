@@ -1,10 +1,6 @@
-"""Registry of the queries and of their DuckDB counterparts."""
+"""All queries and their DuckDB counterparts; importing the plan modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import relational, scalars, search, streams, timelines, vectors  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

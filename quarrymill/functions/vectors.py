@@ -22,7 +22,11 @@ def unit(a: Column) -> Column:
 
 def fused(parts: list[tuple[float, Column]]) -> Column:
     """One vector whose dot product is the weighted sum of the parts' dot products."""
-    return F.concat(*[F.transform(v, lambda x, w=w: x.cast("double") * float(w) ** 0.5) for w, v in parts])
+
+    def scaled(v: Column, by: float) -> Column:
+        return F.transform(v, lambda x: x.cast("double") * by)
+
+    return F.concat(*[scaled(v, float(w) ** 0.5) for w, v in parts])
 
 
 def two_signal_distance(dot_a: Column, dot_b: Column, weight: float = 0.7) -> Column:

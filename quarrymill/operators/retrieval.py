@@ -19,7 +19,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text"
     """
     terms = sorted(set(_query_tokens(query)))
     counts = docs.select(F.col(id_col), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    counts = counts.select(id_col, F.size("tokens").alias("length"), *[F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{k}") for k, w in enumerate(terms)])
+    counts = counts.select(id_col, F.size("tokens").alias("length"), *[_count_of(w).alias(f"tf{k}") for k, w in enumerate(terms)])
     stats = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     score: Column = F.lit(0.0)
     for k in range(len(terms)):
@@ -29,6 +29,10 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text"
     return counts.crossJoin(F.broadcast(stats)).select(id_col, score.alias("bm25"))
 
 
+def _count_of(term: str) -> Column:
+    return F.size(F.filter("tokens", lambda t: t == F.lit(term)))
+
+
 def _query_tokens(query: str) -> list[str]:
     import re
 

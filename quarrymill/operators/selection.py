@@ -36,7 +36,7 @@ def round_robin(df: DataFrame, order: list[str], shards: int) -> DataFrame:
 
 def _one_group(df: DataFrame, f, schema: str) -> DataFrame:
     """Run a sequential choice over rows that the caller has bounded."""
-    return df.groupBy(F.lit(1)).applyInPandas(lambda g: f(g), schema)
+    return df.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda g: f(g.drop(columns="_all")), schema)
 
 
 def balanced_quota(scores: DataFrame, id_col: str, query: str, score: str, total: int, queries: list[str]) -> DataFrame:
@@ -79,6 +79,7 @@ def unique_top(scores: DataFrame, id_col: str, group: str, score: str, n: int) -
     if len(groups) > 1000:
         raise ValueError("over 1,000 groups; they are served one after another")
     pool = top_per(scores, [group], [F.desc(score), F.asc(id_col)], n * max(len(groups), 1))
+    columns = scores.columns
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         taken: set = set()
@@ -87,7 +88,7 @@ def unique_top(scores: DataFrame, id_col: str, group: str, score: str, n: int) -
             free = part[~part[id_col].isin(taken)].head(n)
             taken.update(free[id_col])
             kept.append(free)
-        return pd.concat(kept)[list(scores.columns)] if kept else g[list(scores.columns)]
+        return pd.concat(kept)[columns] if kept else g[columns]
 
     return _one_group(pool, choose, scores.schema)
 

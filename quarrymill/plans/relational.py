@@ -15,7 +15,7 @@ from ..operators import selection as S
 from ..sources.tables import last_wins, only_keys, table
 from .registry import query
 
-_EV = """SELECT event_id, user_id, event_type, value, epoch(ts)::BIGINT AS t, (epoch(ts)::BIGINT // 3600) AS hour FROM events"""
+_EV = """SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS t, epoch_us(ts) // 3600000000 AS hour FROM events"""
 
 
 def _events(spark, sf_dir):
@@ -291,7 +291,7 @@ def catalogue_counts(spark, sf_dir):
 # --------------------------------------------------------- selection and sets
 
 
-@query("""SELECT l_returnflag, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_quantity >= 4) WHERE rank <= 5""")
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_quantity >= 4) WHERE rank <= 5""")
 def topn_per_label(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where("l_quantity >= 4").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
     return S.top_per(li, ["l_returnflag"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 5).drop("l_extendedprice")

@@ -9,7 +9,7 @@ from ..operators import sequences as Q
 from ..sources.tables import table
 from .registry import query
 
-_E = """e AS (SELECT event_id, user_id, event_type, value, epoch(ts)::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events)"""
+_E = """e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame FROM events)"""
 
 
 def frames(spark, sf_dir):
@@ -93,7 +93,7 @@ def interpolate_or_hold(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT c_custkey, (c_custkey % 200)::DOUBLE AS d FROM customer), w AS (SELECT c_custkey, d, unnest(range(0, 100)) AS k FROM c)
-SELECT c_custkey, 8.0 + k * 15.0 AS start, 8.0 + k * 15.0 + 20.0 AS "end" FROM w WHERE 8.0 + k * 15.0 + 20.0 <= d""")
+SELECT c_custkey, (8.0 + k * 15.0)::DOUBLE AS start, (8.0 + k * 15.0 + 20.0)::DOUBLE AS "end" FROM w WHERE 8.0 + k * 15.0 + 20.0 <= d""")
 def scan_windows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 200).cast("double").alias("d"))
     return Q.scan_windows(c, "d", 20.0, 15.0).drop("d")
@@ -108,7 +108,7 @@ def sliding_excerpts(spark, sf_dir):
 
     f = frames(spark, sf_dir)
     n = f.groupBy("user_id").agg(F.max("frame").alias("n"))
-    starts = n.select("user_id", F.explode(Q.excerpt_starts(F.col("n"), 10, 4)).cast("long").alias("start"))
+    starts = n.select("user_id", F.explode(Q.excerpt_starts(F.col("n"), 10, 4)).alias("start")).withColumn("start", F.col("start").cast("long"))
     inside = starts.join(f, "user_id").where("frame > start and frame <= start + 10")
     return first_seen_majority(inside, ["user_id", "start"], "event_type", "frame").select("user_id", "start", F.col("majority").alias("label"), "votes", F.col("total").alias("rows"))
 

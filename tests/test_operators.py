@@ -128,7 +128,7 @@ def test_sources(spark, tmp_path):
     assert rows(X.delimited(spark, f"file://{csv}")) == [("1", "4.5"), ("2", None)]
     X.write_table(spark.range(3), f"file://{tmp_path}/t")
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 3
-    assert X.file_digests(spark, f"file://{csv}").first().bytes == 25
+    assert X.file_digests(spark, f"file://{csv}").first().bytes == 24
     assert X.newest_file(spark, f"file://{tmp_path}/*.json*", r"/(\w)\.jsonl?$").count() == 2
 
 

@@ -1,7 +1,7 @@
 """Every registered query of the reference's operators: against DuckDB where there is SQL, else it must give rows."""
 
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from quarrymill import catalog
 

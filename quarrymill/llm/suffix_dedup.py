@@ -35,6 +35,8 @@ CHUNK = 1 << 20
 FOLD_ROWS = 400_000
 #: Segment bytes of one suffix array, and of one key before it is dealt by windows.
 BLOCK_BYTES = 2_000_000
+#: Large keys up to which they are broadcast to their segments; beyond, a shuffle join.
+BROADCAST_KEYS = 100_000
 _NULL_ID = -(1 << 63)
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _tables: dict[str, np.ndarray] = {}
@@ -326,7 +328,9 @@ def removals(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
     compared = materialize(compared, "segments")
     candidates = compared.where("candidate")
     large = candidates.groupBy("key").agg(F.sum(F.col("finish") - F.col("begin")).alias("size")).where(F.col("size") > BLOCK_BYTES).select("key", F.lit(True).alias("large"))
-    candidates = candidates.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    large = materialize(large, "large-keys")
+    few = large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    candidates = candidates.join(F.broadcast(large) if few else large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     per_doc = candidates.groupBy("doc", "turn").agg(F.collect_list(F.struct("key", "large", "begin", "finish")).alias("segments"))
     cut = numbered.join(per_doc, ["doc", "turn"]).select("doc", "turn", "text", "segments").mapInArrow(_cut_bytes, "key long, large boolean, doc long, turn int, begin long, data binary")
     cut = materialize(cut, "segment-bytes")

@@ -315,8 +315,8 @@ def with_token_count(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Exact histogram: n_tokens, n_docs; one row per distinct encoded length."""
-    return with_token_count(docs, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """Exact histogram: n_tokens, n_docs; one row per distinct encoded length. It is written out, so texts are encoded once however often it is read."""
+    return materialize(with_token_count(docs, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
 
 
 def context_limits(histogram: DataFrame, block: int = 1024) -> DataFrame:

@@ -19,7 +19,7 @@ from .tokens import _texts
 
 # fixed values: the HTML element names of each kind
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu figcaption label".split())
+DROPPED = set("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu label".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul".split())
 CONTAINER = set("article body center details div main section td blockquote".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
@@ -27,8 +27,9 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
-_WORDS_OF_JUNK = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer foot header hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget warning alert"
+_WORDS_OF_JUNK = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer foot hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget warning alert"
 JUNK = re.compile(rf"(?:^|[^a-z])(?:{'|'.join(_WORDS_OF_JUNK.split())})(?:$|[^a-z])")
+HEADER = re.compile(r"(?:^|[^a-z])header(?:$|[^a-z])")
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text)(?:$|[^a-z])")
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 SPACE = re.compile(r"\s+")
@@ -131,7 +132,8 @@ def _prune(root: Node) -> None:
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                if _junk(child) or child.tag == "header" and not _inside(node, {"article", "main"}):
+                page_header = child.tag == "header" or HEADER.search(_named(child.attrs))
+                if _junk(child) or page_header and not _inside(node, {"article", "main"}) and not GOOD.search(_named(node.attrs)):
                     continue
                 stack.append(child)
             kept.append(child)

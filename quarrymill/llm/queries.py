@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
+from . import chat, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
 from .common import table
 
 
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op8_chat_perspectives": chat.ROTATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL}

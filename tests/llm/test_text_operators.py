@@ -37,6 +37,7 @@ def test_page_keeps_the_article_only():
         ("", ""), ("<p>Only one.</p>", "Only one."), ("plain words", "plain words"), ("<nav>menu</nav>", ""), ("<script>x</script>", ""),
         ("<article><p>a  b\n\tc</p><p>&lt;d&gt;</p></article>", "a b c <d>"), ("<article><p>one<br>two</p></article>", "one two"),
         ("<body><article><h1>T</h1><p><b>bold open<br><p>next</p></article><footer>f</footer></body>", "T bold open next"),
+        ('<body><div class="page-header"><p>Site, name, and, slogan</p></div><div class="content"><div class="post-header"><h1>T</h1></div><p>Body, text, that is long enough.</p><figure><figcaption>Caption</figcaption></figure></div></body>', "T Body, text, that is long enough. Caption"),
         ("<table><tr><td>left cell text, long<td>right cell text, long</table>", "left cell text, long right cell text, long"),
     ],
 )

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import quality_checks, relational, scalars, search, streams, timelines, vectors  # noqa: F401
+from .plans import identities, quality_checks, relational, scalars, search, streams, timelines, vectors  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -377,7 +377,8 @@ def stratified_sample(spark, sf_dir):
     return S.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 5)
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey, count(*) AS h FROM orders WHERE o_totalprice > 300000 GROUP BY 1), f AS (SELECT o.*, coalesce(h, 0) + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS turn FROM orders o LEFT JOIN c USING (o_custkey) WHERE NOT o_totalprice > 300000)
+SELECT o_orderkey, o_custkey, o_totalprice FROM f ORDER BY turn, o_totalprice DESC, o_orderkey LIMIT 25""")
 def diversity_fill(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return S.fill_by_diversity(o, o.where("o_totalprice > 300000"), "o_orderkey", "o_custkey", "o_totalprice", 25)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import groupby
+from math import dist
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,20 +37,33 @@ def pressure_edges(nodes: DataFrame, frame: list[str], node: str, x: str, y: str
 def spanning_tree(nodes: DataFrame, frame: list[str], node: str, x: str, y: str) -> DataFrame:
     """Prim's tree of each frame from its smallest node; of equal distances the earlier connected node, then the smaller one."""
 
-    def tree(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(node)
-        ids, pts = g[node].to_numpy(), g[[x, y]].to_numpy(float)
-        inside, rest, rows = [0], list(range(1, len(ids))), []
-        while rest:
-            far = np.hypot(*(pts[inside][:, None] - pts[rest][None]).transpose(2, 0, 1))
-            i, j = np.unravel_index(int(far.argmin()), far.shape)
-            rows.append((*g[frame].iloc[0], ids[inside[i]], ids[rest[j]], float(far[i, j])))
-            inside.append(rest.pop(j))
+    buckets = 16 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def trees(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([*frame, node])
+        rows: list[tuple] = []
+        for key, part in groupby(zip(*(g[c].tolist() for c in (*frame, node, x, y)), strict=True), lambda r: r[: len(frame)]):
+            points = [r[len(frame) :] for r in part]
+            # for every node outside: its distance to the tree, and the tree's node at that distance
+            near = {k: (dist(points[0][1:], points[k][1:]), 0) for k in range(1, len(points))}
+            joined = [0]
+            place = {0: 0}
+            while near:
+                k = min(near, key=lambda k: (near[k][0], place[near[k][1]], k))
+                length, parent = near.pop(k)
+                rows.append((*key, points[parent][0], points[k][0], length))
+                place[k] = len(joined)
+                joined.append(k)
+                for j, (d, _) in near.items():
+                    new = dist(points[k][1:], points[j][1:])
+                    if new < d:
+                        near[j] = (new, k)
         return pd.DataFrame(rows, columns=[*frame, "a", "b", "distance"])
 
     kind = nodes.schema[node].dataType.simpleString()
-    keys = ", ".join(f"{f} {nodes.schema[f].dataType.simpleString()}" for f in frame)
-    return nodes.select(*frame, node, x, y).groupBy(*frame).applyInPandas(tree, f"{keys}, a {kind}, b {kind}, distance double")
+    types = ", ".join(f"{f} {nodes.schema[f].dataType.simpleString()}" for f in frame)
+    dealt = nodes.select(*frame, node, x, y).withColumn("_bucket", F.pmod(F.xxhash64(*frame), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInPandas(trees, f"{types}, a {kind}, b {kind}, distance double")
 
 
 def medoid_by_sum(df: DataFrame, keys: list[str], id_col: str, vector: str) -> DataFrame:

@@ -15,11 +15,13 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text"
     """id, bm25 of every document for the distinct terms of a query (0 where none occurs).
 
     One pass counts the query's terms in each document and drops the text; document
-    frequencies and the mean length are one aggregated row beside it.
+    frequencies and the mean length are one aggregated row beside it. The counts (a few
+    numbers a document) are dealt by id, so that this one exchange serves both uses and no
+    text is split twice.
     """
     terms = sorted(set(_query_tokens(query)))
     counts = docs.select(F.col(id_col), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    counts = counts.select(id_col, F.size("tokens").alias("length"), *[_count_of(w).alias(f"tf{k}") for k, w in enumerate(terms)])
+    counts = counts.select(id_col, F.size("tokens").alias("length"), *[_count_of(w).alias(f"tf{k}") for k, w in enumerate(terms)]).repartition(id_col)
     stats = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     score: Column = F.lit(0.0)
     for k in range(len(terms)):

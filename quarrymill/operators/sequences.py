@@ -135,22 +135,41 @@ def step_frames(start: Column, end: Column, step: int) -> Column:
 # -------------------------------------------------------- sequential by nature
 
 
+def per_key(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
+    """Run a pandas function on every key's rows, many keys to a call.
+
+    Keys are dealt into buckets by hash, sixteen to a shuffle partition, so a call's rows
+    grow with the partition size that the session sets and small keys cost little each.
+    """
+    buckets = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([f(part) for _, part in g.drop(columns="_bucket").groupby(keys, sort=False, dropna=False)])
+
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, schema)
+
+
 def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
     """One-to-one matches per key by falling score; of equal scores the higher left, then right number goes first.
 
     A key is one frame: its pairs are as many as boxes can overlap in a picture.
     """
 
+    buckets = 16 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, left, right], ascending=False, kind="stable")
+        g = g.drop(columns="_bucket").sort_values([score, left, right], ascending=False, kind="stable")
+        frame = g.groupby(keys, sort=False, dropna=False).ngroup()
         used_l, used_r, kept = set(), set(), []
-        for k, a, b in zip(g.index, g[left], g[right], strict=True):
-            if a not in used_l and b not in used_r:
-                used_l.add(a), used_r.add(b), kept.append(k)
-        return g.loc[kept]
+        for f, a, b in zip(frame, g[left], g[right], strict=True):
+            free = (f, a) not in used_l and (f, b) not in used_r
+            kept.append(free)
+            if free:
+                used_l.add((f, a)), used_r.add((f, b))
+        return g[kept]
 
     chosen = pairs.where(F.col(score) >= least).select(*keys, left, right, score)
-    return chosen.groupBy(*keys).applyInPandas(match, chosen.schema)
+    return chosen.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(match, chosen.schema)
 
 
 def best_path(points: DataFrame, keys: list[str], frame: str, x: str, y: str, confidence: str, diagonal: float, beam: int = 20, gap_limit: int = 8) -> DataFrame:
@@ -184,7 +203,7 @@ def best_path(points: DataFrame, keys: list[str], frame: str, x: str, y: str, co
         return g.loc[chain[::-1]]
 
     chosen = points.select(*keys, frame, x, y, confidence)
-    return chosen.groupBy(*keys).applyInPandas(walk, chosen.schema)
+    return per_key(chosen, keys, walk, chosen.schema)
 
 
 def spaced_best(df: DataFrame, keys: list[str], frame: str, quality: str, apart: int, most: int) -> DataFrame:
@@ -201,7 +220,7 @@ def spaced_best(df: DataFrame, keys: list[str], frame: str, quality: str, apart:
                     break
         return g.loc[kept]
 
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    return per_key(df, keys, pick, df.schema)
 
 
 def diverse_in_time(df: DataFrame, keys: list[str], frame: str, quality: str, n: int, penalty: float = 0.55) -> DataFrame:
@@ -219,4 +238,4 @@ def diverse_in_time(df: DataFrame, keys: list[str], frame: str, quality: str, n:
             kept.append(k)
         return g.loc[sorted(kept)]
 
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    return per_key(df, keys, pick, df.schema)

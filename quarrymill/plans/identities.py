@@ -132,11 +132,11 @@ def merged_shards(spark, sf_dir):
     return last_wins(o.where("shard = 1").union(o.where("shard = 2")), ["k"], [F.col("shard"), F.col("v")]).select("k", "v")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_acctbal >= 0""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) AND c_acctbal >= 0""")
 def kept_legacy(spark, sf_dir):
     """Rows that are neither removed nor there already: two anti-joins."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    have = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    have = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
     removed = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
     return c.join(removed, "c_custkey", "left_anti").join(have, "c_custkey", "left_anti")
 

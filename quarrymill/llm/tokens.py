@@ -1,8 +1,9 @@
 """Token ids with a public tokenizer file, and the Arrow token files made from them.
 
-Encoding: none of the tokens of the word vocabulary crosses ASCII white space and its
-normaliser never looks across it, so a text's ids are the ids of its words put together.
-Words repeat, so each Python worker keeps a bounded memo from word to ids.
+Encoding: none of the tokens of a vocabulary with word ends crosses ASCII white space and
+its normaliser never looks across it, so a text's ids are the ids of its words put together.
+Words repeat, so each Python worker keeps a bounded memo from word to ids. Texts of any
+other vocabulary are encoded whole.
 """
 
 from __future__ import annotations
@@ -52,8 +53,15 @@ class WordEncoder:
         self.vocabulary_size = max(vocabulary.values()) + 1
         self.ends_word = np.zeros(self.vocabulary_size, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        normalizer = str(json.loads(self.tokenizer.to_str())["normalizer"])
-        self.lowers, self.joins = "Lowercase" in normalizer, bool(self.ends_word.any())
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        # words stand for themselves where the vocabulary marks word ends and white space is dropped
+        self.by_words = rules["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"]
+        if self.by_words:
+            # the same model for words that are normalised and parted already
+            byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+            parts = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
+            self.latin = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": parts, "added_tokens": []}))
 
     @classmethod
     def get(cls, tokenizer: str) -> WordEncoder:
@@ -61,24 +69,33 @@ class WordEncoder:
             _encoders[tokenizer] = cls(tokenizer)
         return _encoders[tokenizer]
 
-    def _parts(self, word: str) -> int:
-        """Pre-tokens of a word where they are plain to see, else 0: letters, maybe with one mark after them."""
-        stem = word[:-1] if word[-1] in ".,;:!?" else word
-        plain = stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha() and max(stem) < "\u3000"
-        return 1 + (stem is not word) if plain and stem.isalpha() else 0
+    @staticmethod
+    def _latin_form(word: str) -> tuple[str, int]:
+        """A word of Latin letters, maybe with one mark after it, as normalised pre-tokens parted by spaces, and their number; else 0."""
+        stem = word if word.isalpha() else word[:-1]
+        if not stem.isalpha() or stem is not word and word[-1] not in ".,;:!?":
+            return "", 0
+        if not stem.isascii():
+            if max(stem) >= "\u0250":
+                return "", 0
+            stem = unicodedata.normalize("NFC", stem)
+        lower = stem.lower()
+        if not lower.isalpha():
+            return "", 0
+        return (lower, 1) if word.isalpha() else (f"{lower} {word[-1]}", 2)
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. Plain words go to the tokenizer many at a time and are parted at word-end tokens."""
+        """Ids of each word. Latin words go to the tokenizer many at a time and are parted at word-end tokens."""
         out: list[bytes] = [b""] * len(words)
         texts = [w.decode() for w in words]
-        parts = [self._parts(t) if self.joins else 0 for t in texts]
-        plain = [k for k, p in enumerate(parts) if p]
+        forms = [self._latin_form(t) for t in texts]
+        plain = [k for k, (_, n) in enumerate(forms) if n]
         groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        single = [k for k, p in enumerate(parts) if not p]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+        single = [k for k, (_, n) in enumerate(forms) if not n]
+        for group, encoded in zip(groups, self.latin.encode_batch_fast([" ".join([forms[k][0] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            last = np.cumsum([parts[k] for k in group])
+            last = np.cumsum([forms[k][1] for k in group])
             if len(ends) != last[-1]:
                 single += group
                 continue
@@ -96,10 +113,14 @@ class WordEncoder:
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Ids of each text; texts are taken a few megabytes at a time."""
+        if not self.by_words:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
         waiting: list[list[bytes]] = []
         size = 0
         for text in texts:
-            if self.lowers and b"<|" not in text:  # the names of special tokens keep their case
+            if b"<|" not in text:  # the names of special tokens keep their case
                 text = text.lower()
             waiting.append(text.split())
             size += len(text)

@@ -28,6 +28,18 @@ def test_special_tokens_in_texts():
         assert np.frombuffer(tokens.WordEncoder.get(tokens.TOKENIZER).encode(text.encode()), "<u4").tolist() == plain(text)
 
 
+def test_words_of_many_scripts_and_cases():
+    words = "École ÉCOLE e\u0301cole straße ΣΑΣ σας Ǆ ǆ İstanbul ıssız ŉ ﬁn Привет, 你好。 हिन्दी ʼn Ǆungla don't x2y a,b word. word.. (word) É. Ω! ſo Kelvin".split()
+    got = tokens.WordEncoder(tokens.TOKENIZER)._encode_words([w.encode() for w in words])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(w) for w in words]
+
+
+def test_vocabularies_whose_tokens_cross_spaces_are_encoded_whole():
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Two  words, and\nmore"
+    assert np.frombuffer(tokens.WordEncoder("byte_bpe_50k.json").encode(text.encode()), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 def test_memo_generations_change_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_WORDS", 3)
     encoder = tokens.WordEncoder(tokens.TOKENIZER)

@@ -1,13 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
 Terms are the pairs of neighbouring words (a single word by itself, if it is alone),
-weighted by how often they occur. Every term with weight w draws, from its own hash, two
-gamma(2, 1) values r and c and a uniform b; with t = floor(ln w / r + b) its sample value is
-ln c - r (t - b) - r. The least value among terms is equally likely to fall on any unit of
-weight, and two documents pick the same (term, t) with the probability of their
-generalised Jaccard similarity. Terms are spread over ``BINS`` bins by their hash and each
-bin keeps its least sample, so one draw per term fills the whole signature. The likeness
-of two signatures is the share of equal bins among those filled in either.
+weighted by how often they occur. A term that occurs n times has the units (term, 0) to
+(term, n - 1), which are spread over ``BINS`` bins by their hashes; its weight in a bin is
+the number of its units there, so a frequent term weighs in every bin what it weighs in
+the text. In a bin every term with weight w draws, from the hash of term and bin, two
+gamma(2, 1) values r and c and a uniform b; with t = floor(ln w / r + b) its sample value
+is ln c - r (t - b) - r. The least value among terms is equally likely to fall on any unit
+of weight, and two documents pick the same (term, t) with the probability of the
+generalised Jaccard similarity of the bin's weights. Each bin keeps its least sample, so
+one draw per term and bin fills the whole signature. The likeness of two signatures is the
+share of equal bins among those filled in either.
 """
 
 from __future__ import annotations
@@ -34,25 +37,25 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 20) - 1)) + 0.5) / float(1 << 20)
 
 
-def _sample(term: Column, weight: Column) -> Column:
-    """One long: bin (6 bits), quantised sample value (25), identity of term and t (32)."""
+def _unit_bin(term: Column, i: Column) -> Column:
+    """The bin of a term's unit i, from 0 on; the first one's is in the term's own bits."""
+    return F.shiftrightunsigned(F.when(i == 0, term).otherwise(F.xxhash64(term, i)), 58)
+
+
+def _sample(term: Column, at: Column, weight: Column | None) -> Column:
+    """One long: bin ``at`` (6 bits), quantised sample value (25), identity of term and t (32). No weight: 1."""
 
     def draw(h: Column) -> Column:
         # 60 bits give three uniforms, a second hash the other two
-        return _let(
-            F.xxhash64(h, F.lit(1)),
-            lambda g: _let(
-                -F.ln(_uniform(h, 0) * _uniform(h, 20)),
-                lambda r: _let(
-                    F.floor(F.ln(weight) / r + _uniform(h, 40)),
-                    lambda t: F.shiftleft(F.shiftrightunsigned(term, 58), 57)
-                    + F.shiftleft(_rank(F.ln(-F.ln(_uniform(g, 0) * _uniform(g, 20))) - r * (t - _uniform(h, 40)) - r), 32)
-                    + F.shiftrightunsigned(F.xxhash64(term, t), 32),
-                ),
-            ),
-        )
-
-    return _let(F.xxhash64(term), draw)
+        def valued(g: Column, r: Column, t: Column) -> Column:
+            value = F.ln(-F.ln(_uniform(g, 0) * _uniform(g, 20))) - r * (t - _uniform(h, 40)) - r
+            return F.shiftleft(at, 57) + F.shiftleft(_rank(value), 32) + F.shiftrightunsigned(F.xxhash64(h, t), 32)
+
+        if weight is None:  # ln 1 = 0, so t = 0 whatever r and b
+            return _let(F.xxhash64(h, F.lit(1)), lambda g: _let(-F.ln(_uniform(h, 0) * _uniform(h, 20)), lambda r: valued(g, r, F.lit(0).cast("long"))))
+        return _let(F.xxhash64(h, F.lit(1)), lambda g: _let(-F.ln(_uniform(h, 0) * _uniform(h, 20)), lambda r: _let(F.floor(F.ln(weight) / r + _uniform(h, 40)), lambda t: valued(g, r, t))))
+
+    return _let(F.xxhash64(term, at), draw)
 
 
 def _rank(value: Column) -> Column:
@@ -71,10 +74,26 @@ def terms_of(text: Column) -> Column:
 def signature(text: Column) -> Column:
     """Array of longs, at most one per bin, sorted by bin; empty for a text without words."""
 
+    def same(s: Column, x: Column, i: Column) -> Column:
+        return F.coalesce(F.get(s, i) == x, F.lit(False))
+
+    def once(s: Column) -> Column:
+        alone = F.filter(s, lambda x, i: ~same(s, x, i - 1) & ~same(s, x, i + 1))
+        return F.transform(alone, lambda x: _let(F.shiftrightunsigned(x, 58), lambda at: _sample(x, at, None)))
+
+    def runs(s: Column, body) -> Column:
+        """``body`` of value and length of every run of equal values."""
+        last = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~same(s, F.get(s, i), i + 1))
+        return _let(last, lambda e: F.transform(e, lambda i, k: body(F.get(s, i), i - F.when(k == 0, F.lit(-1)).otherwise(F.get(e, k - 1)))))
+
+    def of_units(term: Column, n: Column) -> Column:
+        bins = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _unit_bin(term, i)))
+        return _let(bins, lambda b: runs(b, lambda at, units: _sample(term, at, units.cast("double"))))
+
     def samples(s: Column) -> Column:
-        # where each run of equal hashes ends; the run's length is the term's weight
-        last = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == F.size(s) - 1) | (F.get(s, i) != F.get(s, i + 1)))
-        return _let(last, lambda e: F.transform(e, lambda at, k: _sample(F.get(s, at), (at - F.when(k == 0, F.lit(-1)).otherwise(F.get(e, k - 1))).cast("double"))))
+        again = F.filter(s, lambda x, i: same(s, x, i - 1) | same(s, x, i + 1))
+        repeated = _let(again, lambda p: F.when(F.size(p) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(runs(p, of_units))))
+        return F.concat(once(s), repeated)
 
     def least(p: Column) -> Column:
         return F.filter(p, lambda x, k: (k == 0) | (F.shiftrightunsigned(x, 57) != F.shiftrightunsigned(F.get(p, k - 1), 57)))

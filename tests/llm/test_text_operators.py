@@ -143,6 +143,21 @@ def test_collision_rate_is_the_weighted_jaccard(spark):
     assert abs(np.mean([r.x for r in got]) - want) < 0.02
 
 
+@pytest.mark.parametrize(("heavy", "other", "shared", "own"), [(1000, 1000, 0, 100), (200, 20, 62, 0), (300, 100, 20, 40)])
+def test_likeness_holds_for_one_heavy_term(spark, heavy, other, shared, own):
+    """One word pair occurs far more often than the others, which occur once in both texts or in one."""
+    rows = []
+    for k in range(40):
+        both = " ".join(f"{k}s{i}" for i in range(shared))
+        texts = [" ".join([f"{k}h"] * (n + 1) + [both] + [f"{k}{side}{i}" for i in range(own)]) for n, side in ((heavy, "a"), (other, "b"))]
+        rows.append((k, *texts))
+    w = weighted_sampling
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    got = df.select("a", "b", w.likeness(w.signature(F.col("a")), w.signature(F.col("b"))).alias("x")).collect()
+    want = np.mean([jaccard(r.a, r.b) for r in got])
+    assert abs(np.mean([r.x for r in got]) - want) < 0.05
+
+
 def test_sampling_is_native(odd):
     plan = weighted_sampling.fingerprints(odd)._jdf.queryExecution().toString() + chat.rotate(odd.select(F.col("doc_id").alias("conv_id"), F.col("part").alias("turn"), F.col("lang").alias("role"), "text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -100,9 +100,15 @@ MOST_ITEMS = 5000
 def assign(scores: DataFrame, id_col: str, label: str, score: str, capacity: int) -> DataFrame:
     """Each item at most once and ``capacity`` items per label: as many as can be placed, and of those the greatest total score.
 
-    Successive shortest paths over at most MOST_ITEMS items; beyond, an error, for the
-    problem is a bounded one (items for a human reviewer).
+    No more than labels x capacity items are placed. One that isn't among that many best of
+    its label can be exchanged for a free one that is, so only these are looked at, by
+    successive shortest paths. Over MOST_ITEMS of them are an error, for the problem is a
+    bounded one (items for a human reviewer).
     """
+    places = scores.select(label).distinct().count() * capacity
+    best = scores.groupBy(id_col, label).agg(F.max(score).alias(score))
+    schema = scores.select(id_col, label, score).schema
+    scores = top_per(best, [label], [F.desc(score), F.asc(id_col)], places).select(id_col, label, score)
     if scores.select(id_col).distinct().limit(MOST_ITEMS + 1).count() > MOST_ITEMS:
         raise ValueError(f"over {MOST_ITEMS} items to assign")
 
@@ -150,7 +156,7 @@ def assign(scores: DataFrame, id_col: str, label: str, score: str, capacity: int
         rows = [(items[k], labels[v - n]) for k in range(n) for v, room, cost, _ in graph[k] if n <= v < n + m and room == 0]
         return pd.DataFrame(rows, columns=[id_col, label]).merge(g[[id_col, label, score]], on=[id_col, label])
 
-    return _one_group(scores.select(id_col, label, score), solve, scores.select(id_col, label, score).schema)
+    return _one_group(scores, solve, schema)
 
 
 def stratified(df: DataFrame, strata: list[str], id_col: str, per_stratum: int, seed: int = 0) -> DataFrame:

@@ -98,7 +98,7 @@ def relabel_excess(spark, sf_dir):
 
 @query()
 def synthetic_frames(spark, sf_dir):
-    return R.synthetic_frames(spark, 50, 42)
+    return R.synthetic_frames(spark, 30_000, 42)
 
 
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT o_totalprice > 50000 THEN 'price' END, CASE WHEN NOT o_orderstatus IN ('F', 'O') THEN 'status' END], lambda x: x IS NOT NULL), ';') AS problems FROM orders""")

@@ -112,12 +112,26 @@ i AS (SELECT old_track, new_track, greatest(0, least(a2, b2) - greatest(a1, b1))
 SELECT old_track, new_track, count(*) AS shared, round(avg(i / (40 - i)), 6) AS mean_iou FROM i GROUP BY old_track, new_track""")
 def track_similarity(spark, sf_dir):
     b = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select((F.col("l_orderkey") % 500).alias("frame"), "l_linenumber", "l_suppkey", F.col("l_quantity").alias("x1"))
+    return _similarity(b)
+
+
+def _similarity(b):
     old = b.where("l_linenumber = 1").select("frame", F.col("l_suppkey").alias("old_track"), F.col("x1").alias("a1"))
     new = b.where("l_linenumber = 2").select("frame", F.col("l_suppkey").alias("new_track"), F.col("x1").alias("b1"))
     iou = G.box_iou([F.col("a1"), F.lit(0.0), F.col("a1") + 20, F.lit(1.0)], [F.col("b1"), F.lit(0.0), F.col("b1") + 20, F.lit(1.0)])
     return J.track_similarity(old, new, ["frame"], "old_track", "new_track", iou).withColumn("mean_iou", F.round("mean_iou", 6))
 
 
+@query("""WITH b AS (SELECT l_orderkey AS frame, l_linenumber AS k, l_suppkey AS s, l_quantity AS x1, l_quantity + 20 AS x2 FROM lineitem),
+o AS (SELECT frame, s AS old_track, x1 AS a1, x2 AS a2 FROM b WHERE k = 1), n AS (SELECT frame, s AS new_track, x1 AS b1, x2 AS b2 FROM b WHERE k = 2),
+i AS (SELECT old_track, new_track, greatest(0, least(a2, b2) - greatest(a1, b1)) AS i FROM o JOIN n USING (frame))
+SELECT old_track, new_track, count(*) AS shared, round(avg(i / (40 - i)), 6) AS mean_iou FROM i GROUP BY old_track, new_track""")
+def track_similarity_all(spark, sf_dir):
+    """``track_similarity`` over every line, with the order as frame."""
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_linenumber", "l_suppkey", F.col("l_quantity").alias("x1"))
+    return _similarity(b)
+
+
 @query("""SELECT coalesce(o.o_orderkey, l.l_orderkey) AS k, o.o_orderkey IS NOT NULL AND l.l_orderkey IS NOT NULL AS aligned FROM
 (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 > 0) o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o_orderkey = l_orderkey""")
 def aligned_rows(spark, sf_dir):
@@ -368,7 +382,7 @@ def unique_top_per_class(spark, sf_dir):
 @query()
 def flow_assign(spark, sf_dir):
     """Suppliers to three labels, at most ten each, by the greatest total score."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 60").select("s_suppkey", F.explode(F.array(*[F.lit(x) for x in ("a", "b", "c")])).alias("label"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(*[F.lit(x) for x in ("a", "b", "c")])).alias("label"))
     return S.assign(s.withColumn("score", F.pmod(F.xxhash64("s_suppkey", "label"), F.lit(1000)) / 1000.0), "s_suppkey", "label", "score", 10)
 
 

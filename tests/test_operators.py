@@ -93,6 +93,21 @@ def test_balanced_quota_and_assignment(spark):
     assert rows(S.assign(a, "id", "l", "s", 1), "id") == [(1, "y", 0.8), (2, "x", 0.7)]
 
 
+def test_assignment_takes_any_number_of_items(spark):
+    """The best total of every way to place seven items, and more items than are looked at in sequence."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for capacity in (1, 2):
+        s = {(i, q): rng.randint(0, 9) / 10 for i in range(7) for q in "xy"}
+        got = S.assign(spark.createDataFrame([(*k, v) for k, v in s.items()], "id int, l string, s double"), "id", "l", "s", capacity).collect()
+        want = max(sum(s[i, q] for i, q in zip(ids, "x" * capacity + "y" * capacity, strict=True)) for ids in itertools.permutations(range(7), 2 * capacity))
+        assert len({r.id for r in got}) == len(got) == 2 * capacity and abs(sum(r.s for r in got) - want) < 1e-9
+    many = spark.range(6000).select("id", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("l"), (F.col("id") / 6000).alias("s"))
+    assert sorted(r.id for r in S.assign(many, "id", "l", "s", 2).collect()) == [5996, 5997, 5998, 5999]
+
+
 def test_round_robin_is_global(spark):
     got = rows(S.round_robin(spark.range(50).repartition(7), ["id"], 4), "id")
     assert got == [(k, k % 4) for k in range(50)]

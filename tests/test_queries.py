@@ -30,3 +30,23 @@ def test_nothing_imports_the_corpus_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
+
+
+def test_windows_around_every_frame(spark, data, duck):
+    by_user = {}
+    for user, n in duck.execute("select user_id, count(*) from events group by 1").fetchall():
+        by_user[user] = range(1, n + 1)
+    want = {(u, c, k, min(f, key=lambda x: (abs(x - c - o), x))) for u, f in by_user.items() for c in f for k, o in enumerate((-25, -12, 0, 12, 25))}
+    got = catalog.QUERIES["five_point_windows_all"](spark, data).collect()
+    assert len(got) == len(want) and {(r.user_id, r.centre, r.position, r.frame) for r in got} == want
+
+
+def test_whole_inputs(spark, data, duck, tmp_path):
+    q = catalog.QUERIES
+    assert q["synthetic_frames"](spark, data).select("frame").distinct().count() == 30_000
+    spark.range(1, 5201).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    placed = [r.s_suppkey for r in q["flow_assign"](spark, str(tmp_path)).collect()]
+    assert len(set(placed)) == len(placed) == 30 and max(placed) > 60
+    lines = duck.execute("select l_orderkey, l_linenumber from lineitem").fetchall()
+    shared = q["track_similarity_all"](spark, data).groupBy().sum("shared").first()[0]
+    assert shared == sum(lines.count((order, 2)) for order, k in lines if k == 1)

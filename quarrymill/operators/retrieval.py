@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import dot
+from .selection import top_per
 
 K1, B = 1.5, 0.75
+#: Items, and queries, that one task compares; it scores QUERIES_AT_ONCE of them in one product.
+BLOCK_ROWS, QUERIES_AT_ONCE = 8192, 256
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,3 +68,40 @@ def against_vector(items: DataFrame, queries: DataFrame, vector: str = "embeddin
 def best_query(scores: DataFrame, id_col: str, query: str = "query_id", score: str = "score") -> DataFrame:
     """Per item its greatest score and the query it comes from; of equal scores the first query."""
     return scores.groupBy(id_col).agg(F.max(score).alias(score), F.min_by(query, F.struct(-F.col(score), F.col(query))).alias("matched_query"))
+
+
+def top_per_query(items: DataFrame, queries: DataFrame, n: int, weight: float | None = None, clip: bool = False) -> DataFrame:
+    """query_id, id, score: the best n items of every query, rounded to six digits, of equal scores the smaller id.
+
+    Items have id, vector and base, queries query_id and query. The score is base plus the
+    cosine, or with a weight plus that share of the cosine moved to 0..1; an item without a
+    vector has base alone. Every pair of a block of items and a block of queries is a group
+    of its own and gives its n best rows a query.
+    """
+    n_items, n_queries = items.count() // BLOCK_ROWS + 1, queries.count() // BLOCK_ROWS + 1
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = items.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.col("base").cast("double").alias("base"), block("id", n_items).alias("_i"), every(n_queries).alias("_q"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"), block("query_id", n_queries).alias("_q"), every(n_items).alias("_i"))
+    at_once = QUERIES_AT_ONCE
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
+        if len(a) and len(b):
+            ids, has = a["id"].to_numpy(), a["vector"].notna().to_numpy()
+            vectors = np.stack(a["vector"][has].to_list()).T if has.any() else None
+            for start in range(0, len(b), at_once):
+                part = b.iloc[start : start + at_once]
+                scores = np.tile(a["base"].to_numpy(), (len(part), 1))
+                if vectors is not None:
+                    cosine = np.stack(part["query"].to_list()) @ vectors
+                    scores[:, has] += cosine if weight is None else weight * np.clip((cosine + 1) / 2, 0, 1)
+                scores = np.round(np.clip(scores, 0, 1) if clip else scores, 6)
+                for query, row in zip(part["query_id"], scores, strict=True):
+                    near = np.flatnonzero(row >= np.partition(row, -n)[-n]) if len(row) > n else np.arange(len(row))
+                    near = near[np.lexsort((ids[near], -row[near]))[:n]]
+                    out.append(pd.DataFrame({"query_id": query, "id": ids[near], "score": row[near]}))
+        return pd.concat(out[1:] or out)
+
+    found = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInPandas(best, "query_id long, id long, score double")
+    return top_per(found, ["query_id"], [F.desc("score"), F.asc("id")], n).drop("rank")

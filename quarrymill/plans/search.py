@@ -104,6 +104,60 @@ def multi_query_argmax(spark, sf_dir):
     return R.best_query(R.against_vector(e, queries).withColumn("score", F.round("cosine", 6)), "vec_id")
 
 
+# The searches with every vector whose id is divisible by 20 as a query, against all rows.
+
+
+def _query_vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit(0.0).alias("base"))
+
+
+def _documents(spark, sf_dir):
+    """All documents, also those without a vector of their number; base is the share of the text in the score."""
+    lexical = R.bm25(table(spark, sf_dir, "documents"), TERMS)
+    best = lexical.agg(F.max("bm25").alias("best"))
+    base = F.when(F.col("best") > 0, 0.35 * F.col("bm25") / F.col("best")).otherwise(0.0)
+    scored = lexical.crossJoin(F.broadcast(best)).select(F.col("doc_id").alias("id"), base.alias("base"))
+    return scored.join(_vectors(spark, sf_dir).drop("base"), "id", "left")
+
+
+def _langs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+
+
+@query()
+def cosine_topk_all(spark, sf_dir):
+    return R.top_per_query(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 20).select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("cosine"))
+
+
+@query()
+def hybrid_search_all(spark, sf_dir):
+    return R.top_per_query(_documents(spark, sf_dir), _query_vectors(spark, sf_dir), 25, 0.65).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def boosted_search_all(spark, sf_dir):
+    d = _documents(spark, sf_dir).join(_langs(spark, sf_dir), "id").withColumn("base", F.col("base") + F.when(F.col("lang") == "en", 0.18).otherwise(0.0))
+    return R.top_per_query(d, _query_vectors(spark, sf_dir), 25, 0.65, clip=True).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def class_filtered_search_all(spark, sf_dir):
+    d = _documents(spark, sf_dir).join(_langs(spark, sf_dir).where("lang = 'fr'"), "id")
+    return R.top_per_query(d, _query_vectors(spark, sf_dir), 10, 0.65).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def multi_query_argmax_all(spark, sf_dir):
+    """Every vector takes the place of a query, and the best query that of its best item."""
+    queries = _query_vectors(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("query").alias("vector"), F.lit(0.0).alias("base"))
+    best = R.top_per_query(queries, _vectors(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 1)
+    return best.select(F.col("query_id").alias("vec_id"), "score", F.col("id").alias("matched_query"))
+
+
 _SAMPLES = [
     "High press through the centre", "press near the touchline", "compact low block near the penalty area", "left touchline trap", "Deep-block", "free kick",
     "mid block", "right flank pressure", "left and right", "throw-in", "anything else", "pressing on the wing",

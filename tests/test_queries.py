@@ -50,3 +50,39 @@ def test_whole_inputs(spark, data, duck, tmp_path):
     lines = duck.execute("select l_orderkey, l_linenumber from lineitem").fetchall()
     shared = q["track_similarity_all"](spark, data).groupBy().sum("shared").first()[0]
     assert shared == sum(lines.count((order, 2)) for order, k in lines if k == 1)
+
+
+def test_searches_with_every_query_over_all_rows(spark, data, duck, monkeypatch, tmp_path):
+    import numpy as np
+
+    from quarrymill.operators import retrieval as R
+    from quarrymill.plans import search
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 60)
+    (tmp_path / "documents.parquet").symlink_to(f"{data}/documents.parquet")
+    spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 100").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vectors = {k: np.array(v, float) for k, v in duck.execute("select vec_id, embedding from embeddings where vec_id < 100").fetchall()}
+    queries = [k for k in vectors if k % 20 == 0]
+    lang = dict(duck.execute("select doc_id, lang from documents").fetchall())
+    words = {r.doc_id: r.bm25 for r in R.bm25(spark.read.parquet(f"{data}/documents.parquet"), search.TERMS).collect()}
+    assert set(words) - set(vectors)
+    top = max(words.values())
+
+    def blend(d, q):
+        return 0.35 * words[d] / top + (0.65 * min(1, max(0, (vectors[d] @ vectors[q] + 1) / 2)) if d in vectors else 0)
+
+    cases = {
+        "cosine_topk_all": (20, vectors, lambda d, q: vectors[d] @ vectors[q]),
+        "hybrid_search_all": (25, words, blend),
+        "boosted_search_all": (25, words, lambda d, q: min(1, max(0, blend(d, q) + 0.18 * (lang[d] == "en")))),
+        "class_filtered_search_all": (10, [d for d in words if lang[d] == "fr"], blend),
+    }
+    for name, (n, ids, score) in cases.items():
+        got = {}
+        for r in catalog.QUERIES[name](spark, str(tmp_path)).collect():
+            got.setdefault(r[0], []).append(r[2])
+        assert set(got) == set(queries)
+        for q in queries:
+            assert sorted(got[q], reverse=True) == pytest.approx(sorted((score(d, q) for d in ids), reverse=True)[:n], abs=2e-6)
+    best = {r.vec_id: r.score for r in catalog.QUERIES["multi_query_argmax_all"](spark, str(tmp_path)).collect()}
+    assert best == pytest.approx({v: max(vectors[v] @ vectors[q] for q in queries) for v in vectors}, abs=2e-6)

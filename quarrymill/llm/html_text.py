@@ -28,8 +28,14 @@ ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 _WORDS_OF_JUNK = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer foot hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget warning alert"
-JUNK = re.compile(rf"(?:^|[^a-z])(?:{'|'.join(_WORDS_OF_JUNK.split())})(?:$|[^a-z])")
-HEADER = re.compile(r"(?:^|[^a-z])header(?:$|[^a-z])")
+JUNK_WORDS = set(_WORDS_OF_JUNK.split())
+COMMENTS = set("comment comments disqus replies reply respond".split())
+#: Words before and after a junk word that say what an element has, lacks or does at some width, not what it is.
+BEFORE, AFTER = set("has no not with without".split()), set("open closed enabled disabled".split())
+WIDTHS = set("xs sm md lg xl".split())
+WORDS = re.compile(r"[a-z]+")
+#: What may stand in a head; any other element ends one that is open.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text)(?:$|[^a-z])")
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 SPACE = re.compile(r"\s+")
@@ -50,6 +56,7 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.head: Node | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
@@ -57,6 +64,8 @@ class TreeBuilder(HTMLParser):
             return
         if tag == "html":
             return
+        if self.head is not None and tag not in IN_HEAD:
+            self._leave_head(tag == "body")
         ends = ENDS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         node = self.at
         while ends and node.parent is not None and (node.tag in ends or node.tag not in BLOCK and node.tag not in DROPPED):
@@ -69,9 +78,22 @@ class TreeBuilder(HTMLParser):
             return
         made = Node(tag, {k: (v or "") for k, v in attrs}, self.at)
         self.at.children.append(made)
+        if tag == "head":
+            self.head = made
         if tag not in VOID:
             self.at = made
 
+    def _leave_head(self, for_body: bool) -> None:
+        """Close an open head and, at a body, what is open inside it."""
+        node = self.at
+        while node is not None and node is not self.head:
+            if not for_body and node.tag in IN_HEAD:
+                return
+            node = node.parent
+        if node is not None:
+            self.at = node.parent
+        self.head = None
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             self.handle_starttag(tag, attrs)
@@ -86,8 +108,12 @@ class TreeBuilder(HTMLParser):
             node = node.parent
         if node is not None and node.parent is not None:
             self.at = node.parent
+        if node is self.head:
+            self.head = None
 
     def handle_data(self, data: str) -> None:
+        if self.at is self.head and not data.isspace():
+            self._leave_head(False)
         self.at.children.append(data)
 
 
@@ -107,8 +133,23 @@ def _junk(node: Node) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in JUNK_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     if node.tag in ("body", "main", "article"):
-        return node.tag == "article" and bool(re.search(r"(?:^|[^a-z])(?:comment|comments|reply)(?:$|[^a-z])", _named(attrs)))
-    return bool(JUNK.search(_named(attrs)))
+        return node.tag == "article" and _names(attrs, {"comment", "comments", "reply"})
+    return _names(attrs, JUNK_WORDS)
+
+
+def _by_name_only(node: Node) -> bool:
+    """Junk by class or id, not hidden or of a role that is never main text."""
+    return not _names(node.attrs, COMMENTS) and not _junk(Node(node.tag, {k: v for k, v in node.attrs.items() if k not in ("class", "id")}, None))
+
+
+def _names(attrs: dict, junk: set[str]) -> bool:
+    """Whether a class or id has one of the words without a modifier beside it."""
+    for token in _named(attrs).split():
+        words = WORDS.findall(token)
+        for k, word in enumerate(words):
+            if word in junk and not (k and words[k - 1] in BEFORE or words[k + 1 : k + 2] and (words[k + 1] in AFTER or word == "hidden" and words[k + 1] in WIDTHS)):
+                return True
+    return False
 
 
 def _named(attrs: dict) -> str:
@@ -124,17 +165,36 @@ def _inside(node: Node, tags: set[str]) -> bool:
     return False
 
 
+def _scores(root: Node) -> dict[int, int]:
+    """By element: characters of its text outside links and dropped elements."""
+    total: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.tag not in DROPPED and c.tag != "a"]
+    for node in reversed(order):
+        total[id(node)] = sum(total.get(id(c), 0) if isinstance(c, Node) else len(c.strip()) for c in node.children)
+    return total
+
+
 def _prune(root: Node) -> None:
-    """Take out what is never main text; page headers go, a heading group inside an article stays."""
+    """Take out what is never main text; page headers go, a heading group inside an article stays.
+
+    A container that only its name makes junk stays if it holds most of the page's text, comments aside.
+    """
     stack = [root]
+    size: dict[int, int] | None = None
     while stack:
         node = stack.pop()
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                page_header = child.tag == "header" or HEADER.search(_named(child.attrs))
+                page_header = child.tag == "header" or _names(child.attrs, {"header"})
                 if _junk(child) or page_header and not _inside(node, {"article", "main"}) and not GOOD.search(_named(node.attrs)):
-                    continue
+                    size = size or _scores(root)
+                    if child.tag not in CONTAINER or 2 * size.get(id(child), 0) <= size[id(root)] or not _by_name_only(child):
+                        continue
                 stack.append(child)
             kept.append(child)
         node.children = kept

@@ -45,6 +45,25 @@ def test_small_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<body><div class="layout has-sidebar"><p>{}</p></div></body>', '<body><div class="content no-sidebar"><p>{}</p></div></body>', '<body><div class="row hidden-xs"><p>{}</p></div></body>',
+        '<body><article class="post comments-open"><p>{}</p></article></body>', "<head><title>T</title><body><p>{}</p></body>", "<head><meta charset=utf-8><p>{}</p>", "<head><title>T</title><div><p>{}</p></div>",
+        '<body><div class="layout has-header"><p>{}</p></div></body>', '<body><div id="site-widget"><p>{}</p></div><div><p>Short.</p></div></body>',
+    ],
+)
+def test_main_text_does_not_vanish(html):
+    text = "A paragraph, with commas, that is long enough to be the text of the page."
+    assert text in html_text.main_text(html.format(text))
+
+
+def test_junk_goes_by_its_name():
+    text = "A paragraph, with commas, that is long enough to be the text of the page. " * 3
+    for name in ("sidebar", "left-sidebar", "ad", "cookieNotice", "widget box", "visually-hidden"):
+        assert html_text.main_text(f'<body><div><p>{text}</p></div><div class="{name}"><p>Other, words, of some length, that nobody reads.</p></div></body>') == text.strip()
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, None, None, "y"), (None, "u", "<p>long " + "word " * 50_000 + "</p>", "z")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))

@@ -22,6 +22,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 DROPPED = set("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu label".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul".split())
 CONTAINER = set("article body center details div main section td blockquote".split())
+#: Blocks beside the best container that are judged by link density, as prose is.
+BESIDE = set("ul ol dl pre table figure".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 # start tags that end an open element of the second set
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -288,9 +290,17 @@ def main_text(html: str) -> str:
     up = best.parent
     while best.tag != "article" and up is not None and up.tag in ("article", "main"):  # an article is kept whole
         best, up = up, up.parent
+    share = 0.2 * best.score
+    outside: set[int] = set()  # elements with text that isn't the best one's
+    for owner, _, _ in blocks:
+        node = None if _under(owner, best) else owner
+        while node is not None and id(node) not in outside:
+            outside.add(id(node))
+            node = node.parent
+    while best.tag != "article" and best.parent is not None and best.parent.parent is not None and id(best.parent) not in outside:
+        best = best.parent  # a wrapper of nothing else: what continues the text stands beside it
     kept = {id(best)}
     own = [b for b in blocks if _under(b[0], best)]
-    share = max(10.0, 0.2 * best.score)
     if best.parent is not None:
         for sibling in best.parent.children:
             if not isinstance(sibling, Node) or sibling is best:
@@ -298,10 +308,10 @@ def main_text(html: str) -> str:
             inside = [b for b in blocks if _under(b[0], sibling)]
             n, linked = sum(len(b[1]) for b in inside), sum(b[2] for b in inside)
             density = linked / max(n, 1)
-            prose = sibling.tag == "p" and (n > 80 and density < 0.25 or n <= 80 and n and density == 0 and inside[0][1].endswith((".", "!", "?")))
+            prose = (sibling.tag == "p" or sibling.tag in CONTAINER) and (n > 80 and density < 0.25 or n <= 80 and n and density == 0 and inside[-1][1].endswith((".", "!", "?"))) or sibling.tag in BESIDE and n and density < 0.25
             if sibling.tag in CONTAINER and sibling.score >= share and density < 0.5 or prose or sibling.tag in HEADING and own and density == 0:
                 kept.add(id(sibling))
-    return " ".join(text for owner, text, linked in blocks if _any_kept(owner, kept) and not (linked and linked >= 0.8 * len(text) and len(text) < 40 and owner.tag == "li"))
+    return " ".join(text for owner, text, linked in blocks if _any_kept(owner, kept))
 
 
 def _under(node: Node, top: Node) -> bool:

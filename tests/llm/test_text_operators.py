@@ -58,6 +58,27 @@ def test_main_text_does_not_vanish(html):
     assert text in html_text.main_text(html.format(text))
 
 
+LONG = "A paragraph, with commas, that is long enough to be the text of the page. " * 6
+
+
+@pytest.mark.parametrize(
+    "rest",
+    ["<ul><li>First, of a list</li></ul>", "<ol><li>First, of a list</li></ol>", "<dl><dt>Term<dd>What it means</dl>", "<pre>x = 1</pre>", "<table><tr><td>cell</td></tr></table>", "<figure><figcaption>Caption</figcaption></figure>",
+     "<section><p>One last paragraph of the article, which ends it.</p></section>", "<div><p>One last paragraph of the article, which is longer than the others here, and ends it.</p></div>"],
+)
+def test_text_beside_the_best_container_stays(rest):
+    want = re.sub(r"\s+", " ", re.sub("<[^>]*>", " ", rest)).strip()
+    for page in (f"<body><div><p>{LONG}</p></div>{rest}</body>", f"<body><div><div><p>{LONG}</p></div></div>{rest}</body>"):
+        assert html_text.main_text(page) == f"{LONG.strip()} {want}"
+    links = '<ul><li><a href="/a">Another page</a></li><li><a href="/b">One more</a></li></ul>'
+    assert html_text.main_text(f"<body><div><p>{LONG}</p></div>{links}</body>") == LONG.strip()
+
+
+def test_linked_items_of_an_article_stay():
+    page = f'<body><article><p>{LONG}</p><ul><li><a href="/a">Ann Other</a></li><li><a href="/b">A reference</a></li></ul></article></body>'
+    assert html_text.main_text(page) == f"{LONG.strip()} Ann Other A reference"
+
+
 def test_junk_goes_by_its_name():
     text = "A paragraph, with commas, that is long enough to be the text of the page. " * 3
     for name in ("sidebar", "left-sidebar", "ad", "cookieNotice", "widget box", "visually-hidden"):

@@ -1,15 +1,21 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a light tree. Text blocks give points to their ancestors for length and
+The page becomes a numbered tree. Text blocks give points to their ancestors for length and
 commas, each container's points are discounted by its link density, and the container
 with the most points is kept with those siblings that score well or read like prose.
+
+Elements are numbered in page order and blocks too, so an element's blocks are a range and
+every sum over them is a difference of running sums: the work grows with the page's length,
+whatever its depth or the number of siblings. No markup is an error.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,322 +25,471 @@ from .tokens import _texts
 
 # fixed values: the HTML element names of each kind
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu label".split())
-BLOCK = set("address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section table tbody td tfoot th thead tr ul".split())
-CONTAINER = set("article body center details div main section td blockquote".split())
-#: Blocks beside the best container that are judged by link density, as prose is.
-BESIDE = set("ul ol dl pre table figure".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+BLOCK = set(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+CONTAINER = set("article body center details div main section td blockquote form".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
-# start tags that end an open element of the second set
-ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
-
-_WORDS_OF_JUNK = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer foot hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget warning alert"
-JUNK_WORDS = set(_WORDS_OF_JUNK.split())
+#: Never main text, whatever is inside.
+DROPPED = set("script style noscript template head title nav aside select option textarea datalist fieldset iframe noembed noframes object svg canvas audio video dialog menu search annotation annotation-xml".split())
+#: Blocks of running text; the labels and buttons that stand in their sentences belong to them.
+PROSE = set("p li dt dd td th blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+CONTROL = {"button", "label"}
+#: Blocks beside the best container that are judged by link density alone.
+BESIDE = set("p ul ol dl pre table figure".split())
+#: What may stand in a head; any other element ends one that is open.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+# start tags that end an open element of the first set, unless one of the second was opened inside it
+_CELL_EDGE, _LIST_EDGE = {"table"}, set("ul ol menu dir table td th".split())
+ENDS = {
+    "li": [({"li"}, _LIST_EDGE)], "dt": [({"dt", "dd"}, {"dl", "table", "td", "th"})], "dd": [({"dt", "dd"}, {"dl", "table", "td", "th"})], "option": [({"option"}, {"select"})],
+    "tr": [({"td", "th"}, _CELL_EDGE), ({"tr"}, _CELL_EDGE)], "td": [({"td", "th"}, {"table", "tr"})], "th": [({"td", "th"}, {"table", "tr"})],
+    **{t: [({"td", "th"}, _CELL_EDGE), ({"tr"}, _CELL_EDGE), ({"tbody", "thead", "tfoot"}, _CELL_EDGE)] for t in ("tbody", "thead", "tfoot")},
+}
+ENDS_P = BLOCK - set("body html head td th tr tbody thead tfoot caption".split())
+SCOPE = set("table td th caption object template button".split())
+#: Elements that an end tag doesn't reach through, where these aren't SCOPE.
+_END_EDGE = {**{t: SCOPE - {t} for t in SCOPE}, **dict.fromkeys("tr td th tbody thead tfoot caption".split(), _CELL_EDGE), "table": set()}
+
+#: Words that make an element junk wherever a class or id has them, and words that must be the head of the name.
+STRONG = set("breadcrumb breadcrumbs comment comments disqus masthead modal navbar navigation newsletter pager pagination popup sidebar toolbar".split())
+WEAK = set("alert banner consent cookie cookies disclaimer foot footer hidden login menu nav notice promo promoted promotion related replies reply respond share sharing signup social sponsor sponsored subscribe subscription warning widget".split())
+ADVERTS = set("ad ads adsense adsbygoogle advert adverts advertisement advertising".split())
 COMMENTS = set("comment comments disqus replies reply respond".split())
+#: Words of place and form after a name's head, which don't change what it is.
+PLACE = set("area bar block bottom box btn button buttons col column container form group icon icons inner item items left link links list mobile module overlay panel posts right row section side slot stories strip top unit wrap wrapper x".split())
 #: Words before and after a junk word that say what an element has, lacks or does at some width, not what it is.
 BEFORE, AFTER = set("has no not with without".split()), set("open closed enabled disabled".split())
 WIDTHS = set("xs sm md lg xl".split())
 WORDS = re.compile(r"[a-z]+")
-#: What may stand in a head; any other element ends one that is open.
-IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text)(?:$|[^a-z])")
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
-SPACE = re.compile(r"\s+")
-
-
-class Node:
-    __slots__ = ("attrs", "children", "parent", "score", "tag")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list[Node | str] = []
-        self.score = 0.0
-
-
-class TreeBuilder(HTMLParser):
-    """A forgiving tree: unclosed paragraphs, items and cells end where HTML says so."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html", {}, None)
-        self.head: Node | None = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "br":
-            self.at.children.append("\n")
-            return
-        if tag == "html":
-            return
-        if self.head is not None and tag not in IN_HEAD:
-            self._leave_head(tag == "body")
-        ends = ENDS.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-        node = self.at
-        while ends and node.parent is not None and (node.tag in ends or node.tag not in BLOCK and node.tag not in DROPPED):
-            if node.tag in ends:
-                self.at = node.parent
-                if tag not in ("tr", "td", "th"):
-                    break
-            node = node.parent
-        if len(self.at.children) and tag not in BLOCK and tag in VOID:
-            return
-        made = Node(tag, {k: (v or "") for k, v in attrs}, self.at)
-        self.at.children.append(made)
-        if tag == "head":
-            self.head = made
-        if tag not in VOID:
-            self.at = made
-
-    def _leave_head(self, for_body: bool) -> None:
-        """Close an open head and, at a body, what is open inside it."""
-        node = self.at
-        while node is not None and node is not self.head:
-            if not for_body and node.tag in IN_HEAD:
+COMMA = re.compile("[,،、，]")
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]+|=)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_TAG_END = re.compile(r"[\s/]*>?")
+_DOCTYPE = re.compile(r"<!doctype[^>\[]*(?:\[[^\]]*\]\s*)?>", re.IGNORECASE)
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+#: Divisors of a block's points for its nearest containers, and for all above them.
+NEAR, FAR = (1, 2, 3, 6), 9
+
+
+class Tree:
+    """Elements by number in page order, and ``items``: texts, opened elements (k), closed ones (~k), and None where a link ends before its element."""
+
+    def __init__(self, html: str) -> None:
+        self.tag, self.parent, self.attrs = ["html"], [-1], [{}]
+        self.items: list[str | int | None] = [0]
+        self.opened, self.closed = [0], [0]
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # heights in the stack of the open elements of each name
+        self.blocks: list[int] = [0]  # heights of the open blocks
+        self.ended_links: set[int] = set()
+        self._read(html)
+        self._pop(0)
+        self.items.append(~0)
+        self.closed[0] = len(self.items) - 1
+
+    # ------------------------------------------------------------ reading
+
+    def _read(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                self._text(html[at:lt])
+            if lt == n:
                 return
-            node = node.parent
-        if node is not None:
-            self.at = node.parent
-        self.head = None
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
+            after = html[lt + 1 : lt + 2]
+            if after.isascii() and after.isalpha():
+                at = self._start(html, lt)
+            elif after == "/":
+                at = self._end(html, lt)
+            elif after == "!":
+                at = self._declaration(html, lt)
+            elif after == "?":
+                at = html.find(">", lt) + 1 or n
+            else:
+                self._text("<")
+                at = lt + 1
+
+    def _declaration(self, html: str, at: int) -> int:
+        n = len(html)
+        if html.startswith("<!--", at):
+            if html.startswith((">", "->"), at + 4):
+                return html.index(">", at) + 1
+            end = _COMMENT_END.search(html, at + 4)
+            return end.end() if end else n
+        if html.startswith("<![CDATA[", at):
+            return html.find("]]>", at) + 3 if html.find("]]>", at) >= 0 else n
+        doctype = _DOCTYPE.match(html, at)
+        return doctype.end() if doctype else html.find(">", at) + 1 or n
+
+    def _attributes(self, html: str, at: int) -> tuple[dict[str, str], int]:
+        found: dict[str, str] = {}
+        while True:
+            end = _TAG_END.match(html, at)
+            if html[end.end() - 1 : end.end()] == ">" or end.end() == len(html):
+                return found, end.end()
+            one = _ATTRIBUTE.match(html, at)
+            name = one[1].lower()
+            if name not in found:
+                value = one[2] or one[3] or one[4] or ""
+                found[name] = unescape(value) if "&" in value else value
+            at = one.end()
+
+    def _start(self, html: str, at: int) -> int:
+        name = _NAME.match(html, at + 1)
+        tag, at = name[0].lower(), name.end()
+        if html[at : at + 1] == ">":
+            attrs, at = {}, at + 1
         else:
-            self.handle_starttag(tag, attrs)  # a slash doesn't close other elements in HTML
-
-    def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            if node.tag in ("td", "article", "section", "main", "body") and tag not in BLOCK:
-                return  # a stray inline end tag doesn't close a container
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-        if node is self.head:
-            self.head = None
-
-    def handle_data(self, data: str) -> None:
-        if self.at is self.head and not data.isspace():
-            self._leave_head(False)
-        self.at.children.append(data)
-
-
-def parse(html: str) -> Node:
-    builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
-
-
-def _junk(node: Node) -> bool:
-    if node.tag in DROPPED:
-        return True
-    attrs = node.attrs
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in JUNK_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if node.tag in ("body", "main", "article"):
-        return node.tag == "article" and _names(attrs, {"comment", "comments", "reply"})
-    return _names(attrs, JUNK_WORDS)
+            attrs, at = self._attributes(html, at)
+        self._leave_head(tag)
+        if tag == "br":
+            self.items.append("\n")
+        elif tag != "html" and not (tag in ("head", "body") and self.places.get(tag)):
+            if tag in ENDS_P and self.places.get("p"):
+                self._close({"p"}, SCOPE)
+            if tag in HEADING and self.tag[self.stack[-1]] in HEADING:
+                self._pop(len(self.stack) - 1)
+            for which, edges in ENDS.get(tag, ()):
+                self._close(which, edges)
+            self._push(tag, attrs)
+            if tag in VOID or tag in ("svg", "math") and html[at - 2 : at] == "/>":
+                self._pop(len(self.stack) - 1)
+            elif tag in RAW and html[at - 2 : at] != "/>":
+                end = _RAW_END[tag].search(html, at)
+                text = html[at : end.start() if end else len(html)]
+                if tag == "xmp":
+                    self.items.append(text)
+                at = end.start() if end else len(html)
+        return at
+
+    def _end(self, html: str, at: int) -> int:
+        name = _NAME.match(html, at + 2)
+        if name is None:
+            return at + 3 if html[at + 2 : at + 3] == ">" else html.find(">", at) + 1 or len(html)
+        end = name.end() + 1 if html[name.end() : name.end() + 1] == ">" else self._attributes(html, name.end())[1]
+        tag = name[0].lower()
+        if tag == "br":
+            self.items.append("\n")
+        places = self.places.get(tag)
+        if not places or tag in ("body", "html"):
+            return end
+        if tag in BLOCK or tag in DROPPED:
+            if places[-1] == len(self.stack) - 1 or places[-1] > self._last(_END_EDGE.get(tag, SCOPE)):
+                self._pop(places[-1])
+        elif places[-1] > self.blocks[-1]:
+            self._pop(places[-1])
+        elif tag == "a" and self.stack[places[-1]] not in self.ended_links:  # a link around blocks ends, its element goes on
+            self.ended_links.add(self.stack[places[-1]])
+            self.items.append(None)
+        return end
+
+    def _text(self, text: str) -> None:
+        if self.tag[self.stack[-1]] == "head" and not text.isspace():
+            self._pop(len(self.stack) - 1)
+        self.items.append(unescape(text) if "&" in text else text)
+
+    # ------------------------------------------------------------ the stack
+
+    def _leave_head(self, tag: str) -> None:
+        """Close an open head at the first element that can't stand there."""
+        head = self.places.get("head")
+        if head and tag not in IN_HEAD and (tag == "body" or self.tag[self.stack[-1]] not in IN_HEAD):
+            self._pop(head[-1])
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close(self, tags: set[str], edges: set[str]) -> None:
+        last = self._last(tags)
+        if last >= 0 and last > self._last(edges - tags):
+            self._pop(last)
+
+    def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        k = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(self.stack[-1])
+        self.attrs.append(attrs)
+        self.opened.append(len(self.items))
+        self.closed.append(0)
+        self.items.append(k)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(k)
+
+    def _pop(self, height: int) -> None:
+        """Close all from ``height`` on, but never the root."""
+        while len(self.stack) > max(height, 1):
+            k = self.stack.pop()
+            self.places[self.tag[k]].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.closed[k] = len(self.items)
+            self.items.append(~k)
+
+
+# ------------------------------------------------------------ what is never main text
+
 
+def _named(attrs: dict) -> str:
+    """Class and id, with camelCase parted."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
 
-def _by_name_only(node: Node) -> bool:
-    """Junk by class or id, not hidden or of a role that is never main text."""
-    return not _names(node.attrs, COMMENTS) and not _junk(Node(node.tag, {k: v for k, v in node.attrs.items() if k not in ("class", "id")}, None))
 
+def _names(attrs: dict, strong: set[str], weak: set[str]) -> bool:
+    """Whether a class or id names one of the words: a strong one anywhere, a weak one as the head of the name.
 
-def _names(attrs: dict, junk: set[str]) -> bool:
-    """Whether a class or id has one of the words without a modifier beside it."""
+    The head is the last word but for words of place ("share-buttons" is a share, "related-work"
+    a work). A modifier beside the word ("no-sidebar", "comments-open") takes the name back.
+    """
+    if "class" not in attrs and "id" not in attrs:
+        return False
     for token in _named(attrs).split():
         words = WORDS.findall(token)
+        head = len(words) - 1
+        while head > 0 and words[head] in PLACE:
+            head -= 1
         for k, word in enumerate(words):
-            if word in junk and not (k and words[k - 1] in BEFORE or words[k + 1 : k + 2] and (words[k + 1] in AFTER or word == "hidden" and words[k + 1] in WIDTHS)):
+            if word in strong or k == head and word in weak:
+                if not (k and words[k - 1] in BEFORE or words[k + 1 : k + 2] and (words[k + 1] in AFTER or words[k + 1] in WIDTHS)):
+                    return True
+            elif word == "hidden" and k < head and words[k + 1] not in WIDTHS and k:  # visually-hidden-text
                 return True
     return False
 
 
-def _named(attrs: dict) -> str:
-    """Class and id, with camelCase parted."""
-    return re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-
-
-def _inside(node: Node, tags: set[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
-def _scores(root: Node) -> dict[int, int]:
-    """By element: characters of its text outside links and dropped elements."""
-    total: dict[int, int] = {}
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [c for c in node.children if isinstance(c, Node) and c.tag not in DROPPED and c.tag != "a"]
-    for node in reversed(order):
-        total[id(node)] = sum(total.get(id(c), 0) if isinstance(c, Node) else len(c.strip()) for c in node.children)
-    return total
+def _hidden(attrs: dict) -> bool:
+    if "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in JUNK_ROLES:
+        return True
+    style = attrs.get("style", "").replace(" ", "").lower()
+    return "display:none" in style or "visibility:hidden" in style
 
 
-def _prune(root: Node) -> None:
-    """Take out what is never main text; page headers go, a heading group inside an article stays.
+def junk_of(tree: Tree) -> list[bool]:
+    """For every element outside other junk: whether it is junk.
 
-    A container that only its name makes junk stays if it holds most of the page's text, comments aside.
+    Junk are elements that never are main text, hidden ones, forms, page headers and footers,
+    and what a class or id names so. A container that only its name or its being a form makes
+    junk stays if it holds most of the page's text outside links and, where the page has an
+    article or main element, also one of these; adverts and reader comments never stay.
     """
-    stack = [root]
-    size: dict[int, int] | None = None
-    while stack:
-        node = stack.pop()
-        kept = []
-        for child in node.children:
-            if isinstance(child, Node):
-                page_header = child.tag == "header" or _names(child.attrs, {"header"})
-                if _junk(child) or page_header and not _inside(node, {"article", "main"}) and not GOOD.search(_named(node.attrs)):
-                    size = size or _scores(root)
-                    if child.tag not in CONTAINER or 2 * size.get(id(child), 0) <= size[id(root)] or not _by_name_only(child):
-                        continue
-                stack.append(child)
-            kept.append(child)
-        node.children = kept
-
-
-def _walk(root: Node) -> Iterator[tuple[Node, str | None]]:
-    """Text pieces with the element they stand in, and block edges as (node, None), in page order."""
-    stack: list[tuple[Node, Iterator]] = [(root, iter(root.children))]
-    yield root, None
-    while stack:
-        node, rest = stack[-1]
-        child = next(rest, stack)
-        if child is stack:
-            stack.pop()
-            if node.tag in BLOCK:
-                yield node, None
-        elif isinstance(child, Node):
-            if child.tag in BLOCK:
-                yield child, None
-            stack.append((child, iter(child.children)))
-        else:
-            yield node, child
-
-
-def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
-    """(innermost block element, text, characters inside links) of every non-empty block."""
-    out: list[tuple[Node, str, int]] = []
-    parts: list[str] = []
-    owner, linked = root, 0
-    for node, text in _walk(root):
-        if text is None:
-            joined = SPACE.sub(" ", "".join(parts)).strip()
-            if joined:
-                out.append((owner, joined, linked))
-            parts, linked, owner = [], 0, node
+    n = len(tree.tag)
+    junk, held = [False] * n, [False] * n  # held: inside an article or main element
+    quoted = [False] * n
+    size: list[int] = []
+    marked, paragraphs = ([0, *accumulate(t in tags for t in tree.tag)] for tags in ({"article", "main"}, {"p"}))
+
+    def inside(counts: list[int], k: int) -> int:
+        return counts[bisect_left(tree.opened, tree.closed[k])] - counts[k]
+
+    def most(k: int) -> bool:
+        if not size:
+            size.extend(_sizes(tree))
+        return 2 * (size[tree.closed[k]] - size[tree.opened[k]]) > size[-1] and (not marked[-1] or inside(marked, k) > 0)
+
+    for k in range(1, n):
+        tag, attrs, up = tree.tag[k], tree.attrs[k], tree.parent[k]
+        if junk[up]:
+            junk[k] = True
             continue
-        if not parts:
-            owner = node
-            while owner.parent is not None and owner.tag not in BLOCK:
-                owner = owner.parent
-        parts.append(text)
-        if _inside(node, {"a"}):
-            linked += len(SPACE.sub(" ", text).strip())
-    joined = SPACE.sub(" ", "".join(parts)).strip()
-    if joined:
-        out.append((owner, joined, linked))
+        held[k] = held[up] or tag in ("article", "main")
+        quoted[k] = quoted[up] or tag == "blockquote"
+        if tag in DROPPED or tag == "footer" and not quoted[up] or attrs and _hidden(attrs):
+            junk[k] = True
+        elif tag == "form":
+            junk[k] = not most(k) or not inside(marked, k) and inside(paragraphs, k) < 2
+        elif tag in ("body", "main"):
+            pass
+        elif tag == "article":
+            junk[k] = bool(attrs) and _names(attrs, COMMENTS, set())
+        elif attrs and _names(attrs, STRONG | ADVERTS, WEAK):
+            junk[k] = tag not in CONTAINER or _names(attrs, COMMENTS | ADVERTS, set()) or not most(k)
+        elif (tag == "header" or attrs and _names(attrs, set(), {"header"})) and not held[up] and not GOOD.search(_named(tree.attrs[up])):
+            junk[k] = tag not in CONTAINER or not most(k)
+    return junk
+
+
+def _sizes(tree: Tree) -> list[int]:
+    """Running sums, by item: characters of text outside links, dropped elements, footers and controls."""
+    out, total, at = [], 0, 0
+    skip = DROPPED | CONTROL | {"a", "footer"}
+    until = -1
+    for at, item in enumerate(tree.items):
+        if isinstance(item, str):
+            if at > until:
+                total += len(item.strip())
+        elif item is not None and item >= 0 and at > until and tree.tag[item] in skip:
+            until = tree.closed[item]
+        out.append(total)
     return out
 
 
-def _best(blocks: list[tuple[Node, str, int]]) -> Node | None:
-    """The container with the most points after the link discount (first in page order on ties)."""
-    size: dict[int, list] = {}
-    for owner, text, linked in blocks:
-        points = 1 + text.count(",") + min(len(text) / 100, 3.0) + len(text) / 1000 if owner.tag not in HEADING and (len(text) >= 25 or owner.tag == "p") else 0
-        node, depth = owner, 0
-        if node.tag not in CONTAINER:
-            node = node.parent or node
-        up = owner
-        while up is not None:
-            entry = size.setdefault(id(up), [up, 0, 0])
-            entry[1] += len(text)
-            entry[2] += linked
-            up = up.parent
-        while node is not None:
-            if node.tag in CONTAINER or node.parent is None:
-                node.score += points / (1, 2, 3, 6, 9)[min(depth, 4)]
-                depth += 1
-            node = node.parent
-    best, most = None, 0.0
-    for node, n, linked in size.values():
-        if node.tag not in CONTAINER and node.parent is not None:
-            continue
-        bonus = {"article": 1.25, "main": 1.15}.get(node.tag, 1.0) * (1.1 if GOOD.search(_named(node.attrs)) else 1.0)
-        score = node.score * bonus * (1 - linked / max(n, 1))
-        if score > most:
-            best, most = node, score
-        node.score = score
-    return best
+# ------------------------------------------------------------ blocks and scores
+
+
+class Blocks:
+    """The non-empty text blocks in page order, with running sums; ``first[k]`` to ``last[k]`` are those of element k."""
+
+    def __init__(self, tree: Tree, junk: list[bool]) -> None:
+        self.owner: list[int] = []
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self.first, self.last = [0] * len(tree.tag), [0] * len(tree.tag)
+        self._parts: list[str] = []
+        self._links = self._controls = 0
+        tag, items = tree.tag, tree.items
+        owners, links, controls, at = [0], 0, 0, 0
+        while at < len(items):
+            item = items[at]
+            at += 1
+            if item is None:
+                links -= 1
+            elif isinstance(item, str):
+                if not controls or tag[owners[-1]] in PROSE:
+                    self._parts.append(item)
+                    if links or controls:
+                        length = len(" ".join(item.split()))
+                        self._links += length if links else 0
+                        self._controls += length if controls else 0
+            elif item >= 0:
+                name = tag[item]
+                if name in BLOCK:
+                    self._flush(owners[-1])
+                if junk[item]:
+                    at = tree.closed[item] + 1
+                    continue
+                self.first[item] = len(self.text)
+                if name in BLOCK:
+                    owners.append(item)
+                links += name == "a"
+                controls += name in CONTROL
+            else:
+                name = tag[~item]
+                if name in BLOCK:
+                    self._flush(owners[-1])
+                    owners.pop()
+                self.last[~item] = len(self.text)
+                links -= name == "a" and ~item not in tree.ended_links
+                controls -= name in CONTROL
+        self.chars = [0, *accumulate(map(len, self.text))]
+        self.link_chars = [0, *accumulate(self.linked)]
+
+    def _flush(self, owner: int) -> None:
+        if self._parts:
+            joined = " ".join("".join(self._parts).split())
+            if joined and self._controls < len(joined):
+                self.owner.append(owner)
+                self.text.append(joined)
+                self.linked.append(min(self._links, len(joined)))
+            self._parts, self._links, self._controls = [], 0, 0
+
+    def size(self, k: int) -> int:
+        return self.chars[self.last[k]] - self.chars[self.first[k]]
+
+    def density(self, k: int) -> float:
+        return (self.link_chars[self.last[k]] - self.link_chars[self.first[k]]) / max(self.size(k), 1)
+
+
+def points_of(tag: str, text: str) -> float:
+    """What a block is worth: for being one, its commas and its length; headings and short fragments nothing."""
+    if tag in HEADING or len(text) < 25 and tag != "p":
+        return 0.0
+    return 1 + len(COMMA.findall(text)) + min(len(text) / 100, 3.0) + len(text) / 1000
+
+
+def scores_of(tree: Tree, blocks: Blocks) -> dict[int, float]:
+    """Of every container with text: its blocks' points, less the further away they are, times a bonus, discounted by link density."""
+    tag, parent = tree.tag, tree.parent
+    above = [0] * len(tag)  # the nearest container at or above each element; the root counts as one
+    for k in range(1, len(tag)):
+        above[k] = k if tag[k] in CONTAINER else above[parent[k]]
+    points = [points_of(tag[o], t) for o, t in zip(blocks.owner, blocks.text, strict=True)]
+    sums = [0.0, *accumulate(points)]
+    extra: dict[int, float] = {}
+    for owner, p in zip(blocks.owner, points, strict=True):
+        k = above[owner]
+        for divisor in NEAR:
+            extra[k] = extra.get(k, 0.0) + p * (1 / divisor - 1 / FAR)
+            if not k:
+                break
+            k = above[parent[k]]
+    out = {}
+    for k in range(len(tag)):
+        if (tag[k] in CONTAINER or not k) and blocks.last[k] > blocks.first[k]:
+            raw = (sums[blocks.last[k]] - sums[blocks.first[k]]) / FAR + extra.get(k, 0.0)
+            bonus = {"article": 1.25, "main": 1.15}.get(tag[k], 1.0) * (1.1 if tree.attrs[k] and GOOD.search(_named(tree.attrs[k])) else 1.0)
+            out[k] = raw * bonus * (1 - blocks.density(k))
+    return out
 
 
-def main_text(html: str) -> str:
-    """The main text of a page: its blocks in page order, joined by single spaces."""
-    root = parse(html)
-    _prune(root)
-    blocks = blocks_of(root)
-    if not blocks:
-        return ""
-    best = _best(blocks)
-    if best is None:
-        return " ".join(text for _, text, linked in blocks if 2 * linked < len(text))
-    up = best.parent
-    while best.tag != "article" and up is not None and up.tag in ("article", "main"):  # an article is kept whole
-        best, up = up, up.parent
-    share = 0.2 * best.score
-    outside: set[int] = set()  # elements with text that isn't the best one's
-    for owner, _, _ in blocks:
-        node = None if _under(owner, best) else owner
-        while node is not None and id(node) not in outside:
-            outside.add(id(node))
-            node = node.parent
-    while best.tag != "article" and best.parent is not None and best.parent.parent is not None and id(best.parent) not in outside:
-        best = best.parent  # a wrapper of nothing else: what continues the text stands beside it
-    kept = {id(best)}
-    own = [b for b in blocks if _under(b[0], best)]
-    if best.parent is not None:
-        for sibling in best.parent.children:
-            if not isinstance(sibling, Node) or sibling is best:
-                continue
-            inside = [b for b in blocks if _under(b[0], sibling)]
-            n, linked = sum(len(b[1]) for b in inside), sum(b[2] for b in inside)
-            density = linked / max(n, 1)
-            prose = (sibling.tag == "p" or sibling.tag in CONTAINER) and (n > 80 and density < 0.25 or n <= 80 and n and density == 0 and inside[-1][1].endswith((".", "!", "?"))) or sibling.tag in BESIDE and n and density < 0.25
-            if sibling.tag in CONTAINER and sibling.score >= share and density < 0.5 or prose or sibling.tag in HEADING and own and density == 0:
-                kept.add(id(sibling))
-    return " ".join(text for owner, text, linked in blocks if _any_kept(owner, kept))
-
-
-def _under(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
+def _joins(tree: Tree, blocks: Blocks, k: int, score: float, share: float) -> bool:
+    """Whether a sibling of the best container belongs to the article."""
+    n, density, tag = blocks.size(k), blocks.density(k), tree.tag[k]
+    if not n:
+        return False
+    if tag in BESIDE:
+        return density < 0.25
+    inside = range(blocks.first[k], blocks.last[k])
+    if density == 0 and all(tree.tag[blocks.owner[b]] in HEADING for b in inside):
+        return True
+    if tag in CONTAINER:
+        return score >= share and density < 0.5 or (density < 0.25 if n > 80 else density == 0 and blocks.text[inside[-1]].endswith((".", "!", "?", "。", "！", "？")))
     return False
 
 
-def _any_kept(node: Node, kept: set[int]) -> bool:
-    while node is not None:
-        if id(node) in kept:
-            return True
-        node = node.parent
-    return False
+def main_text(html: str) -> str:
+    """The main text of a page: its blocks in page order, joined by single spaces."""
+    tree = Tree(html)
+    blocks = Blocks(tree, junk_of(tree))
+    if not blocks.text:
+        return ""
+    scores = scores_of(tree, blocks)
+    best = max(scores, key=lambda k: (scores[k], tree.tag[k] in ("article", "main"), -k))
+    if scores[best] <= 0 and tree.tag[best] not in ("article", "main"):
+        return " ".join(t for t, linked in zip(blocks.text, blocks.linked, strict=True) if 2 * linked < len(t))
+    k = best
+    while k and tree.tag[k] != "article":
+        k = tree.parent[k]
+    if tree.tag[k] == "article":  # an article is kept whole
+        best = k
+    while tree.tag[best] != "article" and tree.parent[best] > 0 and (tree.tag[tree.parent[best]] == "main" or blocks.size(tree.parent[best]) == blocks.size(best)):
+        best = tree.parent[best]  # a main element is kept whole; beside a wrapper of nothing else may stand what continues the text
+    keep = [(blocks.first[best], blocks.last[best])]
+    if best:
+        share, up = 0.2 * scores.get(best, 0.0), tree.parent[best]
+        for k in _children(tree, up):
+            if k != best and _joins(tree, blocks, k, scores.get(k, 0.0), share):
+                keep.append((blocks.first[k], blocks.last[k]))
+    return " ".join(t for a, b in sorted(keep) for t in blocks.text[a:b])
+
+
+def _children(tree: Tree, up: int) -> Iterator[int]:
+    at, end = tree.opened[up] + 1, tree.closed[up]
+    while at < end:
+        item = tree.items[at]
+        if isinstance(item, int) and item >= 0:
+            yield item
+            at = tree.closed[item]
+        at += 1
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
     Null or empty html gives an empty text. Rows with equal or null page_id are kept one
-    by one. Other columns are ignored; the whole html is read whatever its length.
+    by one, and of containers with equal scores the first of the page is taken. Malformed
+    markup (unclosed comments, tags, attributes or sections, stray end tags) never fails: an
+    unclosed comment or script reaches to the end of the page. Other columns are ignored;
+    the whole html is read whatever its length. Empty table: no row.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

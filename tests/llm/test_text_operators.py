@@ -287,3 +287,25 @@ def test_held_out_accuracy(spark):
 
 def test_empty_hash():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_grouped_signatures_are_the_expression(odd):
+    w = weighted_sampling
+    rows = odd.select(F.monotonically_increasing_id().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.union(odd.sparkSession.createDataFrame([(10**9, "a " * 500 + "b"), (10**9 + 1, " \n"), (10**9 + 2, "A"), (10**9 + 3, "é x y")], "k long, text string"))
+    want = {r.k: r.s for r in rows.select("k", w.signature(F.col("text")).alias("s")).collect()}
+    assert {r.k: r.sig for r in w.signatures(rows, ["k"], "text").collect()} == want
+    assert want[10**9 + 1] == [] and len(want[10**9]) > 20
+
+
+@pytest.mark.parametrize("ids", [range(3000), [7] * 600 + list(range(100)), [k * 10**12 for k in range(-600, 600)], [None] * 300 + [1]])
+def test_ranges_keep_order_and_neighbours(spark, ids):
+    w = weighted_sampling
+    docs = spark.createDataFrame([(i, f"t{k:05d}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    rows, n = w._ranges(docs)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.range) for r in rows.collect())
+    seen = [g[3] for g in got]
+    assert seen == sorted(seen) and set(seen) == set(range(n))
+    assert n == 1 or len(set(ids)) < 200 or max(map(seen.count, set(seen))) < len(ids) / 4
+    led = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in w._beside_next(docs).collect())
+    assert [x[3] for x in led] == [x[2] for x in led[1:] + led[:1]]

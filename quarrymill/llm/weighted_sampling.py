@@ -31,7 +31,9 @@ BINS = 64
 #: 16 hex digits a bin: 2 of the bin, 6 of the value, 8 of the sample's identity.
 SLOT = 16
 #: Ranges of neighbours per shuffle partition, ids that are drawn per range for its bound (all that the driver holds), and the fewest rows of a range.
-RANGES, DRAWN, RANGE_ROWS = 8, 10, 50
+RANGES, DRAWN, RANGE_ROWS = 16, 4, 50
+#: Tasks per shuffle partition: the words of a task's texts take some fifty times the texts' memory.
+TASKS = 8
 _LEAST_ID = -(1 << 63)
 
 
@@ -176,7 +178,7 @@ def _beside_next(docs: DataFrame) -> DataFrame:
     """range, place (from 0 in its range), doc_id, text, next_text, head_sig (of the first document of the next range)."""
     rows, n = _ranges(docs)
     near = Window.partitionBy("range").orderBy(F.asc_nulls_first("doc_id"), F.asc("text"))
-    led = rows.repartition("range").select("range", (F.row_number().over(near) - 1).alias("place"), "doc_id", "text", F.lead("text").over(near).alias("l_text"))
+    led = rows.repartition(TASKS * shuffle_partitions(docs.sparkSession), "range").select("range", (F.row_number().over(near) - 1).alias("place"), "doc_id", "text", F.lead("text").over(near).alias("l_text"))
     heads = rows.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))  # one row a range
     heads = heads.select(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.col("head.text").alias("head_text"), signature(F.col("head.text")).alias("head_sig"))
     joined = led.join(heads, "range")

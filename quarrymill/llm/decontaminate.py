@@ -1,9 +1,14 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the benchmark's word windows.
 
 Texts are normalised on their UTF-8 bytes: A-Z become lower case, letters, digits and all
-bytes of non-ASCII characters are word bytes, anything else separates. Words are joined by
-single spaces, so each text is scanned once, and an end offset in the joined form gives
-the word index, which the original's word spans map back to original offsets.
+bytes of non-ASCII characters are word bytes, anything else separates. The benchmark's words
+are numbered and a word is two symbols to the automaton, whatever its length, so each text is
+scanned once, and an end offset halved is the word index, which the original's word spans map
+back to original offsets.
+
+An automaton takes some fifty bytes a node and has up to 26 nodes per word of the benchmark.
+A benchmark of more than ``BLOCK_BYTES`` has several, of which a worker holds one at a time:
+it scans what it has read of the documents with each in turn.
 """
 
 from __future__ import annotations
@@ -19,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import materialize, text_or_empty
+from .common import text_or_empty
 from .tokens import _texts
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text for one automaton; a larger benchmark is scanned for in blocks of this size.
-BLOCK_BYTES = 4_000_000
+#: UTF-8 bytes of normalised benchmark text for one automaton, and its words (about four million nodes, 200 MB).
+BLOCK_BYTES, BLOCK_WORDS = 1_000_000, 150_000
+#: Distinct words of one automaton (pairs of 256 symbols), and words of an item that stay together.
+NUMBERS, PIECE_WORDS = 1 << 16, 20_000
+#: Bytes of documents that are scanned with each of several automata in turn.
+GROUP_BYTES = 64_000_000
 
 _table = bytearray(b" " * 256)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
@@ -56,6 +65,8 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 class WindowAutomaton:
     """Finds the windows of items in a text; values are (words in the window, item ids)."""
 
+    ABSENT = "\0\0"
+
     def __init__(self, items: Iterable[tuple[str, bytes]], size: int = WINDOW):
         import ahocorasick
 
@@ -63,9 +74,15 @@ class WindowAutomaton:
         for item_id, text in items:
             for window in windows_of(words_of(text), size):
                 owners[window].add(item_id)
+        self.symbols: dict[bytes, str] = {}
         self.automaton = ahocorasick.Automaton()
         for window, ids in owners.items():
-            self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(ids)))
+            words = window.split()
+            for w in words:
+                if w not in self.symbols:  # symbols of first and second place differ, so matches begin and end with words
+                    high, low = divmod(len(self.symbols), 256)
+                    self.symbols[w] = chr(1 + high) + chr(257 + low)
+            self.automaton.add_word("".join([self.symbols[w] for w in words]), (len(words), tuple(ids)))
         self.automaton.make_automaton()
         self.empty = not owners
 
@@ -73,20 +90,25 @@ class WindowAutomaton:
         """Merged half-open runs of hit word indexes, and the items that occur."""
         if self.empty or not words:
             return [], set()
-        joined = f" {b' '.join(words).decode('latin-1')} "
+        symbol, absent = self.symbols.get, self.ABSENT
         runs: list[tuple[int, int]] = []
         items: set[str] = set()
-        at = seen = 0  # words that end before offset at
-        for end, (n, ids) in self.automaton.iter(joined):
-            seen += joined.count(" ", at, end)
-            at = end
-            begin = seen - n
+        for end, (n, ids) in self.automaton.iter("".join([symbol(w, absent) for w in words])):
+            seen = (end + 1) // 2
             items.update(ids)
-            while runs and runs[-1][1] >= begin:
-                begin = min(begin, runs[-1][0])
-                runs.pop()
-            runs.append((begin, seen))
-        return runs, items
+            runs.append((seen - n, seen))
+        return merged(runs), items
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open runs in order, with those that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _automaton(key: str, packed: bytes, size: int) -> WindowAutomaton:
@@ -96,18 +118,29 @@ def _automaton(key: str, packed: bytes, size: int) -> WindowAutomaton:
     return _automata[key]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most BLOCK_BYTES (or one item); one block at a time is on the driver."""
-    block: list[tuple[str, bytes]] = []
-    room = BLOCK_BYTES
+def _pieces(benchmark: DataFrame, size: int) -> Iterator[tuple[str, list[bytes]]]:
+    """Item ids with words; a long item comes in pieces that share all but one word of a window."""
     rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text")
     for row in rows.toLocalIterator():
-        text = row.text.encode()
-        if block and len(text) > room:
+        words = words_of(row.text.encode())
+        if words:
+            for at in range(0, max(1, len(words) - size + 1), PIECE_WORDS):
+                yield row.i, words[at : at + PIECE_WORDS + size - 1]
+
+
+def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks for one automaton each; the driver holds one block at a time."""
+    block: list[tuple[str, bytes]] = []
+    numbers: set[bytes] = set()
+    n_bytes = n_words = 0
+    for item_id, words in _pieces(benchmark, size):
+        text = b" ".join(words)
+        if block and (n_bytes + len(text) > BLOCK_BYTES or n_words + len(words) > BLOCK_WORDS or len(numbers.union(words)) > NUMBERS):
             yield block
-            block, room = [], BLOCK_BYTES
-        block.append((row.i, text))
-        room -= len(text)
+            block, numbers, n_bytes, n_words = [], set(), 0, 0
+        block.append((item_id, text))
+        numbers.update(words)
+        n_bytes, n_words = n_bytes + len(text), n_words + len(words)
     if block:
         yield block
 
@@ -125,88 +158,55 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, spa
     carried = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), carried.alias("carried"))
     schema = _schema(docs, spans)
-
-    def judge(key: str, items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = _automaton(key, items.value, size)
-            for batch in batches:
-                out: list[list] = [[] for _ in range(3 + spans)]
-                for text in _texts(batch):
+    blocks = []  # keys and broadcasts of bounded size; their bytes are not kept here
+    for block in _blocks(benchmark, size):
+        data = pickle.dumps(block)
+        blocks.append((hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data)))
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
+
+    def judge(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [[0] * len(b) for b in batches]
+        runs, items = ([[kind() for _ in range(len(b))] for b in batches] for kind in (list, set))
+        for key, packed in blocks or [("", None)]:
+            finder = _automaton(key, packed.value if packed else pickle.dumps([]), size)
+            for batch, n, r, i in zip(batches, sizes, runs, items, strict=True):
+                for k, text in enumerate(_texts(batch)):
                     words = words_of(text)
-                    runs, found = finder.scan(words)
-                    where = word_spans(text.decode()) if spans and runs else []
-                    row = [len(words), sum(b - a for a, b in runs), sorted(found)]
-                    if spans:
-                        row.append([{"begin": where[a][0], "end": where[b - 1][1]} for a, b in runs])
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=schema.names)
-
-        return docs.mapInArrow(run, schema)
-
-    packed = [pickle.dumps(block) for block in _blocks(benchmark)]
-    if len(packed) <= 1:
-        data = packed[0] if packed else pickle.dumps([])
-        found = judge(hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data))
-    else:
-        found = _in_blocks(docs, packed, size, spans)
+                    more, found = finder.scan(words)
+                    n[k] = len(words)
+                    r[k] += more
+                    i[k] |= found
+        for batch, n, r, i in zip(batches, sizes, runs, items, strict=True):
+            r = [merged(x) for x in r]
+            out = [n, [sum(b - a for a, b in x) for x in r], [sorted(x) for x in i]]
+            if spans:
+                out.append([_code_points(text, x) for text, x in zip(_texts(batch), r, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if len(blocks) <= 1 or sum(b.nbytes for b in held) >= GROUP_BYTES:
+                yield from judge(held)
+                held = []
+        yield from judge(held)
+
+    found = docs.mapInArrow(run, schema)
     return found if carry else found.drop("carried")
 
 
+def _code_points(text: bytes, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    where = word_spans(text.decode()) if runs else []
+    return [{"begin": where[a][0], "end": where[b - 1][1]} for a, b in runs]
+
+
 def _schema(docs: DataFrame, spans: bool) -> StructType:
     hit = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])
     out = StructType([docs.schema["doc_id"], docs.schema["carried"], StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType()))])
     return out.add("spans", ArrayType(hit)) if spans else out
 
 
-def _in_blocks(docs: DataFrame, packed: list[bytes], size: int, spans: bool) -> DataFrame:
-    """A benchmark of several blocks: the documents pass through one automaton after another.
-
-    Each pass reads the whole texts again and adds its hit word runs to a numbered copy of
-    the documents, so the runs of several blocks merge exactly.
-    """
-    sc = docs.sparkSession.sparkContext
-    have = materialize(docs.select("doc_id", "text", F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.array().cast("array<string>").alias("items"), "carried"), "scan")
-    for data in packed:
-        key, shared = hashlib.sha256(data).hexdigest() + f"-{size}", sc.broadcast(data)
-
-        def add(batches: Iterator[pa.RecordBatch], key: str = key, shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = _automaton(key, shared.value, size)
-            for batch in batches:
-                runs, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for k, text in enumerate(_texts(batch)):
-                    more, found = finder.scan(words_of(text))
-                    runs[k] = runs[k] + [{"a": a, "b": b} for a, b in more]
-                    items[k] = sorted({*items[k], *found})
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, batch.schema.field(2).type), pa.array(items, batch.schema.field(3).type), batch.column(4)], schema=batch.schema)
-
-        have = materialize(have.mapInArrow(add, have.schema), "scan")
-
-    schema = _schema(docs, spans)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(3 + spans)]
-            for text, runs, items in zip(_texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for r in sorted(runs, key=lambda r: (r["a"], r["b"])):
-                    if merged and r["a"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r["b"])
-                    else:
-                        merged.append([r["a"], r["b"]])
-                row = [len(words_of(text)), sum(b - a for a, b in merged), items]
-                if spans:
-                    where = word_spans(text.decode()) if merged else []
-                    row.append([{"begin": where[a][0], "end": where[b - 1][1]} for a, b in merged])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=schema.names)
-
-    return have.mapInArrow(close, schema)
-
-
 def is_contaminated():
     """The contract's rule: some word is hit and hit words are at least a twentieth."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share (``spark.checkpoint.dir``), as a whole URI.
 
-    Only a local master may go without the setting; it then gets a temporary folder.
+    A path without a scheme lies on the cluster's default file system. Only a local master
+    may go without the setting; it then gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -24,7 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, True)
         folder = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder if "://" in folder else f"file://{folder}"
+    if "://" in folder:
+        return folder
+    system, path = _file_system(spark, folder)
+    whole = system.makeQualified(path).toString()
+    return whole if "://" in whole else whole.replace("file:", "file://", 1)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """The Hadoop file system of a folder, and its path there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in written:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            system, path = _file_system(spark, folder)
+            system.delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

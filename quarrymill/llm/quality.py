@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .boosting import FlatTrees, fit
 from .tokens import _texts
 
-#: Labelled rows that a fit uses at most; of more, those with the smallest hashes of their ids.
+#: Labelled documents that a fit uses at most; of more, those with the smallest hashes of their ids.
 TRAINING_ROWS = 30_000
 THRESHOLD = 0.3
 
@@ -74,15 +74,17 @@ def is_held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAINING_ROWS) -> FlatTrees:
     """Fit on labelled documents that aren't held out.
 
-    At most ``rows`` of them come to the driver, as numbers and not as texts. Null labels
-    and ids are left out; a document labelled twice counts twice. Without labels of both
-    kinds, every score is the smoothed share of ones.
+    No more than ``rows`` (document, label) pairs are used, chosen by the hash of the id among
+    the labels whose document is there; they come to the driver as numbers and not as texts. Null
+    labels and ids are left out. A label that is repeated counts once and a document with both
+    labels twice; of several rows of one doc_id the one with the least statistics counts.
+    Without labels of both kinds, every score is the smoothed share of ones.
     """
-    known = labels.where(F.col(label).isNotNull() & ~is_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) == 1).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull() & ~is_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) == 1).cast("int").alias("y")).distinct()
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     n = known.count()
-    if n > rows:
-        share = rows / n
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    if n > rows:  # the hash leaves little more than is wanted, so that no task sorts all labels
+        known = known.where(F.col("place") < int(1.1 * rows / n * (1 << 40))).orderBy("place", "doc_id", "y").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +92,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             x = _matrix(_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = texts.join(known, "doc_id").select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, y int, x array<double>").toArrow()
+    chosen = F.broadcast(known.select("doc_id", "y"))  # at most ``rows`` rows of two numbers
+    found = texts.join(chosen, "doc_id").select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, y int, x array<double>")
+    found = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     x = np.array(found["x"].combine_chunks().flatten() if len(found) else [], float).reshape(-1, WIDTH)
     y, ids = np.array(found["y"], float), np.array(found["doc_id"], np.int64)
     order = np.lexsort((y, *x.T[::-1], ids))  # the same rows in any order give the same trees

@@ -2,18 +2,20 @@
 
 Equal strings must meet, without one worker sorting everything. Each window of ``width``
 bytes has a key: the least hash of its ``GRAM``-byte strings, which depends on its content
-alone. A segment is a run of windows of one key; some thirty windows share one. Segments
-are dealt by key:
-
-1. Segments of equal content: the first stays, all later ones are repeats throughout.
-   Tasks fold these before the shuffle, so a hot passage sends one row per task.
-2. Keys with segments of different content (the edges of repeated passages), or with one
-   segment that may repeat itself: their bytes are fetched and dealt by key. Each task puts
-   them, in document order, into blocks, builds the block's suffix array and marks every
-   window that shares ``width`` bytes with an earlier one.
-3. A key whose segments exceed a block is dealt anew by the content of its single windows.
-
-Equality of segments is decided by two 64-bit hashes (key and content); all else by bytes.
+alone. A segment is a run of windows of one key; some thirty windows share one.
+
+1. Segments are dealt by key as numbers (two 64-bit hashes: key and content). Those without
+   another of their key can't repeat anything and end here. Of segments of one content the
+   first two go on, the others are copies. Tasks fold copies before the shuffle, and a key
+   of many contents is dealt in parts, so that no key's rows meet in one task.
+2. What goes on is fetched as bytes and dealt by key. Each task puts segments in document
+   order into blocks, builds the block's suffix array by two-stage sorting and marks every
+   window that shares ``width`` bytes with an earlier one. Copies are removed once the suffix
+   array has found the second segment of their content to repeat the first throughout; where
+   it has not, the hashes were wrong, and all copies of that key go through suffix arrays.
+3. A key of more than ``KEY_BYTES`` is cut into parts, each sorted like a key. The windows that
+   no part has found to repeat are dealt anew by what is near their key's string, ever more
+   of it (all but ``STEPS`` bytes), until the parts of a key have met.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ WIDTH = 100
 GRAM = 32
 CHUNK = 1 << 20
 FOLD_ROWS = 400_000
-#: Segment bytes of one suffix array, and of one key before it is dealt by windows.
-BLOCK_BYTES = 2_000_000
+#: Contents of one key in a fold from which on the others are dealt in so many parts.
+FOLD_KEY, FOLD_PARTS = 64, 32
+#: Segment bytes of one suffix array, and of one key or part of a large key.
+BLOCK_BYTES, KEY_BYTES = 2_000_000, 128_000
+#: Bytes of a window that the keys of one round after another leave out, less one; the last is repeated.
+STEPS = (24, 6, 1)
 #: Large keys up to which they are broadcast to their segments; beyond, a shuffle join.
 BROADCAST_KEYS = 100_000
 _NULL_ID = -(1 << 63)
@@ -112,20 +118,29 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 32, (place >> 2) & ((1 << 30) - 1), place & 3
 
 
-PLAIN, AGAIN, LATER = 0, 1, 2
-_SEGMENT = "route long, content long, doc long, turn int, place long"
+#: Marks of a segment: none, goes on in any case, is a copy.
+PLAIN, WANTED, COPY = 0, 1, 2
+_SEGMENT = "route long, key long, content long, doc long, turn int, place long"
 
 
 def _fold(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """Marks all but the first of equal segments as later ones and deals those by document."""
+    """Marks all but the first two of equal segments as copies, which are dealt by document; deals a key of many contents in parts."""
     key, content, doc, turn, place = rows
     order = np.lexsort((place >> 32, turn, doc, content, key))
     key, content, doc, turn, place = (x[order] for x in rows)
-    later = np.zeros(len(key), bool)
-    later[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
-    place = np.where(later, place & ~np.int64(3) | LATER, place)
-    route = np.where(later, _mixed(doc.view(np.uint64)).view(np.int64), key)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (route, np.where(later, 0, content), doc, turn.astype(np.int32), place)], names=["route", "content", "doc", "turn", "place"])
+    same = np.zeros(len(key), bool)
+    same[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+    copy = same.copy()
+    copy[1:] &= same[:-1]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    contents = np.cumsum(~same)
+    many = contents - np.repeat(contents[starts], np.diff(np.append(starts, len(key)))) >= FOLD_KEY
+    mark = np.where(copy, COPY, np.where(many, WANTED, place & 3))
+    part = _mixed((key ^ (content & (FOLD_PARTS - 1))).view(np.uint64)).view(np.int64)
+    route = np.where(copy, _mixed(doc.view(np.uint64)).view(np.int64), np.where(many, part, key))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (route, key, content, doc, turn.astype(np.int32), place & ~np.int64(3) | mark)], names=["route", "key", "content", "doc", "turn", "place"]
+    )
 
 
 def _find_segments(width: int):
@@ -165,116 +180,99 @@ def _find_segments(width: int):
     return run
 
 
-def _compare_segments(width: int):
-    """Over rows sorted by route, content and place: later segments become removals, keys of several contents candidates."""
+FIRST, SECOND, MORE = 0, 1, 2
+_COMPARED = "key long, content long, doc long, turn int, begin long, finish long, nth int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last first-of-its-content, whose successor isn't known yet
-        held_linked = False
 
-        def emit(rows: list[np.ndarray], candidate: np.ndarray) -> pa.RecordBatch:
-            begin, windows, _ = _unpack(rows[4])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[3].astype(np.int32)), pa.array(begin), pa.array(begin + windows - 1 + width), pa.array(candidate)],
-                names=["key", "doc", "turn", "begin", "finish", "candidate"],
-            )
+def _compare_segments(width: int):
+    """Over rows sorted by route, key, content and place: the first two of a content, unless they are alone with their key, and its copies."""
+
+    def emit(rows: list[np.ndarray], nth: np.ndarray) -> pa.RecordBatch:
+        begin, windows, _ = _unpack(rows[5])
+        columns = [rows[1], rows[2], rows[3], rows[4].astype(np.int32), begin, begin + windows - 1 + width, nth.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "doc", "turn", "begin", "finish", "nth"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last row, whose successor isn't known yet
+        held_nth, held_near = 0, False
         for batch in batches:
-            if not len(batch):
-                continue
             rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            flagged = (rows[4] & 3) == LATER
-            if flagged.any():
-                some = [x[flagged] for x in rows]
-                yield emit(some, np.zeros(len(some[0]), bool))
-                rows = [x[~flagged] for x in rows]
+            copies = (rows[5] & 3) == COPY
+            if copies.any():
+                some = [x[copies] for x in rows]
+                yield emit(some, np.full(len(some[0]), MORE))
+                rows = [x[~copies] for x in rows]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            first = np.ones(len(rows[0]), bool)
-            first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
-            if not first.all():
-                some = [x[~first] for x in rows]
-                yield emit(some, np.zeros(len(some[0]), bool))
-            rows = [x[first] for x in rows]
-            linked = np.zeros(len(rows[0]), bool)
-            same = rows[0][1:] == rows[0][:-1]
-            linked[1:] |= same
-            linked[:-1] |= same
+            near = rows[1][1:] == rows[1][:-1]  # of one key
+            first = np.append(True, ~near | (rows[2][1:] != rows[2][:-1]))
+            starts = np.flatnonzero(first)
+            nth = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
             if held is not None:
-                linked[0] |= held_linked
-            held, held_linked = [x[-1:] for x in rows], bool(linked[-1])
-            rows, linked = [x[:-1] for x in rows], linked[:-1]
-            wanted = linked | ((rows[4] & 3) == AGAIN)
-            if wanted.any():
-                some = [x[wanted] for x in rows]
-                yield emit(some, np.ones(len(some[0]), bool))
-        if held is not None and (held_linked or (held[4] & 3)[0] == AGAIN):
-            yield emit(held, np.ones(1, bool))
+                nth[: starts[1] if len(starts) > 1 else None] += held_nth
+            nth = np.minimum(nth, MORE)
+            wanted = ((rows[5] & 3) == WANTED) | np.append(near, False) | np.append(held is not None and held_near, near)
+            held, held_nth, held_near = [x[-1:] for x in rows], int(nth[-1]), bool(near[-1]) if len(near) else held_near
+            some = [x[:-1][wanted[:-1]] for x in rows]
+            if len(some[0]):
+                yield emit(some, nth[:-1][wanted[:-1]])
+        if held is not None and (held_near or (held[5] & 3)[0] == WANTED):
+            yield emit(held, np.array([held_nth]))
 
     return run
 
 
 def _cut_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their candidate segments to one row per segment with its bytes."""
+    """Documents with their segments to one row per segment with its bytes."""
     for batch in batches:
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in _CUT]
         size = 0
         for doc, turn, text, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
             for s in segments:
                 data = text[s["begin"] : s["finish"]]
-                for column, value in zip(rows, (s["key"], s["large"], doc, turn, s["begin"], data), strict=True):
+                for column, value in zip(rows, (s["key"], s["part"], s["nth"], doc, turn, s["begin"], data), strict=True):
                     column.append(value)
                 size += len(data)
             if size > 4_000_000:
-                yield _segment_batch(rows)
-                rows, size = [[] for _ in range(6)], 0
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _CUT.values(), strict=True)], names=list(_CUT))
+                rows, size = [[] for _ in _CUT], 0
         if rows[0]:
-            yield _segment_batch(rows)
-
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _CUT.values(), strict=True)], names=list(_CUT))
 
-def _segment_batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["key", "large", "doc", "turn", "begin", "data"])
 
+#: part: -1 for a key that is whole; nth: SECOND where the segment speaks for copies.
+_CUT = {"key": pa.int64(), "part": pa.int32(), "nth": pa.int32(), "doc": pa.int64(), "turn": pa.int32(), "begin": pa.int64(), "data": pa.binary()}
+REMOVED, LEFT, WRONG = 0, 1, 2
+#: What sorting gives: byte ranges to remove, windows of large keys to deal anew, keys whose hashes were wrong.
+_SORTED = {"kind": pa.int32(), "key": pa.int64(), "doc": pa.int64(), "turn": pa.int32(), "begin": pa.int64(), "finish": pa.int64(), "data": pa.binary()}
+_SORTED_SCHEMA = "kind int, key long, doc long, turn int, begin long, finish long, data binary"
 
-def _deal_windows(width: int):
-    """Segments of large keys to single windows, dealt by content; all but the first of equal windows of a batch are marked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            seen: dict[bytes, tuple] = {}
-            out: list[list] = [[] for _ in range(6)]
-            order = sorted(range(len(batch)), key=lambda k: (batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()))
-            for k in order:
-                doc, turn, begin, data = (batch.column(c)[k].as_py() for c in (2, 3, 4, 5))
-                for at in range(len(data) - width + 1):
-                    window = data[at : at + width]
-                    later = window in seen
-                    seen[window] = ()
-                    key = xxhash.xxh64_intdigest(window)
-                    row = (key - (1 << 64) if key >> 63 else key, later, doc, turn, begin + at, b"" if later else window)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-                if len(out[0]) > 50_000:
-                    yield _segment_batch(out)
-                    out = [[] for _ in range(6)]
-            if out[0]:
-                yield _segment_batch(out)
+def _near_keys(data: bytes, width: int, step: int) -> np.ndarray:
+    """For every window: a hash of all of it but ``step`` - 1 bytes, the same for equal windows and, mostly, for neighbours."""
+    up, down, of_byte = _powers()
+    text = np.frombuffer(data, np.uint8)
+    _, at = window_keys(text, width)
+    part = (at - np.arange(len(at))) // step * step  # where in the window its key's string stands, rounded down
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(of_byte[text] * down[: len(text)], out=sums[1:])
+    begin = at - part
+    core = (sums[begin + width - step + 1] - sums[begin]) * up[begin]
+    return _mixed(core ^ _mixed(part.astype(np.uint64) + np.uint64(step << 32))).view(np.int64)
 
-    return run
 
+def _sort_segments(width: int, step: int):
+    """Over segments sorted by key and part: what the suffix arrays of blocks of whole parts show."""
 
-def _mark_repeats(width: int):
-    """Over segments sorted by key: removals found in the suffix arrays of blocks of whole keys."""
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SORTED.values(), strict=True)], names=list(_SORTED))
 
-    def block(segments: list[tuple]) -> pa.RecordBatch:
-        segments.sort(key=lambda s: s[1:4])  # document order, so that a smaller position is an earlier window
-        text = np.frombuffer(b"\xfe".join(s[4] for s in segments), np.uint8) + np.uint8(1)  # UTF-8 has no byte over 0xf4; none is zero
-        sizes = np.array([len(s[4]) for s in segments])
+    def block(segments: list[tuple]) -> Iterator[pa.RecordBatch]:
+        segments.sort(key=lambda s: s[3:6])  # document order, so that a smaller position is an earlier window
+        text = np.frombuffer(b"\xfe".join(s[6] for s in segments), np.uint8) + np.uint8(1)  # UTF-8 has no byte over 0xf4; none is zero
+        sizes = np.array([len(s[6]) for s in segments])
         starts = np.cumsum(sizes + 1) - sizes - 1
         valid = np.zeros(len(text), bool)
         for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
@@ -283,28 +281,44 @@ def _mark_repeats(width: int):
         edge = np.diff(np.concatenate([[0], repeated.view(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
         mine = np.searchsorted(starts, first, "right") - 1
-        docs, turns, begins = (np.array([s[k] for s in segments], np.int64)[mine] for k in (1, 2, 3))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs), pa.array(turns.astype(np.int32)), pa.array(begins + first - starts[mine]), pa.array(begins + last - starts[mine] + width)], names=["doc", "turn", "begin", "finish"]
-        )
+        rows = [(REMOVED, None, *segments[k][3:5], segments[k][5] + a, segments[k][5] + b + width, None) for k, a, b in zip(mine.tolist(), (first - starts[mine]).tolist(), (last - starts[mine]).tolist(), strict=True)]
+        for s, a, n in zip(segments, starts.tolist(), sizes.tolist(), strict=True):
+            done = repeated[a : a + n - width + 1]
+            if s[2] == SECOND and not done.all():
+                rows.append((WRONG, s[0], *s[3:5], s[5], s[5] + n, None))
+            if s[1] >= 0 and not done.all():
+                rows += left(s, done)
+            if len(rows) > 20_000:
+                yield found(rows)
+                rows = []
+        if rows:
+            yield found(rows)
+
+    def left(s: tuple, done: np.ndarray) -> Iterator[tuple]:
+        keys = _near_keys(s[6], width, step)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (done[1:] != done[:-1])
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True):
+            if not done[a]:
+                yield LEFT, int(keys[a]), *s[3:5], s[5] + a, s[5] + b - 1 + width, s[6][a : b - 1 + width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: list[tuple] = []  # of keys that have ended
+        whole: list[tuple] = []  # of parts that have ended
         last: list[tuple] = []
         size = 0
         for batch in batches:
-            for segment in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
-                if last and last[0][0] != segment[0]:
+            for segment in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if last and last[0][:2] != segment[:2]:
+                    whole += last
                     if size >= BLOCK_BYTES:
-                        yield block(whole + last)
+                        yield from block(whole)
                         whole, size = [], 0
-                    else:
-                        whole += last
                     last = []
                 last.append(segment)
-                size += len(segment[4])
+                size += len(segment[6])
         if whole or last:
-            yield block(whole + last)
+            yield from block(whole + last)
 
     return run
 
@@ -318,30 +332,56 @@ def numbered_rows(docs: DataFrame, *extra: str) -> DataFrame:
     return rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("turn"), "text", *extra)
 
 
+def _with_part(segments: DataFrame, size, spread, least_rows: int = 1) -> DataFrame:
+    """Adds part, by ``spread``: -1 for a key of at most KEY_BYTES, else parts of about so many bytes. Keys of fewer rows than ``least_rows`` go."""
+    sizes = segments.groupBy("key").agg(F.sum(size).alias("size"), F.count("*").alias("n"))
+    parts = F.when(F.col("size") > KEY_BYTES, F.ceil(F.col("size") / KEY_BYTES).cast("int"))
+    sizes = sizes.select("key", parts.alias("parts"), "n")
+    if least_rows > 1:
+        segments, sizes = segments.join(sizes.where(F.col("n") >= least_rows), "key"), None
+    else:
+        sizes = materialize(sizes.where("parts is not null").select("key", "parts"), "large-keys")
+        few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        segments = segments.join(F.broadcast(sizes) if few else sizes, "key", "left")
+    return segments.withColumn("part", F.coalesce(F.pmod(spread, F.col("parts")).cast("int"), F.lit(-1)))
+
+
+def _sorted(cut: DataFrame, width: int, step: int) -> DataFrame:
+    dealt = cut.select(*_CUT).repartition("key", "part").sortWithinPartitions("key", "part")
+    return materialize(dealt.mapInArrow(_sort_segments(width, step), _SORTED_SCHEMA), "sorted")
+
+
+def _sort_all(numbered: DataFrame, segments: DataFrame, width: int) -> list[DataFrame]:
+    """What sorting gives in every round, first of the segments by key, then of what is left of large keys."""
+    parted = _with_part(segments, F.col("finish") - F.col("begin"), F.col("content"))
+    per_doc = parted.groupBy("doc", "turn").agg(F.collect_list(F.struct("key", "part", "nth", "begin", "finish")).alias("segments"))
+    cut = numbered.join(per_doc, ["doc", "turn"]).select("doc", "turn", "text", "segments").mapInArrow(_cut_bytes, "key long, part int, nth int, doc long, turn int, begin long, data binary")
+    rounds = [_sorted(cut, width, STEPS[0])]
+    while rounds[-1].where(F.col("kind") == LEFT).limit(1).count():
+        left = rounds[-1].where(F.col("kind") == LEFT).withColumn("nth", F.lit(FIRST))
+        parted = _with_part(left, F.length("data"), F.xxhash64("doc", "turn", "begin"), 2)
+        rounds.append(_sorted(parted, width, STEPS[min(len(rounds), len(STEPS) - 1)]))
+    return rounds
+
+
 def removals(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, turn, begin, finish): byte ranges whose union is what repeats something earlier."""
     compared = (
         numbered.mapInArrow(_find_segments(width), _SEGMENT)
-        .repartition("route").sortWithinPartitions("route", "content", "doc", "turn", "place")
-        .mapInArrow(_compare_segments(width), "key long, doc long, turn int, begin long, finish long, candidate boolean")
+        .repartition("route").sortWithinPartitions("route", "key", "content", "doc", "turn", "place")
+        .mapInArrow(_compare_segments(width), _COMPARED)
     )
     compared = materialize(compared, "segments")
-    candidates = compared.where("candidate")
-    large = candidates.groupBy("key").agg(F.sum(F.col("finish") - F.col("begin")).alias("size")).where(F.col("size") > BLOCK_BYTES).select("key", F.lit(True).alias("large"))
-    large = materialize(large, "large-keys")
-    few = large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    candidates = candidates.join(F.broadcast(large) if few else large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    per_doc = candidates.groupBy("doc", "turn").agg(F.collect_list(F.struct("key", "large", "begin", "finish")).alias("segments"))
-    cut = numbered.join(per_doc, ["doc", "turn"]).select("doc", "turn", "text", "segments").mapInArrow(_cut_bytes, "key long, large boolean, doc long, turn int, begin long, data binary")
-    cut = materialize(cut, "segment-bytes")
-    dealt = materialize(cut.where("large").mapInArrow(_deal_windows(width), cut.schema), "windows")
-    known = dealt.where("large").select("doc", "turn", "begin", (F.col("begin") + width).alias("finish"))
-    found = (
-        cut.where(~F.col("large")).union(dealt.where(~F.col("large")))
-        .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_mark_repeats(width), "doc long, turn int, begin long, finish long")
-    )
-    return compared.where(~F.col("candidate")).select("doc", "turn", "begin", "finish").union(found).union(known)
+    copies = compared.where(F.col("nth") == MORE)
+    rounds = _sort_all(numbered, compared.where(F.col("nth") != MORE), width)
+    wrong = rounds[0].where(F.col("kind") == WRONG).select("key").distinct()
+    if wrong.limit(1).count():  # equal hashes of unequal segments: these keys' copies are sorted as well
+        rounds += _sort_all(numbered, compared.join(wrong, "key", "left_semi").withColumn("nth", F.lit(FIRST)).withColumn("content", F.xxhash64("doc", "turn", "begin")), width)
+        copies = copies.join(wrong, "key", "left_anti")
+    out = copies.select("doc", "turn", "begin", "finish")
+    for r in rounds:
+        out = out.union(r.where(F.col("kind") == REMOVED).select("doc", "turn", "begin", "finish"))
+    return out
 
 
 def _apply(as_text: bool):

@@ -145,3 +145,68 @@ def test_remove_repeats_as_text_and_of_nothing(spark, empty):
     rows = [(1, "é" * 60), (2, "a" + "é" * 60 + "b")]
     got = {r.doc_id: r.kept for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), as_text=True).collect()}
     assert set(got[2]) <= set("aéb") and got[2][0] == "a" and got[2][-1] == "b"
+
+
+def removed(spark, rows):
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr)
+
+
+@pytest.mark.parametrize("steps", [(24, 6, 1), (1,)])
+@pytest.mark.parametrize("limit", [100, 400, 3000])
+def test_keys_of_many_contents_are_sorted_in_parts(spark, odd, monkeypatch, limit, steps):
+    """One passage stands in every text, with other words before and after it, or cut short."""
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "STEPS", steps)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_KEYS", 3)
+    rng = random.Random(limit)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    passage = " ".join(word() for _ in range(40))
+    rows = []
+    for k in range(120):
+        a, b = rng.choice([(0, 10**6), (0, 10**6), (rng.randint(0, 60), 10**6), (0, rng.randint(80, 160))])
+        rows.append((k, f"{' '.join(word() for _ in range(rng.randint(0, 12)))} {passage[a:b]} {' '.join(word() for _ in range(rng.randint(0, 12)))}"))
+    rows += [(1000 + k, "z" * 500) for k in range(5)] + [(2000, "ab" * 400)]
+    assert removed(spark, rows) == brute(rows, 100)
+
+
+def test_folds_keep_two_and_part_keys_of_many_contents(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FOLD_KEY", 3)
+    key = np.array([5] * 10 + [6] * 4, np.int64)
+    content = np.array([1, 1, 1, 2, 3, 4, 4, 4, 5, 6, 9, 9, 9, 9], np.int64)
+    doc = np.arange(14)
+    got = suffix_dedup._fold([key, content, doc, np.zeros(14, np.int64), suffix_dedup._pack(np.zeros(14), np.ones(14), np.zeros(14))]).to_pydict()
+    marks = {d: p & 3 for d, p in zip(got["doc"], got["place"], strict=True)}
+    assert [marks[d] for d in range(14)] == [0, 0, 2, 0, 0, 1, 1, 2, 1, 1, 0, 0, 2, 2]
+    route = dict(zip(got["doc"], got["route"], strict=True))
+    assert {route[d] for d in (0, 1, 3, 4)} == {5} and route[5] == route[6] != 5 and route[10] == 6
+    assert got["key"] == key.tolist() and got["content"] == content.tolist()
+
+
+def test_a_second_segment_that_differs_is_reported():
+    one, other = b"x" * 60 + b"abcdefgh" * 10, b"y" * 60 + b"abcdefgh" * 10
+    import pyarrow as pa
+
+    rows = [(1, -1, 0, 1, 0, 0, one), (1, -1, 1, 2, 0, 0, other), (2, -1, 0, 1, 0, 0, one[1:]), (2, -1, 1, 3, 0, 0, one[1:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), suffix_dedup._CUT.values(), strict=True)], names=list(suffix_dedup._CUT))
+    got = [r for b in suffix_dedup._sort_segments(100, 24)(iter([batch])) for r in b.to_pylist()]
+    assert {r["key"] for r in got if r["kind"] == suffix_dedup.WRONG} == {1}
+
+
+def test_wrong_hashes_lose_nothing(spark, monkeypatch):
+    """Segments are taken for copies of each other though their bytes differ; the suffix arrays set it right."""
+    plain = suffix_dedup._find_segments
+
+    def blind(width):
+        def run(batches):
+            for batch in plain(width)(batches):
+                yield batch.set_column(2, "content", (batch.column(2).to_numpy() & 1).astype(np.int64))
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_find_segments", blind)
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 200))) + passage[rng.randint(0, 50) : rng.randint(150, 300)]) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    assert removed(spark, rows) == brute(rows, 100)

@@ -7,9 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Stands for a null id; before all others.
+NULL_ID = -(1 << 63)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``), as a whole URI.
@@ -42,19 +45,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, *written: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
-    for df in written:
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            system, path = _file_system(spark, folder)
-            system.delete(path, True)
+def written() -> int:
+    """How many tables ``materialize`` has written; a mark for ``delete_since``."""
+    return len(_written)
+
+
+def delete_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete what was written from ``mark`` on but the table ``keep``; nothing else may read it any more."""
+    kept = _folders(keep)
+    for path in [p for p in _written[mark:] if not any(k.rstrip("/").endswith(p.rsplit("/", 1)[1]) for k in kept)]:
+        system, at = _file_system(spark, path)
+        system.delete(at, True)
+        _written.remove(path)
+
+
+def delete(spark: SparkSession, df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    for folder in _folders(df):
+        system, at = _file_system(spark, folder)
+        system.delete(at, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+
+
+def own_id(doc: str):
+    """The doc_id behind the column doc of ``numbered_rows``."""
+    return F.nullif(F.col(doc), F.lit(NULL_ID))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -67,3 +96,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def numbered_rows(docs: DataFrame, *extra: str) -> DataFrame:
+    """doc (the id, null as the least long), turn, text and extra columns: turn tells rows of one doc_id apart, in text order; the ids are only counted where all differ."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return rows.select("doc", F.lit(0).alias("turn"), "text", *extra)
+    return rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("turn"), "text", *extra)

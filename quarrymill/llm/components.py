@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # stars: every node has one smaller end, and no such end has a smaller one itself
         stats = after.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()
         deeper = after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        delete(edges.sparkSession, links)
         links = after
         if (stats.most or 1) == 1 and not deeper:
             break

@@ -7,6 +7,10 @@ its t_i (a group with -1 needn't be looked at). The thresholds are unequal: a dy
 programme picks those of the fewest expected candidates, m included. Each fingerprint is
 filed under its value of every group, and looked up under all values within t_i bits.
 What meets in a value is verified on all 64 bits.
+
+``similar_documents`` takes the same search as a filter: documents whose fingerprints are
+within some bits, over links of others, form a group, in which the pairs within these bits are
+linked if their sets of word shingles are as alike as is asked for.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, numbered_rows, text_or_empty
 from .components import connected_components
 from .tokens import _texts
 
@@ -31,6 +35,10 @@ SEED = 42
 BUCKET_ROWS = 8192
 #: A look-up costs about as much as so many verified candidates.
 PROBE_COST = 40.0
+#: Rows of one group whose shingles are compared in one place; a larger group is cut into blocks of half this size.
+GROUP_ROWS = 1024
+#: Bits of the maps of shingles that rule most unlike pairs out.
+MAP_BITS = 4096
 
 
 def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
@@ -155,16 +163,20 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 
 def make_plan(n: int, together: np.ndarray, tau: int, max_groups: int = 6) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each group to look at, by the least expected work."""
+    """(bits, threshold) of each group to look at, by the least expected work.
+
+    Thresholds go up to 3, or as far as ``max_groups`` groups need for tau.
+    """
     plans = []
+    top = min(tau, max(3, -(-(tau - max_groups + 1) // max_groups)))
     for m in range(2, max_groups + 1):
         groups = group_bits(n, together, m)
         costs = []
         for group in groups:
-            pairs = expected_candidates(n, together, group, min(tau, 3))
+            pairs = expected_candidates(n, together, group, top)
             probes = [sum(comb(len(group), j) for j in range(1, t + 1)) / 2 + 1 for t in range(len(pairs))]
             costs.append([c + PROBE_COST * n * q for c, q in zip(pairs, probes, strict=True)])
-        if -m <= tau - m + 1 <= m * min(tau, 3):
+        if -m <= tau - m + 1 <= m * top:
             cost, chosen = allocate(costs, tau - m + 1)
             plans.append((cost, m, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(plans, key=lambda x: x[:2])[2]
@@ -271,13 +283,8 @@ def near_links(prints: DataFrame, tau: int = 4) -> DataFrame:
     n, together = bit_statistics(prints)
     plan = make_plan(n, together, tau)
     rows = bucket_rows(prints, plan)
-    rows = materialize(rows.withColumn("block", F.lit(0)), "buckets") if n else rows.withColumn("block", F.lit(0))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > BUCKET_ROWS).select("bucket", F.ceil(F.col("size") / (BUCKET_ROWS // 2)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cell = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.greatest(o, mine) * F.col("blocks") + F.least(o, mine))))
-    cut = rows.join(large, "bucket", "left").select("bucket", cell.alias("cell"), "look_up", "fp")
+    rows = materialize(rows, "buckets")
+    cut = _in_cells(rows, "bucket", "fp", BUCKET_ROWS).select("bucket", "cell", "look_up", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links()
@@ -307,6 +314,16 @@ def _verify_cells(table: list[np.ndarray], tau: int, links: _Links) -> None:
     _verify(np.concatenate([[0], np.cumsum(change)]), look_up.astype(bool), fp, tau, links)
 
 
+def _in_cells(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
+    """Adds cell: 0 in groups of at most ``most`` rows; rows of a larger one are copied to every pair of their block and another."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > most).select(group, F.ceil(F.col("_n") / (most // 2)).cast("int").alias("_blocks"))
+    mine = F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    cell = F.when(F.col("_blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(others, lambda o: F.greatest(o, mine) * F.col("_blocks") + F.least(o, mine)))
+    return rows.join(large, group, "left").withColumn("cell", F.explode(cell)).drop("_blocks")
+
+
 def near_duplicates(docs: DataFrame, tau: int = 4, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -328,3 +345,109 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = SHINGLE) -> DataF
     found = connected_components(links.join(a, "a").join(b, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).union(shared))
     component = classes.join(found, classes.first_id == found.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------- shingles beside bits
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted XXH64 values of the different word shingles; fewer words are one shingle, none no shingle."""
+    import xxhash
+
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        return np.array([h(b" ".join(words), SEED)] if words else [], np.uint64)
+    return np.unique(np.array([h(b" ".join(words[k : k + size]), SEED) for k in range(len(words) - size + 1)], np.uint64))
+
+
+def linked_pairs(nodes: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], tau: int, least: float) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs within tau bits whose sets have a Jaccard similarity of ``least``."""
+    n = len(nodes)
+    sizes = np.array([len(x) for x in sets])
+    maps = np.zeros((n, MAP_BITS), bool)
+    for k, x in enumerate(sets):
+        maps[k, (x % np.uint64(MAP_BITS)).astype(np.int64)] = True
+    hidden = sizes - maps.sum(1)  # shingles behind another one's bit
+    maps = np.packbits(maps, axis=1).view(np.uint64)
+    label = np.arange(n)
+    links = []
+    for i in range(n - 1):
+        j = np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= tau) & (label[i + 1 :] != label[i])) + i + 1
+        for at in range(0, len(j), 4096):
+            some = j[at : at + 4096]
+            most = np.bitwise_count(maps[some] & maps[i]).sum(1, dtype=np.int64) + np.minimum(hidden[some], hidden[i])
+            for k in some[most * (1 + least) >= least * (sizes[some] + sizes[i]) - 1e-6].tolist():
+                if label[k] != label[i]:
+                    common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if common >= least * (sizes[i] + sizes[k] - common) - 1e-9:
+                        links.append((int(nodes[i]), int(nodes[k])))
+                        label[label == label[k]] = label[i]
+    return links
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, tau: int = 8, size: int = 2) -> DataFrame:
+    """One row per document: doc (its doc_id, null as the least long), turn, first_doc, first_turn.
+
+    Documents are linked whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``least`` or more and whose fingerprints over ``size``-word shingles are within ``tau`` bits;
+    first_doc and first_turn name the smallest document that is reachable. Fingerprints over
+    fewer words change less by an edit, so they lose few of the similar pairs.
+
+    Rows of equal doc_id are documents of their own, told apart by turn in the order of their
+    texts. Null and empty texts have no shingle and are linked with each other alone. Other
+    columns are ignored. Empty table: no row.
+    """
+    import xxhash
+
+    numbered = numbered_rows(docs)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = list(_texts(batch))
+            fp = np.array([fingerprint_of(x, size) for x in texts], np.uint64).view(np.int64)
+            same = np.array([xxhash.xxh3_64_intdigest(shingle_set(x, shingle).tobytes()) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(same)], names=["doc", "turn", "fp", "same"])
+
+    prints = materialize(numbered.select("doc", "turn", "text").mapInArrow(measure, "doc long, turn int, fp long, same long"), "prints")
+    # one row per set of shingles: copies fold before any search, and a class is known by its first document
+    node = F.when(F.col("head.turn") == 0, F.col("head.doc")).otherwise(F.xxhash64("head.doc", "head.turn"))
+    classes = prints.groupBy("fp", "same").agg(F.min(F.struct("doc", "turn")).alias("head")).select("fp", "same", "head", node.alias("node"))
+    classes = materialize(classes, "classes")
+    near = connected_components(near_links(classes.select("fp").distinct(), tau))
+    grouped = classes.join(near, classes.fp == near.node, "left").select(classes.node, "fp", "head", F.coalesce("component", "fp").alias("group"))
+    grouped = grouped.join(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group", "left_semi")
+    grouped = grouped.select("node", "fp", "group", F.col("head.doc").alias("doc"), F.col("head.turn").alias("turn"))
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x, shingle).view(np.int64) for x in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sets, pa.list_(pa.int64()))], names=["group", "node", "fp", "shingles"])
+
+    sets = numbered.join(grouped, ["doc", "turn"]).select("group", "node", "fp", "text").mapInArrow(with_sets, "group long, node long, fp long, shingles array<long>")
+    cut = _in_cells(materialize(sets, "shingles"), "group", "node", GROUP_ROWS).select("group", "cell", "node", "fp", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list[tuple]) -> pa.RecordBatch:
+            nodes, fp = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+            found = linked_pairs(nodes, fp.view(np.uint64), [r[4] for r in rows], tau, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        rows: list[tuple] = []  # of one cell
+        for batch in batches:
+            shingles = batch.column(4)
+            for k, head in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if rows and rows[0][:2] != head[:2]:
+                    yield links(rows)
+                    rows = []
+                rows.append((*head, shingles[k].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        if rows:
+            yield links(rows)
+
+    found = connected_components(cut.repartition("group", "cell").sortWithinPartitions("group", "cell", "node").mapInArrow(compare, "a long, b long"))
+    found = found.withColumnRenamed("node", "n")
+    whole = classes.join(found, classes.node == found.n, "left").select("fp", "same", "head", F.coalesce("component", "node").alias("component"))
+    firsts = whole.groupBy("component").agg(F.min("head").alias("first"))
+    return prints.join(whole.join(firsts, "component").select("fp", "same", "first"), ["fp", "same"]).select(
+        "doc", "turn", F.col("first.doc").alias("first_doc"), F.col("first.turn").alias("first_turn")
+    )

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import NULL_ID, materialize, numbered_rows
 from .suffix_array import later_windows
 from .tokens import _texts
 
@@ -43,7 +43,6 @@ BLOCK_BYTES, KEY_BYTES = 2_000_000, 128_000
 STEPS = (24, 6, 1)
 #: Large keys up to which they are broadcast to their segments; beyond, a shuffle join.
 BROADCAST_KEYS = 100_000
-_NULL_ID = -(1 << 63)
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _tables: dict[str, np.ndarray] = {}
 
@@ -323,15 +322,6 @@ def _sort_segments(width: int, step: int):
     return run
 
 
-def numbered_rows(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc (the id, null as the least long), turn, text and extra columns: turn tells rows of one doc_id apart, in text order; the ids are only counted where all differ."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *extra)
-    repeated = rows.groupBy("doc").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return rows.select("doc", F.lit(0).alias("turn"), "text", *extra)
-    return rows.select("doc", (F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1).alias("turn"), "text", *extra)
-
-
 def _with_part(segments: DataFrame, size, spread, least_rows: int = 1) -> DataFrame:
     """Adds part, by ``spread``: -1 for a key of at most KEY_BYTES, else parts of about so many bytes. Keys of fewer rows than ``least_rows`` go."""
     sizes = segments.groupBy("key").agg(F.sum(size).alias("size"), F.count("*").alias("n"))
@@ -407,7 +397,7 @@ def _apply(as_text: bool):
                         last = b
                     kept = b"".join([*parts, text[last:]])
                     removed = [{"begin": a, "finish": b} for a, b in merged]
-                    row = (None if doc == _NULL_ID else doc, turn, len(text), sum(b - a for a, b in merged), len(merged), kept.decode(errors="ignore") if as_text else kept, removed)
+                    row = (None if doc == NULL_ID else doc, turn, len(text), sum(b - a for a, b in merged), len(merged), kept.decode(errors="ignore") if as_text else kept, removed)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)

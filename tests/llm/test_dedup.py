@@ -8,6 +8,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quarrymill.llm import simhash, suffix_dedup
 from quarrymill.llm.components import connected_components
 from quarrymill.llm.suffix_array import later_windows, shares_prefix, suffix_array
@@ -210,3 +212,73 @@ def test_wrong_hashes_lose_nothing(spark, monkeypatch):
     rows = [(k, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 200))) + passage[rng.randint(0, 50) : rng.randint(150, 300)]) for k in range(60)]
     rows += [(100 + k, rows[k][1]) for k in range(5)]
     assert removed(spark, rows) == brute(rows, 100)
+
+
+def shingle_set(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar(a, b, least=0.8):
+    a, b = shingle_set(a), shingle_set(b)
+    return a == b or len(a & b) >= least * len(a | b)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(1000)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize(("rows", "tau"), [(1024, 64), (16, 64), (16, 8)])
+def test_similar_documents_against_all_pairs(spark, odd, monkeypatch, rows, tau):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows)  # 16: groups are cut into blocks
+    rng = random.Random(rows)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([30, 120, 400]))] for _ in range(6)]
+    made = [(5000 + k, edited(rng, base[k % 6], rng.choice([0, 1, 2, 5]) * len(base[k % 6]) // 100)) for k in range(90)]
+    docs = odd.select("doc_id", "text", F.lit("x").alias("doc"), F.lit(1).alias("turn")).union(spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'x'", "1"))
+    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    prints = [simhash.fingerprint_of(t.encode(), 2) for _, _, t in texts]
+    labels = components_of(list(range(len(texts))), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= tau and similar(texts[a][2], texts[b][2]))
+    least = {}
+    for k, label in enumerate(labels):
+        least.setdefault(label, k)
+    want = sorted((texts[k][:2], texts[least[label]][:2]) for k, label in enumerate(labels))
+    null = -(1 << 63)
+    name = lambda d: (d != null, d if d != null else 0)
+    if tau == 64:
+        monkeypatch.setattr(simhash, "near_links", lambda p, t: p.select(F.col("fp").alias("a"), F.lit(prints[0] - (1 << 64) if prints[0] >> 63 else prints[0]).alias("b")).where("a <> b"))
+    got = simhash.similar_documents(docs, tau=tau).collect()
+    assert sorted((name(r.doc), name(r.first_doc)) for r in got) == want
+    assert len({(r.doc, r.turn) for r in got}) == len(got)
+
+
+def test_similar_documents_of_nothing(empty):
+    assert simhash.similar_documents(empty).count() == 0
+
+
+def test_most_similar_documents_are_found(spark):
+    """Of the pairs of sf0.01 with a similarity of 0.8 or more, nine tenths end in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    group = {r.doc: r.first_doc for r in simhash.similar_documents(docs).collect()}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, set()).add(d)
+    pairs = {(a, b) for h in holders.values() if len(h) > 1 for a in h for b in h if a < b}
+    near = [(a, b) for a, b in pairs if sets[a] != sets[b] and similar(texts[a], texts[b])]
+    assert near and sum(group[a] == group[b] for a, b in near) >= 0.9 * len(near)
+    firsts = {}
+    for d, f in group.items():
+        firsts.setdefault(f, []).append(d)
+    for f, members in firsts.items():  # nothing is linked that isn't similar
+        assert f == min(members) and all(any(similar(texts[a], texts[b]) for b in members if b != a) for a in members if len(members) > 1)
+
+
+@pytest.mark.parametrize("tau", [4, 8, 13, 24, 40])
+def test_plans_for_any_distance(tau):
+    plan = simhash.make_plan(1000, np.diag(np.full(64, 500.0)) + 250, tau)
+    assert sum(t for _, t in plan) - (6 - len(plan)) >= tau - 5 - 6 and all(t >= 0 for _, t in plan)

@@ -3,13 +3,14 @@
 import zlib
 
 import numpy as np
-from test_dedup import brute, fingerprint
+from test_dedup import brute, similar
 from test_text_operators import brute_contamination
 from test_tokens import plain
 
 import corpus_pipeline as pipeline
 from quarrymill.llm import quality
 from quarrymill.llm.common import materialize
+from quarrymill.llm.simhash import fingerprint_of
 
 
 def rows(df):
@@ -30,13 +31,14 @@ def test_stages_and_run(spark, data):
     good = {d for d, p in zip(kept[0][0], model.probability(matrix), strict=True) if p >= 0.3}
     assert set(rows(kept[0][1])) == good
 
-    prints = {d: fingerprint(r.text) for d, r in kept[1][0].items()}
+    texts = {d: r.text for d, r in kept[1][0].items()}
+    prints = {d: fingerprint_of(t.encode(), 2) for d, t in texts.items()}
     left, firsts = sorted(prints), set()
     while left:
         group, todo = {left[0]}, [left[0]]
         while todo:
             x = todo.pop()
-            new = {d for d in left if d not in group and (prints[d] ^ prints[x]).bit_count() <= 4}
+            new = {d for d in left if d not in group and (prints[d] ^ prints[x]).bit_count() <= 8 and similar(texts[d], texts[x])}
             group |= new
             todo += new
         firsts.add(min(group))
@@ -61,3 +63,40 @@ def test_stages_and_run(spark, data):
         own = packed[packed.doc_id == d].sort_values("start")
         assert own.length.sum() == len(ids) and [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
     assert sorted(map(tuple, pipeline.run(spark, data).collect())) == sorted(map(tuple, kept[4][1].collect()))
+
+
+def test_stages_on_odd_rows(spark, odd, empty, data):
+    """Nulls, empty and long texts, repeated ids and rows, clashing columns, and no row at all, through every stage."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    all_rows = sorted((tuple(r) for r in odd.select(*columns).collect()), key=repr)
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        nothing = stage(spark, empty, data)
+        assert nothing.count() == 0, name
+        got = stage(spark, odd.union(odd), data)
+        if k == 4:
+            assert got.agg({"length": "sum"}).first()[0] == 2 * sum(len(plain(r[1])) + 1 for r in all_rows)
+            continue
+        assert got.columns == columns and nothing.columns == columns
+        rows = sorted((tuple(r) for r in got.collect()), key=repr)
+        if name == "SimHash near-dedup":
+            texts = [r[1] for r in rows]
+            assert len(set(texts)) == len(texts) and sum(not t.strip() for t in texts) == 1
+            assert {r[0] for r in rows} >= {None, 5, 6, 7} and sum(r[0] == 7 for r in rows) == 2 and not {r[0] for r in rows} & {1, 3, 4}
+        if name == "suffix-array dedup":
+            assert all(r[1] is not None for r in rows) and sum(len((r[1] or "").encode()) for r in rows) < sum(len((r[1] or "").encode()) for r in all_rows)
+        if name == "benchmark decontamination":
+            assert rows == sorted(all_rows * 2, key=repr)
+
+
+def test_run_leaves_only_what_its_result_reads(spark, data):
+    import pathlib
+
+    from quarrymill.llm import common
+
+    mark = common.written()
+    result = pipeline.run(spark, data)
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file://"))
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir()}
+    assert "suffix-array-dedup" not in left or result.count()
+    assert "quality-classifier" not in left and "SimHash-near-dedup" not in left
+    assert len(common._written) - mark <= 6

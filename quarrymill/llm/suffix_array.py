@@ -107,13 +107,14 @@ def shares_prefix(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray
     return out
 
 
-def later_windows(text: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
-    """Valid window starts whose ``width`` bytes also start at a smaller valid position of the text."""
+def later_windows(text: np.ndarray, valid: np.ndarray, width: int, place: np.ndarray | None = None) -> np.ndarray:
+    """Valid window starts whose ``width`` bytes also start at a valid position of a smaller place (by default, the position itself)."""
     order = suffix_array(text, width)
     linked = shares_prefix(text, order, width)
     starts = np.flatnonzero(np.concatenate([[True], ~linked]))
-    places = np.where(valid[order], order, len(text))
+    own = order if place is None else place[order]
+    places = np.where(valid[order], own, np.iinfo(np.int64).max)
     least = np.repeat(np.minimum.reduceat(places, starts), np.diff(np.append(starts, len(order))))
     out = np.zeros(len(text), bool)
-    out[order] = valid[order] & (order > least)
+    out[order] = valid[order] & (own > least)
     return out

@@ -5,14 +5,17 @@ bytes has a key: the least hash of its ``GRAM``-byte strings, which depends on i
 alone. A segment is a run of windows of one key; some thirty windows share one.
 
 1. Segments are dealt by key as numbers (two 64-bit hashes: key and content). Those without
-   another of their key can't repeat anything and end here. Of segments of one content the
-   first two go on, the others are copies. Tasks fold copies before the shuffle, and a key
-   of many contents is dealt in parts, so that no key's rows meet in one task.
-2. What goes on is fetched as bytes and dealt by key. Each task puts segments in document
-   order into blocks, builds the block's suffix array by two-stage sorting and marks every
-   window that shares ``width`` bytes with an earlier one. Copies are removed once the suffix
-   array has found the second segment of their content to repeat the first throughout; where
-   it has not, the hashes were wrong, and all copies of that key go through suffix arrays.
+   another of their key can't repeat anything and end here. The first of every other content
+   goes on with its key, the second together with the first, and all others are copies. Tasks
+   fold copies before the shuffle, and a key of many contents is dealt in parts, so that no
+   key's rows meet in one task.
+2. What goes on is fetched as bytes: segments of a key with several contents are dealt by
+   key, and second segments that follow each other, as the first ones do, make a run that is
+   dealt with the run of the first ones. Each task puts what it gets in document order into
+   blocks, builds the block's suffix array by two-stage sorting and marks every window that
+   shares ``width`` bytes with an earlier one. Copies are removed once the suffix array has
+   found the second segment of their content to repeat the first throughout; where it has
+   not, the hashes were wrong, and all copies of that key go through suffix arrays.
 3. A key of more than ``KEY_BYTES`` is cut into parts, each sorted like a key. The windows that
    no part has found to repeat are dealt anew by what is near their key's string, ever more
    of it (all but ``STEPS`` bytes), until the parts of a key have met.
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ FOLD_KEY, FOLD_PARTS = 64, 32
 BLOCK_BYTES, KEY_BYTES = 2_000_000, 128_000
 #: Bytes of a window that the keys of one round after another leave out, less one; the last is repeated.
 STEPS = (24, 6, 1)
+#: Bytes of a run from which on another begins.
+RUN_BYTES = 100_000
 #: Large keys up to which they are broadcast to their segments; beyond, a shuffle join.
 BROADCAST_KEYS = 100_000
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
@@ -180,45 +186,92 @@ def _find_segments(width: int):
 
 
 FIRST, SECOND, MORE = 0, 1, 2
-_COMPARED = "key long, content long, doc long, turn int, begin long, finish long, nth int"
+_COMPARED = "key long, content long, doc long, turn int, begin long, finish long, nth int, from_doc long, from_turn int, from_begin long"
 
 
 def _compare_segments(width: int):
-    """Over rows sorted by route, key, content and place: the first two of a content, unless they are alone with their key, and its copies."""
+    """Over rows sorted by route, key, content and place: firsts of keys of several contents, seconds with the place of their first, and copies."""
 
-    def emit(rows: list[np.ndarray], nth: np.ndarray) -> pa.RecordBatch:
+    def emit(rows: list[np.ndarray], nth: int, firsts: list[np.ndarray] | None = None) -> pa.RecordBatch:
         begin, windows, _ = _unpack(rows[5])
-        columns = [rows[1], rows[2], rows[3], rows[4].astype(np.int32), begin, begin + windows - 1 + width, nth.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "content", "doc", "turn", "begin", "finish", "nth"])
+        doc, turn, place = firsts or (rows[3], rows[4], rows[5])
+        columns = [rows[1], rows[2], rows[3], rows[4].astype(np.int32), begin, begin + windows - 1 + width, np.full(len(begin), nth, np.int32), doc, turn.astype(np.int32), place >> 32]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _COMPARED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last row, whose successor isn't known yet
-        held_nth, held_near = 0, False
+        # the last content's first row and how many rows it has had; whether that row waits for another content of its key
+        held: list[np.ndarray] | None = None
+        held_n, waiting = 0, False
         for batch in batches:
             rows = [c.to_numpy().astype(np.int64) for c in batch.columns]
             copies = (rows[5] & 3) == COPY
             if copies.any():
-                some = [x[copies] for x in rows]
-                yield emit(some, np.full(len(some[0]), MORE))
+                yield emit([x[copies] for x in rows], MORE)
                 rows = [x[~copies] for x in rows]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             if not len(rows[0]):
                 continue
-            near = rows[1][1:] == rows[1][:-1]  # of one key
-            first = np.append(True, ~near | (rows[2][1:] != rows[2][:-1]))
-            starts = np.flatnonzero(first)
-            nth = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
+            new_key = np.append(True, rows[1][1:] != rows[1][:-1])
+            first = new_key | np.append(True, rows[2][1:] != rows[2][:-1])
             if held is not None:
-                nth[: starts[1] if len(starts) > 1 else None] += held_nth
-            nth = np.minimum(nth, MORE)
-            wanted = ((rows[5] & 3) == WANTED) | np.append(near, False) | np.append(held is not None and held_near, near)
-            held, held_nth, held_near = [x[-1:] for x in rows], int(nth[-1]), bool(near[-1]) if len(near) else held_near
-            some = [x[:-1][wanted[:-1]] for x in rows]
-            if len(some[0]):
-                yield emit(some, nth[:-1][wanted[:-1]])
-        if held is not None and (held_near or (held[5] & 3)[0] == WANTED):
-            yield emit(held, np.array([held_nth]))
+                new_key[0] = rows[1][0] != held[1][0]
+                first[0] = new_key[0] or rows[2][0] != held[2][0]
+                if first[0] and waiting:
+                    if not new_key[0]:
+                        yield emit(held, FIRST)
+                    waiting = False
+            starts = np.flatnonzero(first)
+            lead = int(starts[0]) if len(starts) else len(first)  # rows that go on with the held content
+            sizes = np.diff(np.append(starts, len(first)))
+            nth = np.concatenate([held_n + np.arange(lead), np.arange(len(first) - lead) - np.repeat(starts - lead, sizes)])
+            source = np.repeat(starts, sizes)  # of the rows after the lead: where their first stands
+            if lead:
+                some = np.arange(lead)[nth[:lead] == 1]
+                if len(some):
+                    yield emit([x[some] for x in rows], SECOND, [held[k] for k in (3, 4, 5)])
+            some = np.flatnonzero(nth == 1)
+            some = some[some >= lead]
+            if len(some):
+                at = source[some - lead]
+                yield emit([x[some] for x in rows], SECOND, [rows[k][at] for k in (3, 4, 5)])
+            if (nth > 1).any():
+                yield emit([x[nth > 1] for x in rows], MORE)
+            # a first goes on with its key if another content of the key stands before or after it
+            wanted = ((rows[5][starts] & 3) == WANTED) | ~new_key[starts] | np.append(~new_key[starts[1:]], False)[: len(starts)]
+            if len(starts):
+                done = [x[starts[wanted]] for x in rows]
+                if len(done[0]):
+                    yield emit(done, FIRST)
+                held, held_n, waiting = [x[starts[-1:]] for x in rows], int(sizes[-1]), not wanted[-1]
+            else:
+                held_n += lead
+
+    return run
+
+
+def _merge_runs(width: int):
+    """Seconds sorted by document and begin to runs: two rows of one key each, the firsts' bytes and the seconds'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            doc, turn, begin, finish, from_doc, from_turn, from_begin = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            new = np.ones(len(doc), bool)
+            same = (np.diff(doc) == 0) & (np.diff(turn) == 0) & (np.diff(from_doc) == 0) & (np.diff(from_turn) == 0) & (np.diff(from_begin - begin) == 0)
+            new[1:] = ~same | (begin[1:] != finish[:-1] - width + 1)
+            chain = np.repeat(begin[new], np.diff(np.append(np.flatnonzero(new), len(doc))))
+            part = (begin - chain) // RUN_BYTES
+            new[1:] |= part[1:] != part[:-1]
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(doc)) - 1
+            size = finish[b] - begin[a]
+            key = _mixed(_mixed(doc[a].view(np.uint64)) ^ (turn[a].astype(np.uint64) << np.uint64(44)) ^ begin[a].view(np.uint64)).view(np.int64)
+            columns = [
+                np.concatenate(x)
+                for x in ((key, key), (from_doc[a], doc[a]), (from_turn[a], turn[a]), (from_begin[a], begin[a]), (from_begin[a] + size, finish[b]), (np.full(len(a), FIRST), np.full(len(a), SECOND)))
+            ]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "doc", "turn", "begin", "finish", "nth"])
 
     return run
 
@@ -262,95 +315,132 @@ def _near_keys(data: bytes, width: int, step: int) -> np.ndarray:
     return _mixed(core ^ _mixed(part.astype(np.uint64) + np.uint64(step << 32))).view(np.int64)
 
 
-def _sort_segments(width: int, step: int):
-    """Over segments sorted by key and part: what the suffix arrays of blocks of whole parts show."""
+def _sort_segments(width: int, step: int, alone: bool):
+    """Over segments sorted by key and part: what the suffix arrays of blocks of whole parts show. ``alone``: a key's only segment is looked at too."""
 
-    def found(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SORTED.values(), strict=True)], names=list(_SORTED))
+    def rows(kind: int, key, doc, turn, begin, finish, data=None) -> pa.RecordBatch:
+        n = len(doc)
+        columns = [np.full(n, kind, np.int32), key, doc, turn.astype(np.int32), begin, finish]
+        arrays = [pa.array(c, k) for c, k in zip(columns, list(_SORTED.values())[:6], strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(data if data is not None else [None] * n, pa.binary())], names=list(_SORTED))
 
-    def block(segments: list[tuple]) -> Iterator[pa.RecordBatch]:
-        segments.sort(key=lambda s: s[3:6])  # document order, so that a smaller position is an earlier window
-        text = np.frombuffer(b"\xfe".join(s[6] for s in segments), np.uint8) + np.uint8(1)  # UTF-8 has no byte over 0xf4; none is zero
-        sizes = np.array([len(s[6]) for s in segments])
+    def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, part, nth, doc, turn, begin = (table.column(k).to_numpy().astype(np.int64) for k in range(6))
+        order = np.lexsort((begin, turn, doc))  # document order, so that a smaller position is an earlier window
+        data = table.column(6).combine_chunks()
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        key, part, nth, doc, turn, begin = (x[order] for x in (key, part, nth, doc, turn, begin))
+        sizes = np.diff(offsets)[order]
         starts = np.cumsum(sizes + 1) - sizes - 1
-        valid = np.zeros(len(text), bool)
-        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            valid[a : a + n - width + 1] = True
-        repeated = later_windows(text, valid, width)
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text = np.full(int(sizes.sum()) + len(sizes) - 1, 0xFF, np.uint8)  # UTF-8 has no byte over 0xf4; with one added none is zero
+        text[np.repeat(starts, sizes) + inside] = np.frombuffer(data.buffers()[2], np.uint8)[np.repeat(offsets[:-1][order], sizes) + inside] + np.uint8(1)
+        windows = np.maximum(sizes - width + 1, 0)
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[starts[windows > 0]] = 1
+        edge[(starts + windows)[windows > 0]] = -1
+        new = np.append(False, (np.diff(doc) != 0) | (np.diff(turn) != 0))
+        place = np.repeat((np.cumsum(new) << 40) + begin - starts, sizes + 1)[: len(text)] + np.arange(len(text))  # the same bytes may be here twice, in two runs
+        repeated = later_windows(text, np.cumsum(edge[:-1], dtype=np.int8).astype(bool), width, place)
         edge = np.diff(np.concatenate([[0], repeated.view(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
         mine = np.searchsorted(starts, first, "right") - 1
-        rows = [(REMOVED, None, *segments[k][3:5], segments[k][5] + a, segments[k][5] + b + width, None) for k, a, b in zip(mine.tolist(), (first - starts[mine]).tolist(), (last - starts[mine]).tolist(), strict=True)]
-        for s, a, n in zip(segments, starts.tolist(), sizes.tolist(), strict=True):
-            done = repeated[a : a + n - width + 1]
-            if s[2] == SECOND and not done.all():
-                rows.append((WRONG, s[0], *s[3:5], s[5], s[5] + n, None))
-            if s[1] >= 0 and not done.all():
-                rows += left(s, done)
-            if len(rows) > 20_000:
-                yield found(rows)
-                rows = []
-        if rows:
-            yield found(rows)
-
-    def left(s: tuple, done: np.ndarray) -> Iterator[tuple]:
-        keys = _near_keys(s[6], width, step)
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (done[1:] != done[:-1])
-        first = np.flatnonzero(new)
-        for a, b in zip(first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True):
-            if not done[a]:
-                yield LEFT, int(keys[a]), *s[3:5], s[5] + a, s[5] + b - 1 + width, s[6][a : b - 1 + width]
+        if len(mine):
+            yield rows(REMOVED, key[mine], doc[mine], turn[mine], begin[mine] + first - starts[mine], begin[mine] + last - starts[mine] + width)
+        sums = np.concatenate([[0], np.cumsum(repeated)])
+        open_ = sums[starts + windows] - sums[starts] < windows
+        wrong = np.flatnonzero(open_ & (nth == SECOND))
+        if len(wrong):
+            yield rows(WRONG, key[wrong], doc[wrong], turn[wrong], begin[wrong], begin[wrong] + sizes[wrong])
+        left: list[tuple] = []
+        for k in np.flatnonzero(open_ & (part >= 0)).tolist():
+            left += _left(data[int(order[k])].as_py(), repeated[starts[k] : starts[k] + windows[k]], int(doc[k]), int(turn[k]), int(begin[k]), width, step)
+        for at in range(0, len(left), 20_000):
+            *numbers, cut = zip(*left[at : at + 20_000], strict=True)
+            yield rows(LEFT, *(np.array(x, np.int64) for x in numbers), data=cut)
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole parts, about BLOCK_BYTES at a time."""
+        key, part = (table.column(k).to_numpy() for k in range(2))
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        counts = np.diff(np.append(starts, len(key)))
+        if not alone:
+            keep = np.repeat((counts > 1) | (part[starts] >= 0), counts)
+            if not keep.all():
+                table = table.filter(pa.array(keep))
+                starts, counts = (x[(counts > 1) | (part[starts] >= 0)] for x in (starts, counts))
+                starts = np.cumsum(counts) - counts
+        if not len(table):
+            return
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(6)).to_numpy().astype(np.int64))])
+        begin = 0
+        for at in np.flatnonzero(np.diff(size[starts] // BLOCK_BYTES)) + 1:
+            yield from block(table.slice(begin, int(starts[at]) - begin))
+            begin = int(starts[at])
+        yield from block(table.slice(begin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: list[tuple] = []  # of parts that have ended
-        last: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for segment in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if last and last[0][:2] != segment[:2]:
-                    whole += last
-                    if size >= BLOCK_BYTES:
-                        yield from block(whole)
-                        whole, size = [], 0
-                    last = []
-                last.append(segment)
-                size += len(segment[6])
-        if whole or last:
-            yield from block(whole + last)
+            if not len(batch):
+                continue
+            held.append(batch)
+            size += batch.column(6).nbytes
+            if size < BLOCK_BYTES:
+                continue
+            table = pa.Table.from_batches(held)
+            key, part = (table.column(k).to_numpy() for k in range(2))
+            change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            if len(change):  # the last part may go on in the next batch
+                whole, rest = table.slice(0, int(change[-1]) + 1), table.slice(int(change[-1]) + 1)
+                yield from blocks(whole)
+                held = rest.combine_chunks().to_batches()
+                size = rest.nbytes
+        if held:
+            yield from blocks(pa.Table.from_batches(held))
 
     return run
 
 
-def _with_part(segments: DataFrame, size, spread, least_rows: int = 1) -> DataFrame:
-    """Adds part, by ``spread``: -1 for a key of at most KEY_BYTES, else parts of about so many bytes. Keys of fewer rows than ``least_rows`` go."""
-    sizes = segments.groupBy("key").agg(F.sum(size).alias("size"), F.count("*").alias("n"))
-    parts = F.when(F.col("size") > KEY_BYTES, F.ceil(F.col("size") / KEY_BYTES).cast("int"))
-    sizes = sizes.select("key", parts.alias("parts"), "n")
-    if least_rows > 1:
-        segments, sizes = segments.join(sizes.where(F.col("n") >= least_rows), "key"), None
-    else:
-        sizes = materialize(sizes.where("parts is not null").select("key", "parts"), "large-keys")
-        few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-        segments = segments.join(F.broadcast(sizes) if few else sizes, "key", "left")
+def _left(data: bytes, done: np.ndarray, doc: int, turn: int, begin: int, width: int, step: int) -> Iterator[tuple]:
+    """A segment's windows that aren't done, as segments of the next round's keys."""
+    keys = _near_keys(data, width, step)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (done[1:] != done[:-1])
+    first = np.flatnonzero(new)
+    for a, b in zip(first.tolist(), np.append(first[1:], len(keys)).tolist(), strict=True):
+        if not done[a]:
+            yield int(keys[a]), doc, turn, begin + a, begin + b - 1 + width, data[a : b - 1 + width]
+
+
+def _with_part(segments: DataFrame, size, spread) -> DataFrame:
+    """Adds part, by ``spread``: -1 for a key of at most KEY_BYTES, else parts of about so many bytes."""
+    sizes = segments.groupBy("key").agg(F.sum(size).alias("size")).where(F.col("size") > KEY_BYTES)
+    sizes = materialize(sizes.select("key", F.ceil(F.col("size") / KEY_BYTES).cast("int").alias("parts")), "large-keys")
+    few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    segments = segments.join(F.broadcast(sizes) if few else sizes, "key", "left")
     return segments.withColumn("part", F.coalesce(F.pmod(spread, F.col("parts")).cast("int"), F.lit(-1)))
 
 
-def _sorted(cut: DataFrame, width: int, step: int) -> DataFrame:
+def _sorted(cut: DataFrame, width: int, step: int, alone: bool) -> DataFrame:
     dealt = cut.select(*_CUT).repartition("key", "part").sortWithinPartitions("key", "part")
-    return materialize(dealt.mapInArrow(_sort_segments(width, step), _SORTED_SCHEMA), "sorted")
+    return materialize(dealt.mapInArrow(_sort_segments(width, step, alone), _SORTED_SCHEMA), "sorted")
 
 
-def _sort_all(numbered: DataFrame, segments: DataFrame, width: int) -> list[DataFrame]:
-    """What sorting gives in every round, first of the segments by key, then of what is left of large keys."""
-    parted = _with_part(segments, F.col("finish") - F.col("begin"), F.col("content"))
+def _sort_all(numbered: DataFrame, segments: DataFrame, width: int, runs: DataFrame | None = None) -> list[DataFrame]:
+    """What sorting gives in every round, first of the segments by key and of runs, then of what is left of large keys."""
+    columns = ["key", "part", "nth", "doc", "turn", "begin", "finish"]
+    parted = _with_part(segments, F.col("finish") - F.col("begin"), F.col("content")).select(*columns)
+    if runs is not None:
+        parted = parted.union(runs.withColumn("part", F.lit(-1)).select(*columns))
     per_doc = parted.groupBy("doc", "turn").agg(F.collect_list(F.struct("key", "part", "nth", "begin", "finish")).alias("segments"))
     cut = numbered.join(per_doc, ["doc", "turn"]).select("doc", "turn", "text", "segments").mapInArrow(_cut_bytes, "key long, part int, nth int, doc long, turn int, begin long, data binary")
-    rounds = [_sorted(cut, width, STEPS[0])]
+    rounds = [_sorted(cut, width, STEPS[0], True)]
     while rounds[-1].where(F.col("kind") == LEFT).limit(1).count():
         left = rounds[-1].where(F.col("kind") == LEFT).withColumn("nth", F.lit(FIRST))
-        parted = _with_part(left, F.length("data"), F.xxhash64("doc", "turn", "begin"), 2)
-        rounds.append(_sorted(parted, width, STEPS[min(len(rounds), len(STEPS) - 1)]))
+        parted = _with_part(left, F.length("data"), F.xxhash64("doc", "turn", "begin"))
+        rounds.append(_sorted(parted, width, STEPS[min(len(rounds), len(STEPS) - 1)], False))
     return rounds
 
 
@@ -362,12 +452,20 @@ def removals(numbered: DataFrame, width: int = WIDTH) -> DataFrame:
         .mapInArrow(_compare_segments(width), _COMPARED)
     )
     compared = materialize(compared, "segments")
+    seconds = compared.where(F.col("nth") == SECOND)
+    runs = seconds.select("doc", "turn", "begin", "finish", "from_doc", "from_turn", "from_begin").repartition("doc", "turn").sortWithinPartitions("doc", "turn", "begin")
+    runs = runs.mapInArrow(_merge_runs(width), "key long, doc long, turn int, begin long, finish long, nth int")
     copies = compared.where(F.col("nth") == MORE)
-    rounds = _sort_all(numbered, compared.where(F.col("nth") != MORE), width)
-    wrong = rounds[0].where(F.col("kind") == WRONG).select("key").distinct()
-    if wrong.limit(1).count():  # equal hashes of unequal segments: these keys' copies are sorted as well
-        rounds += _sort_all(numbered, compared.join(wrong, "key", "left_semi").withColumn("nth", F.lit(FIRST)).withColumn("content", F.xxhash64("doc", "turn", "begin")), width)
-        copies = copies.join(wrong, "key", "left_anti")
+    rounds = _sort_all(numbered, compared.where(F.col("nth") == FIRST), width, runs)
+    wrong = rounds[0].where(F.col("kind") == WRONG).select("doc", "turn", F.col("begin").alias("a"), F.col("finish").alias("b"))
+    if wrong.limit(1).count():  # equal hashes of unequal segments: all segments of these keys are sorted
+        keys = materialize(seconds.join(wrong, ["doc", "turn"]).where("begin >= a and finish <= b").select("key").distinct(), "wrong-keys")
+        again = compared.join(keys, "key", "left_semi").withColumn("content", F.xxhash64("doc", "turn", "begin")).withColumn("nth", F.lit(FIRST))
+        firsts = seconds.join(keys, "key", "left_semi").select(  # the first of a content needn't be among the rows above
+            "key", "content", F.col("from_doc").alias("doc"), F.col("from_turn").alias("turn"), F.col("from_begin").alias("begin"), (F.col("from_begin") + F.col("finish") - F.col("begin")).alias("finish"), F.lit(FIRST).alias("nth")
+        )
+        rounds += _sort_all(numbered, again.select(*firsts.columns).union(firsts).dropDuplicates(["key", "doc", "turn", "begin"]), width)
+        copies = copies.join(keys, "key", "left_anti")
     out = copies.select("doc", "turn", "begin", "finish")
     for r in rounds:
         out = out.union(r.where(F.col("kind") == REMOVED).select("doc", "turn", "begin", "finish"))

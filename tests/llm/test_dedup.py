@@ -191,7 +191,7 @@ def test_a_second_segment_that_differs_is_reported():
 
     rows = [(1, -1, 0, 1, 0, 0, one), (1, -1, 1, 2, 0, 0, other), (2, -1, 0, 1, 0, 0, one[1:]), (2, -1, 1, 3, 0, 0, one[1:])]
     batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), suffix_dedup._CUT.values(), strict=True)], names=list(suffix_dedup._CUT))
-    got = [r for b in suffix_dedup._sort_segments(100, 24)(iter([batch])) for r in b.to_pylist()]
+    got = [r for b in suffix_dedup._sort_segments(100, 24, True)(iter([batch])) for r in b.to_pylist()]
     assert {r["key"] for r in got if r["kind"] == suffix_dedup.WRONG} == {1}
 
 

@@ -82,6 +82,24 @@ def unproject(h: list[Column], u: Column, v: Column, limit: tuple[float, float])
     return F.when(inside, px), F.when(inside, py)
 
 
+def calibration_scale(centre_x: Column, centre_y: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Factors from an image's pixels to the calibration's, whose image is twice its principal point; 1 where something isn't positive."""
+    good = F.coalesce((centre_x > 0) & (centre_y > 0) & (width > 0) & (height > 0), F.lit(False))
+    return F.when(good, 2 * centre_x / width).otherwise(1.0), F.when(good, 2 * centre_y / height).otherwise(1.0)
+
+
+def camera_homography(focal_x: Column, focal_y: Column, centre_x: Column, centre_y: Column, rotation: list[Column], position: list[Column]) -> list[Column]:
+    """The row-major homography from the ground plane to the image: intrinsics times the rotation's first two columns and the shifted origin."""
+    r = [rotation[k : k + 3] for k in (0, 3, 6)]
+    shift = [-(row[0] * position[0] + row[1] * position[1] + row[2] * position[2]) for row in r]
+    columns = [[row[0], row[1], s] for row, s in zip(r, shift, strict=True)]
+    return [
+        *[focal_x * x + centre_x * z for x, z in zip(columns[0], columns[2], strict=True)],
+        *[focal_y * y + centre_y * z for y, z in zip(columns[1], columns[2], strict=True)],
+        *columns[2],
+    ]
+
+
 def reliable_calibration(keypoints: Column, lines: Column, focal: Column) -> Column:
     """Enough keypoints and lines, and a focal length that a broadcast camera can have."""
     return F.coalesce((keypoints >= 6) & (lines >= 2) & focal.between(1000, 20000), F.lit(False))

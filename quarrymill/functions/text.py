@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition leaves of each character in ASCII, where that is one letter and where it is several."""
+    forms = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in (*range(0x80, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))}
+    return {c: f for c, f in forms.items() if len(f) == 1}, {c: f for c, f in forms.items() if len(f) > 1}
+
+
+_ONE, _SEVERAL = _ascii_forms()
 
 
 def slug(text: Column) -> Column:
-    """Lower-case ASCII words joined by hyphens; Latin accents are taken off and other characters beyond ASCII left out."""
-    flat = F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"[^\x00-\x7f]", "")
+    """Lower-case ASCII words joined by hyphens: accents, ligatures and other compatible forms become ASCII, other characters beyond it are left out."""
+    parts = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(parts, c), c)), "")
+    whole = F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), spelled).otherwise(text)
+    flat = F.lower(F.regexp_replace(F.translate(whole, "".join(_ONE), "".join(_ONE.values())), r"[^\x00-\x7f]", ""))
     return F.regexp_replace(F.regexp_replace(flat, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -151,11 +151,35 @@ def vector_median(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return sums.select(*keys, F.transform("pairs", lambda p: p["m"] / F.greatest(F.col("norm"), F.lit(1e-12))).alias("vector"))
 
 
+def exact_median(df: DataFrame, key: str, value: str, parts: int = 1024) -> DataFrame:
+    """key, median of a key's non-null values, for a few keys of many rows each.
+
+    Values are counted in equal parts of their key's range; only the parts that hold the
+    middle are looked at more closely, as counts of distinct values, so no task holds a key's values.
+    """
+    known = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_x"))
+    ranges = known.groupBy(key).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("*").alias("_n"))
+    part = F.least(F.lit(parts - 1), F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * parts))
+    placed = known.join(ranges, key).withColumn("_part", F.when(F.col("_high") > F.col("_low"), part).otherwise(0).cast("int"))
+    sums = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(key, "_part").agg(F.count("*").alias("_c"), F.first("_n").alias("_all"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(sums), F.lit(0)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    middle = counts.where((F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low)).select(key, "_part", "_before", "_all")  # two rows a key at most
+    values = placed.select(key, "_part", "_x").join(middle, [key, "_part"]).groupBy(key, "_part", "_x").agg(F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_all").alias("_all"))
+    inside = Window.partitionBy(key, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    holds = lambda r: (F.col("_at") <= r) & (F.col("_at") + F.col("_c") > r)
+    found = values.where(holds(low) | holds(high))
+    return found.groupBy(key).agg(((F.min("_x") + F.max("_x")) / 2).alias("median"))
+
+
 def robust_scale(df: DataFrame, vector: str) -> DataFrame:
     """dim, centre, scale over all rows: median and 1.4826 times the median absolute deviation, 1 where that is below 1e-5."""
     flat = df.select(F.posexplode(vector).alias("dim", "x"))
-    centre = flat.groupBy("dim").agg(F.median("x").alias("centre"))
-    mad = flat.join(F.broadcast(centre), "dim").groupBy("dim").agg(F.first("centre").alias("centre"), (F.median(F.abs(F.col("x") - F.col("centre"))) * 1.4826).alias("s"))
+    centre = exact_median(flat, "dim", "x").withColumnRenamed("median", "centre")
+    off = flat.join(centre, "dim").select("dim", F.abs(F.col("x") - F.col("centre")).alias("off"))
+    mad = exact_median(off, "dim", "off").join(centre, "dim").select("dim", "centre", (F.col("median") * 1.4826).alias("s"))
     return mad.select("dim", "centre", F.when(F.col("s") < 1e-5, 1.0).otherwise(F.col("s")).alias("scale"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .joins import BROADCAST_BYTES, is_small
+from .sequences import whole_keys
 
 
 def _pairs(nodes: DataFrame, frame: list[str], node: str, x: str, y: str, team: str, same: bool) -> DataFrame:
@@ -37,8 +39,6 @@ def pressure_edges(nodes: DataFrame, frame: list[str], node: str, x: str, y: str
 def spanning_tree(nodes: DataFrame, frame: list[str], node: str, x: str, y: str) -> DataFrame:
     """Prim's tree of each frame from its smallest node; of equal distances the earlier connected node, then the smaller one."""
 
-    buckets = 16 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def trees(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([*frame, node])
         rows: list[tuple] = []
@@ -62,8 +62,7 @@ def spanning_tree(nodes: DataFrame, frame: list[str], node: str, x: str, y: str)
 
     kind = nodes.schema[node].dataType.simpleString()
     types = ", ".join(f"{f} {nodes.schema[f].dataType.simpleString()}" for f in frame)
-    dealt = nodes.select(*frame, node, x, y).withColumn("_bucket", F.pmod(F.xxhash64(*frame), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandas(trees, f"{types}, a {kind}, b {kind}, distance double")
+    return whole_keys(nodes.select(*frame, node, x, y), frame, trees, f"{types}, a {kind}, b {kind}, distance double")
 
 
 def medoid_by_sum(df: DataFrame, keys: list[str], id_col: str, vector: str) -> DataFrame:
@@ -80,23 +79,46 @@ def medoid_by_sum(df: DataFrame, keys: list[str], id_col: str, vector: str) -> D
     return scored.groupBy(*keys).agg(F.min_by(id_col, F.struct("_d", id_col)).alias("medoid"), F.min("_d").alias("total_distance"))
 
 
+def _blocks(rows: DataFrame, by: str) -> list[DataFrame]:
+    """A table whole where it is small enough to broadcast, else in parts by hash that are."""
+    if is_small(rows):
+        return [rows]
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0]
+    n = 2 * size // BROADCAST_BYTES + 1
+    return [rows.where(F.pmod(F.xxhash64(by), F.lit(n)) == k) for k in range(n)]
+
+
 def nearest_prototype(items: DataFrame, prototypes: DataFrame, id_col: str, vector: str, label: str, prototype: str) -> DataFrame:
     """id, label, distance, second (distance of the next label), margin relative to it.
 
-    ``prototypes`` is one row per label: a few, broadcast.
+    ``prototypes`` is one row per label. Items meet all of them at once where these are
+    measured and found small, else one block after another, of which the best two remain.
     """
     distance = F.round(1 - dot(F.col(vector), F.col(prototype)), 9)
-    d = items.select(id_col, vector).crossJoin(F.broadcast(prototypes.select(label, prototype))).select(id_col, label, distance.alias("d"))
     two = F.slice(F.sort_array(F.collect_list(F.struct("d", label))), 1, 2)
-    g = d.groupBy(id_col).agg(two.alias("two"))
+
+    def best(block: DataFrame) -> DataFrame:
+        d = items.select(id_col, vector).crossJoin(F.broadcast(block)).select(id_col, label, distance.alias("d"))
+        return d.groupBy(id_col).agg(two.alias("two"))
+
+    found = [best(block) for block in _blocks(prototypes.select(label, prototype), label)]
+    g = found[0]
+    if len(found) > 1:
+        for f in found[1:]:
+            g = g.union(f)
+        g = g.select(id_col, F.explode("two").alias("x")).select(id_col, "x.*").groupBy(id_col).agg(two.alias("two"))
     first, second = F.col("two")[0], F.get("two", F.lit(1))
     return g.select(id_col, first[label].alias(label), first["d"].alias("distance"), second["d"].alias("second"), ((second["d"] - first["d"]) / F.greatest(second["d"], F.lit(1e-8))).alias("margin"))
 
 
 def vetoed(classified: DataFrame, others: DataFrame, id_col: str, vector: str, other: str) -> DataFrame:
-    """Adds other_distance and veto: whether some vector of the ``others`` (a few, broadcast) is at least as near as the class."""
+    """Adds other_distance and veto: whether some vector of the ``others`` is at least as near as the class; others are met in blocks of bounded size."""
     d = F.round(1 - dot(F.col(vector), F.col(other)), 9)
-    near = classified.select(id_col, vector).crossJoin(F.broadcast(others.select(other))).groupBy(id_col).agg(F.min(d).alias("other_distance"))
+    near = None
+    for block in _blocks(others.select(other), other):
+        part = classified.select(id_col, vector).crossJoin(F.broadcast(block)).groupBy(id_col).agg(F.min(d).alias("other_distance"))
+        near = part if near is None else near.union(part)
+    near = near.groupBy(id_col).agg(F.min("other_distance").alias("other_distance"))
     return classified.join(near, id_col, "left").withColumn("veto", F.coalesce(F.col("other_distance") <= F.col("distance"), F.lit(False)))
 
 

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 10_000_000
 
 
-def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
-    """Broadcast only what is counted and found small; otherwise Spark plans the join itself."""
-    limit = BROADCAST_BYTES // row_bytes
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def is_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table's rows, written as JSON, have no more than ``most_bytes``; no more rows than fit are looked at."""
+    limit = most_bytes // 16
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("size")).first()
+    return seen.n <= limit and seen.size <= most_bytes
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast only what is measured and found small; otherwise Spark plans the join itself."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def lookup(facts: DataFrame, dimension: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -44,9 +50,9 @@ def range_join(points: DataFrame, windows: DataFrame, on: list[str], at: str, st
 def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, value: str, tolerance: float | None = None) -> DataFrame:
     """Each left row with the value and place of the nearest right row of its key; of equally near ones the earlier.
 
-    The nearest row at or before and the nearest after come from one sorted pass over the
-    union of both sides, so no pair but these is ever formed. Beyond the tolerance both are
-    null; rows without any right row stay.
+    The nearest row at or before and the nearest after come from two sorted passes, forwards
+    and backwards, over the union of both sides, so no pair but these is ever formed. Beyond
+    the tolerance both are null; rows without any right row stay.
     """
     from pyspark.sql import Window
 
@@ -54,11 +60,11 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_at: str, righ
     a = lt.select(*on, "_at", F.lit(1).alias("_side"), "_row", F.lit(None).cast("double").alias("_place"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     rt = right.groupBy(*on, F.col(right_at).cast("double").alias("_at")).agg(F.min(value).alias("_value"))
     b = rt.select(*on, "_at", F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col("_at").alias("_place"), "_value")
-    order = Window.partitionBy(*on).orderBy("_at", "_side")
+    order, back_to_front = Window.partitionBy(*on).orderBy("_at", "_side"), Window.partitionBy(*on).orderBy(F.desc("_at"), F.desc("_side"))
     pair = F.when(F.col("_side") == 0, F.struct("_place", "_value"))
     both = a.union(b).withColumn("_pair", pair)
     both = both.withColumn("_before", F.last("_pair", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_pair", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    both = both.withColumn("_after", F.last("_pair", ignorenulls=True).over(back_to_front.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     back, ahead = F.col("_at") - F.col("_before._place"), F.col("_after._place") - F.col("_at")
     chosen = F.when(ahead < F.coalesce(back, F.lit(float("inf"))), F.col("_after")).otherwise(F.col("_before"))
     both = both.withColumn("_chosen", chosen)

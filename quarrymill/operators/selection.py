@@ -49,25 +49,17 @@ def balanced_quota(scores: DataFrame, id_col: str, query: str, score: str, total
     pool = top_per(scores.where(F.col(query).isin(queries)), [query], order, total)
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        pools = {q: g[g[query] == q].sort_values("rank") for q in queries}
-        limit = min(total, g[id_col].nunique())
-        base, extra = divmod(limit, len(queries))
-        left = {q: base + (k < extra) for k, q in enumerate(queries)}
-        at, taken, rows = dict.fromkeys(queries, 0), set(), []
-        while any(left.values()):
-            moved = False
-            for q in queries:
-                ids = pools[q][id_col].to_numpy()
-                while left[q] and at[q] < len(ids) and ids[at[q]] in taken:
-                    at[q] += 1
-                if left[q] and at[q] < len(ids):
-                    taken.add(ids[at[q]])
-                    rows.append((ids[at[q]], q, float(pools[q][score].iloc[at[q]]), len(rows)))
-                    left[q] -= 1
-                    moved = True
-            if not moved:
-                break
-        return pd.DataFrame(rows, columns=[id_col, query, score, "position"])
+        ranked = {q: iter(part.sort_values("rank")[[id_col, score]].itertuples(index=False, name=None)) for q, part in g.groupby(query)}
+        share, rest = divmod(min(total, g[id_col].nunique()), len(queries))
+        gone: set = set()
+        chosen = []
+        for turn in range(share + (rest > 0)):
+            for q in queries if turn < share else queries[:rest]:
+                best = next((x for x in ranked.get(q, ()) if x[0] not in gone), None)
+                if best:
+                    gone.add(best[0])
+                    chosen.append((best[0], q, float(best[1])))
+        return pd.DataFrame([(*x, k) for k, x in enumerate(chosen)], columns=[id_col, query, score, "position"])
 
     kind, qkind = scores.schema[id_col].dataType.simpleString(), scores.schema[query].dataType.simpleString()
     return _one_group(pool, choose, f"{id_col} {kind}, {query} {qkind}, {score} double, position int")

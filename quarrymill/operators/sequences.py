@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,12 +51,12 @@ def id_switches(df: DataFrame, keys: list[str], order: str, prediction: str) ->
     return known.withColumn("_switch", F.coalesce(F.col(prediction) != before, F.lit(False))).groupBy(*keys).agg(F.count_if("_switch").alias("switches"))
 
 
-def islands(df: DataFrame, keys: list[str], order: str, label: str, least: int = 1) -> DataFrame:
-    """Runs of one label in consecutive frames: start, end, rows; runs under ``least`` rows are dropped."""
+def islands(df: DataFrame, keys: list[str], order: str, label: str, least: int = 1, *more: Column) -> DataFrame:
+    """Runs of one label in consecutive frames: start, end, rows and ``more`` aggregates; runs under ``least`` rows are dropped."""
     w = Window.partitionBy(*keys).orderBy(order)
     new = (F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.lag(order).over(w) + 1 == F.col(order))).cast("int")
     marked = df.withColumn("_island", F.sum(1 - F.coalesce(new, F.lit(0))).over(w))
-    g = marked.groupBy(*keys, "_island", label).agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"))
+    g = marked.groupBy(*keys, "_island", label).agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"), *more)
     return g.where(F.col("rows") >= least).drop("_island")
 
 
@@ -75,10 +77,10 @@ def fill_or_hold(df: DataFrame, keys: list[str], order: str, value: str, widest:
     Adds filled and method (observed, interpolated, held, or null). Of two equally near values the earlier is held.
     """
     back = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)  # back to front
 
     def ends(d: DataFrame, point: Column, tag: str) -> DataFrame:
-        return d.withColumn(f"_b{tag}", F.last(point, True).over(back)).withColumn(f"_a{tag}", F.first(point, True).over(ahead))
+        return d.withColumn(f"_b{tag}", F.last(point, True).over(back)).withColumn(f"_a{tag}", F.last(point, True).over(ahead))
 
     d = ends(df, F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("f"), F.col(value).alias("v"))), "1")
     span = F.col("_a1.f") - F.col("_b1.f")
@@ -118,8 +120,10 @@ def lifetime_best(df: DataFrame, keys: list[str], order: str, quality: str, buck
 def seed_split(df: DataFrame, keys: list[str], quality: str, id_col: str, seeds: int) -> DataFrame:
     """Adds split: the best ``seeds`` rows of a key are seeds, but one row is left to evaluate; a single row is a seed."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(quality), id_col))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("split", F.when(rank <= F.when(n > 1, F.least(F.lit(seeds), n - 1)).otherwise(1), "seed").otherwise("evaluation"))
+    best = df.select(*keys, id_col, quality).withColumn("_rank", rank).where(F.col("_rank") <= seeds)  # tasks keep no more rows of a key than that
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    chosen = best.join(n, keys).where(F.col("_rank") <= F.when(F.col("_n") > 1, F.least(F.lit(seeds), F.col("_n") - 1)).otherwise(1)).select(*keys, id_col, F.lit("seed").alias("split"))
+    return df.join(chosen, [*keys, id_col], "left").withColumn("split", F.coalesce("split", F.lit("evaluation")))
 
 
 def five_point_windows(centres: DataFrame, keys: list[str], centre: str, offsets: tuple[int, ...] = (-25, -12, 0, 12, 25)) -> DataFrame:
@@ -135,18 +139,40 @@ def step_frames(start: Column, end: Column, step: int) -> Column:
 # -------------------------------------------------------- sequential by nature
 
 
-def per_key(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
-    """Run a pandas function on every key's rows, many keys to a call.
+def whole_keys(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
+    """Run a pandas function on rows sorted by key, on as many whole keys at a time as an Arrow batch holds.
 
-    Keys are dealt into buckets by hash, sixteen to a shuffle partition, so a call's rows
-    grow with the partition size that the session sets and small keys cost little each.
+    A task reads its keys one after another and holds a batch and the key that goes on in the next one.
     """
-    buckets = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([f(part) for _, part in g.drop(columns="_bucket").groupby(keys, sort=False, dropna=False)])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            last = part[keys].iloc[-1]
+            same = part[keys].eq(last) | (part[keys].isna() & last.isna())
+            begin = len(part) - int(same.all(axis=1).to_numpy()[::-1].cumprod().sum())  # where the last key begins
+            if begin or held and not _same_key(held[0], part, keys):
+                whole = pd.concat([*held, part.iloc[:begin]]) if held else part.iloc[:begin]
+                held = []
+                if len(whole):
+                    yield f(whole)
+            held.append(part.iloc[begin:])
+        if held:
+            yield f(pd.concat(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _same_key(a: pd.DataFrame, b: pd.DataFrame, keys: list[str]) -> bool:
+    x, y = a[keys].iloc[0], b[keys].iloc[0]
+    return bool((x.eq(y) | (x.isna() & y.isna())).all())
 
-    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, schema)
+
+def per_key(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
+    """Run a pandas function on every key's rows."""
+    return whole_keys(df, keys, lambda g: pd.concat([f(part) for _, part in g.groupby(keys, sort=False, dropna=False)]), schema)
 
 
 def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
@@ -155,10 +181,8 @@ def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, score
     A key is one frame: its pairs are as many as boxes can overlap in a picture.
     """
 
-    buckets = 16 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def match(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop(columns="_bucket").sort_values([score, left, right], ascending=False, kind="stable")
+        g = g.sort_values([score, left, right], ascending=False, kind="stable")
         frame = g.groupby(keys, sort=False, dropna=False).ngroup()
         used_l, used_r, kept = set(), set(), []
         for f, a, b in zip(frame, g[left], g[right], strict=True):
@@ -169,7 +193,7 @@ def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, score
         return g[kept]
 
     chosen = pairs.where(F.col(score) >= least).select(*keys, left, right, score)
-    return chosen.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(match, chosen.schema)
+    return whole_keys(chosen, keys, match, chosen.schema)
 
 
 def best_path(points: DataFrame, keys: list[str], frame: str, x: str, y: str, confidence: str, diagonal: float, beam: int = 20, gap_limit: int = 8) -> DataFrame:
@@ -207,7 +231,15 @@ def best_path(points: DataFrame, keys: list[str], frame: str, x: str, y: str, co
 
 
 def spaced_best(df: DataFrame, keys: list[str], frame: str, quality: str, apart: int, most: int) -> DataFrame:
-    """Rows by falling quality that are at least ``apart`` frames from all taken before, up to ``most`` per key."""
+    """Rows by falling quality that are at least ``apart`` frames from all taken before, up to ``most`` per key.
+
+    Of one frame only the best row can be taken, and each row taken rules out 2 apart - 1
+    frames at most, so no more than the best (most - 1) (2 apart - 1) + 1 of a key are looked at.
+    """
+    columns = df.columns
+    best = df.groupBy(*keys, frame).agg(F.max_by(F.struct(*columns), F.struct(quality, *columns)).alias("_row")).select("_row.*")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(quality), frame))
+    df = best.withColumn("_rank", rank).where(F.col("_rank") <= (most - 1) * (2 * apart - 1) + 1).drop("_rank")
 
     def pick(g: pd.DataFrame) -> pd.DataFrame:
         taken: list = []

@@ -11,7 +11,7 @@ from ..sources.tables import last_wins, table
 from .registry import query
 
 _EVID = """ev AS (SELECT d.doc_id, d.source AS fixture, CASE WHEN d.doc_id % 3 = 0 THEN 'seed' ELSE 'evaluation' END AS split, CASE l.quality WHEN 1 THEN 'team_a' WHEN 0 THEN 'other' END AS reviewed FROM documents d LEFT JOIN labels l USING (doc_id)),
-pr AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'unknown' WHEN n_chars % 3 = 1 THEN 'team_a' ELSE 'other' END AS predicted, (n_chars % 100) / 100.0::DOUBLE AS confidence FROM documents WHERE doc_id % 5 > 0)"""
+pr AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'unknown' WHEN n_chars % 3 = 1 THEN 'team_a' ELSE 'other' END AS predicted, (n_chars % 100) / 100.0::DOUBLE AS confidence FROM documents WHERE lang <> 'es')"""
 
 
 def _evidence(spark, sf_dir):
@@ -21,7 +21,7 @@ def _evidence(spark, sf_dir):
     ev = d.join(labels, "doc_id", "left").select("doc_id", F.col("source").alias("fixture"), split.alias("split"), reviewed.alias("reviewed"))
     k = F.col("n_chars") % 3
     guess = F.when(k == 0, "unknown").when(k == 1, "team_a").otherwise("other")
-    return ev, d.where("doc_id % 5 > 0").select("doc_id", guess.alias("predicted"), (F.col("n_chars") % 100 / 100.0).alias("confidence"))
+    return ev, d.where("lang <> 'es'").select("doc_id", guess.alias("predicted"), (F.col("n_chars") % 100 / 100.0).alias("confidence"))
 
 
 _DECIDE = f"""WITH {_EVID}, de AS (SELECT ev.doc_id, CASE WHEN split = 'seed' AND reviewed IS NOT NULL THEN reviewed ELSE coalesce(predicted, 'unknown') END AS label,

@@ -147,8 +147,8 @@ def first_known(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.first_positive(k % 3, k % 2, k).alias("frames"), C.first_filled(status, F.col("o_orderpriority")).alias("match"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 1""")
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'""")
 def changed_jobs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.to_json(F.struct("c_name", "c_acctbal")), 256).alias("signature"))
-    done = c.where("c_custkey % 2 = 0").withColumn("signature", F.when(F.col("c_custkey") % 3 > 0, F.col("signature")).otherwise("old"))
-    return C.changed(c, done, ["c_custkey"], "signature").select("c_custkey")
+    c = table(spark, sf_dir, "customer").select("*", F.sha2(F.to_json(F.struct("c_name", "c_acctbal")), 256).alias("signature"))
+    done = c.where("c_acctbal >= 0").withColumn("signature", F.when(F.col("c_mktsegment") == "BUILDING", F.lit("old")).otherwise(F.col("signature")))
+    return C.changed(c.select("c_custkey", "signature"), done.select("c_custkey", "signature"), ["c_custkey"], "signature").select("c_custkey")

@@ -106,16 +106,13 @@ def precedence_merge(spark, sf_dir):
     return J.precedence(table(spark, sf_dir, "documents").select("doc_id"), [("human", human), ("agent", agent)], ["doc_id"], "label", "unknown")
 
 
-@query(f"""WITH b AS (SELECT l_orderkey % 500 AS frame, l_linenumber AS k, l_suppkey AS s, l_quantity AS x1, l_quantity + 20 AS x2 FROM lineitem WHERE l_orderkey < 3000),
+@query(f"""WITH b AS (SELECT l_orderkey AS frame, l_linenumber AS k, l_suppkey AS s, l_quantity AS x1, l_quantity + 20 AS x2 FROM lineitem),
 o AS (SELECT frame, s AS old_track, x1 AS a1, x2 AS a2 FROM b WHERE k = 1), n AS (SELECT frame, s AS new_track, x1 AS b1, x2 AS b2 FROM b WHERE k = 2),
 i AS (SELECT old_track, new_track, greatest(0, least(a2, b2) - greatest(a1, b1)) AS i FROM o JOIN n USING (frame))
 SELECT old_track, new_track, count(*) AS shared, round(avg(i / (40 - i)), 6) AS mean_iou FROM i GROUP BY old_track, new_track""")
 def track_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select((F.col("l_orderkey") % 500).alias("frame"), "l_linenumber", "l_suppkey", F.col("l_quantity").alias("x1"))
-    return _similarity(b)
-
-
-def _similarity(b):
+    """Suppliers of first lines against suppliers of second lines, with the order as frame."""
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_linenumber", "l_suppkey", F.col("l_quantity").alias("x1"))
     old = b.where("l_linenumber = 1").select("frame", F.col("l_suppkey").alias("old_track"), F.col("x1").alias("a1"))
     new = b.where("l_linenumber = 2").select("frame", F.col("l_suppkey").alias("new_track"), F.col("x1").alias("b1"))
     iou = G.box_iou([F.col("a1"), F.lit(0.0), F.col("a1") + 20, F.lit(1.0)], [F.col("b1"), F.lit(0.0), F.col("b1") + 20, F.lit(1.0)])
@@ -127,15 +124,14 @@ o AS (SELECT frame, s AS old_track, x1 AS a1, x2 AS a2 FROM b WHERE k = 1), n AS
 i AS (SELECT old_track, new_track, greatest(0, least(a2, b2) - greatest(a1, b1)) AS i FROM o JOIN n USING (frame))
 SELECT old_track, new_track, count(*) AS shared, round(avg(i / (40 - i)), 6) AS mean_iou FROM i GROUP BY old_track, new_track""")
 def track_similarity_all(spark, sf_dir):
-    """``track_similarity`` over every line, with the order as frame."""
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_linenumber", "l_suppkey", F.col("l_quantity").alias("x1"))
-    return _similarity(b)
+    """The same, under the name that it had when ``track_similarity`` took a part of the orders."""
+    return track_similarity(spark, sf_dir)
 
 
 @query("""SELECT coalesce(o.o_orderkey, l.l_orderkey) AS k, o.o_orderkey IS NOT NULL AND l.l_orderkey IS NOT NULL AS aligned FROM
-(SELECT o_orderkey FROM orders WHERE o_orderkey % 7 > 0) o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o_orderkey = l_orderkey""")
+(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON o_orderkey = l_orderkey""")
 def aligned_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("k"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
     return J.by_position(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct(), "k")
 
 
@@ -193,7 +189,7 @@ def direction_evidence(spark, sf_dir):
     return e.groupBy("user_id").agg(F.round(A.complete_minimum("v"), 6).alias("least"), F.round(A.complete_mean("v"), 6).alias("mean"), A.distinct_sorted("event_type").alias("kinds"), F.bool_and(F.col("value") > 5).alias("usable"))
 
 
-_DET = f"SELECT event_type AS clip, t // 86400 AS frame, user_id AS track FROM ({_EV}) WHERE event_id % 3 > 0"
+_DET = f"SELECT event_type AS clip, t // 86400 AS frame, user_id AS track FROM ({_EV}) WHERE value >= 30"
 
 
 @query(f"""WITH d AS ({_DET}), f AS (SELECT DISTINCT c.clip, g.frame FROM (SELECT DISTINCT clip FROM d) c, (SELECT DISTINCT t // 86400 AS frame FROM ({_EV})) g),
@@ -204,7 +200,7 @@ a AS (SELECT clip, count(*) AS frames, sum(n)::BIGINT AS detections, round(avg(n
 b AS (SELECT clip, count(*) AS tracks, median(len) AS median_track_length, round(avg((len < 5)::INT), 6) AS short_rate FROM k GROUP BY clip) SELECT * FROM a JOIN b USING (clip)""")
 def continuity(spark, sf_dir):
     e = _events(spark, sf_dir)
-    d = e.where("event_id % 3 > 0").select(F.col("event_type").alias("clip"), F.floor(F.col("t") / 86400).alias("frame"), F.col("user_id").alias("track"))
+    d = e.where("value >= 30").select(F.col("event_type").alias("clip"), F.floor(F.col("t") / 86400).alias("frame"), F.col("user_id").alias("track"))
     frames = d.select("clip").distinct().crossJoin(F.broadcast(e.select(F.floor(F.col("t") / 86400).alias("frame")).distinct()))
     c = A.continuity(d, frames, "clip", "frame", "track")
     return c.withColumns({x: F.round(x, 6) for x in ("mean_per_frame", "empty_rate", "plausible_rate", "retention", "short_rate")})
@@ -218,11 +214,11 @@ def precision_at_k(spark, sf_dir):
     return p.withColumn("precision", F.round("precision", 6))
 
 
-_GUESS = "SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS guess, (n_chars % 101) / 100.0::DOUBLE AS confidence FROM documents WHERE doc_id % 9 > 0"
+_GUESS = "SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS guess, (n_chars % 101) / 100.0::DOUBLE AS confidence FROM documents WHERE lang <> 'es'"
 
 
 def _guesses(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 9 > 0")
+    d = table(spark, sf_dir, "documents").where("lang <> 'es'")
     return d.select("doc_id", F.when(F.col("n_chars") > 500, 1).otherwise(0).alias("guess"), (F.col("n_chars") % 101 / 100.0).alias("confidence"))
 
 
@@ -343,10 +339,10 @@ def set_missing(spark, sf_dir):
     return J.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 <> 0 AND c_custkey % 3 = 0""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_acctbal < 0 AND c_mktsegment = 'BUILDING'""")
 def append_if_absent(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    return S.append_absent(c.where("c_custkey % 2 = 0").select("c_custkey", "c_name"), c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"])
+    return S.append_absent(c.where("c_acctbal >= 0").select("c_custkey", "c_name"), c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("new").alias("c_name")), ["c_custkey"])
 
 
 @query("""SELECT doc_id, c::INT AS copy FROM labels, (SELECT unnest([1, 2, 3]) AS c) WHERE quality = 0""")

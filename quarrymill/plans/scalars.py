@@ -117,7 +117,24 @@ def inverse_projection(spark, sf_dir):
     one, nil = F.lit(1.0), F.lit(0.0)
     a = 10.0 + F.col("c_custkey") % 7
     px, py = G.unproject([a, nil, F.lit(5.0), nil, one, one, nil, nil, one], F.col("c_acctbal") / 100, F.lit(4.0), (54.5, 36.0))
-    return c.select("c_custkey", F.round(px, 6).alias("px"), py.alias("py"))
+    # a binary tie of the sixth decimal is rounded away from zero as a number, as the SQL does it, and not as decimal digits
+    return c.select("c_custkey", (F.signum(px) * F.floor(F.abs(px) * 1e6 + 0.5) / 1e6).alias("px"), py.alias("py"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, 20.0 + l_linenumber AS a, 0.5 AS b, 640.0 AS c, -0.75 AS d, 18.0 AS e, 360.0 AS f, 0.001 AS g, 0.002 * l_linenumber AS h, 1.0 AS i,
+  CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 1920.0 / (2 * 12.8 * l_quantity) END AS sx, CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 1080.0 / (2 * 7.2 * l_quantity) END AS sy, l_extendedprice % 1280 AS pu, l_tax * 9000 AS pv FROM lineitem),
+p AS (SELECT *, pu * sx AS u, pv * sy AS v FROM c), q AS (SELECT *, (d * h - e * g) * u + (b * g - a * h) * v + (a * e - b * d) AS w FROM p),
+r AS (SELECT *, ((e * i - f * h) * u + (c * h - b * i) * v + (b * f - c * e)) / w AS x, ((f * g - d * i) * u + (a * i - c * g) * v + (c * d - a * f)) / w AS y FROM q)
+SELECT l_orderkey, l_linenumber, CASE WHEN abs(x) <= 54.5 AND abs(y) <= 36 THEN round(x, 4) END AS px, CASE WHEN abs(x) <= 54.5 AND abs(y) <= 36 THEN round(y, 4) END AS py FROM r""")
+def camera_projection(spark, sf_dir):
+    """Image points, scaled into the calibration's pixels, through the inverse of a full homography."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_linenumber")
+    h = [20.0 + k, F.lit(0.5), F.lit(640.0), F.lit(-0.75), F.lit(18.0), F.lit(360.0), F.lit(0.001), 0.002 * k, F.lit(1.0)]
+    known = lambda c: F.when(k != 7, c)
+    sx, sy = G.calibration_scale(known(F.lit(960.0)), known(F.lit(540.0)), 2 * 12.8 * F.col("l_quantity"), 2 * 7.2 * F.col("l_quantity"))
+    px, py = G.unproject(h, F.col("l_extendedprice") % 1280 * sx, F.col("l_tax") * 9000 * sy, (54.5, 36.0))
+    return li.select("l_orderkey", "l_linenumber", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
 @query("""SELECT p_partkey, p_size >= 6 AND p_partkey % 5 >= 2 AND p_retailprice BETWEEN 1000 AND 20000 AS reliable, round(greatest(0, least(1, 0.72 - p_size / 12.0 + (p_partkey % 5) / 12.0)), 6) AS possession,

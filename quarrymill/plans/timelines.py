@@ -51,31 +51,29 @@ def id_switches(spark, sf_dir):
     return Q.id_switches(f, ["user_id"], "frame", "prediction")
 
 
-@query(f"""WITH {_E}, k AS (SELECT * FROM e WHERE event_id % 10 > 0), b AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(frame) OVER w + 1 = frame THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+@query(f"""WITH {_E}, k AS (SELECT * FROM e WHERE event_type <> 'error'), b AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(frame) OVER w + 1 = frame THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
 i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM b)
 SELECT user_id, event_type, min(frame) AS start, max(frame) AS "end", count(*) AS rows FROM i GROUP BY user_id, island, event_type HAVING count(*) >= 2""")
 def islands(spark, sf_dir):
-    return Q.islands(frames(spark, sf_dir).where("event_id % 10 > 0"), ["user_id"], "frame", "event_type", 2)
+    return Q.islands(frames(spark, sf_dir).where("event_type <> 'error'"), ["user_id"], "frame", "event_type", 2)
 
 
-@query(f"""WITH {_E}, k AS (SELECT * FROM e WHERE event_id % 10 > 0), b AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(frame) OVER w + 1 = frame THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+@query(f"""WITH {_E}, k AS (SELECT * FROM e WHERE event_type <> 'error'), b AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(frame) OVER w + 1 = frame THEN 0 ELSE 1 END AS n FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
 i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM b)
 SELECT event_type, count(*) AS runs, round(avg(c), 6) AS confidence, max(d) AS longest FROM (SELECT event_type, avg(value) AS c, greatest(1.6, (max(frame) - min(frame) + 1) / 25.0 + 1.0) AS d FROM i GROUP BY user_id, island, event_type) GROUP BY event_type""")
 def event_rows(spark, sf_dir):
     """Runs of one label as event rows: mean confidence and padded duration, summed up per label."""
-    k = frames(spark, sf_dir).where("event_id % 10 > 0")
-    runs = Q.islands(k, ["user_id"], "frame", "event_type")
-    j = k.join(runs.withColumnRenamed("event_type", "label"), "user_id").where("frame between start and end")
-    per = j.groupBy("user_id", "label", "start", "end").agg(F.avg("value").alias("c"))
+    k = frames(spark, sf_dir).where("event_type <> 'error'")
+    per = Q.islands(k, ["user_id"], "frame", "event_type", 1, F.avg("value").alias("c"))
     length = F.greatest(F.lit(1.6), (F.col("end") - F.col("start") + 1) / 25.0 + 1.0)
-    return per.groupBy(F.col("label").alias("event_type")).agg(F.count("*").alias("runs"), F.round(F.avg("c"), 6).alias("confidence"), F.max(length).alias("longest"))
+    return per.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.avg("c"), 6).alias("confidence"), F.max(length).alias("longest"))
 
 
-@query(f"""WITH {_E}, k AS (SELECT user_id, frame, value, 0.5 + (event_id % 5) / 10 AS c FROM e WHERE frame % 7 NOT IN (3, 4)), n AS (SELECT *, lead(frame) OVER w AS nf, lead(value) OVER w AS nv, lead(c) OVER w AS nc FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+@query(f"""WITH {_E}, k AS (SELECT user_id, frame, value, 0.5 + (event_id % 5) / 10 AS c FROM e WHERE event_type <> 'error'), n AS (SELECT *, lead(frame) OVER w AS nf, lead(value) OVER w AS nv, lead(c) OVER w AS nc FROM k WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
 g AS (SELECT user_id, unnest(range(frame + 1, nf)) AS f, frame, nf, value, nv, c, nc FROM n WHERE nf - frame BETWEEN 2 AND 6)
 SELECT user_id, frame, round(value, 6) AS value, round(c, 6) AS c, 'detected' AS method FROM k UNION ALL SELECT user_id, f, round(value + (f - frame) / (nf - frame) * (nv - value), 6), round(least(c, nc) * 0.65, 6), 'interpolated' FROM g""")
 def gap_fill(spark, sf_dir):
-    k = frames(spark, sf_dir).where("frame % 7 not in (3, 4)").select("user_id", "frame", "value", (0.5 + F.col("event_id") % 5 / 10).alias("c"))
+    k = frames(spark, sf_dir).where("event_type <> 'error'").select("user_id", "frame", "value", (0.5 + F.col("event_id") % 5 / 10).alias("c"))
     return Q.bridge_gaps(k, ["user_id"], "frame", "value", "c").select("user_id", "frame", F.round("value", 6).alias("value"), F.round("c", 6).alias("c"), "method")
 
 
@@ -105,11 +103,13 @@ SELECT user_id, start::BIGINT AS start, arg_max(event_type, (c, -f)) AS label, m
 def sliding_excerpts(spark, sf_dir):
     """Ten-frame windows every four frames, the last one clamped to the end, each with its majority."""
     from ..operators.aggregates import first_seen_majority
+    from ..operators.joins import range_join
 
     f = frames(spark, sf_dir)
     n = f.groupBy("user_id").agg(F.max("frame").alias("n"))
     starts = n.select("user_id", F.explode(Q.excerpt_starts(F.col("n"), 10, 4)).alias("start")).withColumn("start", F.col("start").cast("long"))
-    inside = starts.join(f, "user_id").where("frame > start and frame <= start + 10")
+    windows = starts.select("user_id", "start", (F.col("start") + 1).alias("first"), (F.col("start") + 11).alias("end"))
+    inside = range_join(f, windows, ["user_id"], "frame", "first", "end", 10)
     return first_seen_majority(inside, ["user_id", "start"], "event_type", "frame").select("user_id", "start", F.col("majority").alias("label"), "votes", F.col("total").alias("rows"))
 
 
@@ -125,11 +125,11 @@ def seed_split(spark, sf_dir):
     return Q.seed_split(frames(spark, sf_dir), ["event_type"], "value", "event_id", 25).select("event_id", "split")
 
 
-@query(f"""WITH {_E}, c AS (SELECT user_id, frame AS centre FROM e WHERE frame % 40 = 0), t AS (SELECT user_id, centre, unnest([0, 1, 2, 3, 4]) AS position, unnest([-25, -12, 0, 12, 25]) AS o FROM c)
+@query(f"""WITH {_E}, c AS (SELECT user_id, frame AS centre FROM e WHERE frame % 10 = 0), t AS (SELECT user_id, centre, unnest([0, 1, 2, 3, 4]) AS position, unnest([-25, -12, 0, 12, 25]) AS o FROM c)
 SELECT t.user_id, centre, position::INT AS position, arg_min(e.frame, (abs(e.frame - (centre + o)), e.frame)) AS frame FROM t JOIN e ON e.user_id = t.user_id GROUP BY t.user_id, centre, position""")
 def five_point_windows(spark, sf_dir):
     f = frames(spark, sf_dir)
-    return _five_points(f, f.where("frame % 40 = 0"))
+    return _five_points(f, f.where("frame % 10 = 0"))
 
 
 @query()

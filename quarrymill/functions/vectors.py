@@ -46,3 +46,15 @@ def linear_head(v: Column, mean: list[float], scale: list[float], coef: list[flo
     z = F.zip_with(F.zip_with(v, arr(mean), lambda x, m: x.cast("double") - m), arr(scale), lambda x, s: x / s)
     score = dot(z, arr(coef)) + intercept
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
+
+
+def softmax_head(v: Column, mean: list[float], scale: list[float], coef: list[list[float]], intercept: list[float], classes: list[str], least: float) -> tuple[Column, Column]:
+    """(class, probability) of a standardised linear head over several classes; "unknown" under the threshold, of equal ones the first class."""
+    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    z = F.zip_with(F.zip_with(v, arr(mean), lambda x, m: x.cast("double") - m), arr(scale), lambda x, s: x / s)
+    scores = F.array(*[dot(z, arr(c)) + b for c, b in zip(coef, intercept, strict=True)])
+    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    shares = F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
+    best = F.array_max(shares)
+    at = F.array_position(shares, best).cast("int")
+    return F.when(best >= least, F.element_at(F.array(*[F.lit(c) for c in classes]), at)).otherwise("unknown"), best

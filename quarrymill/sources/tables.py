@@ -49,6 +49,27 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files that may be split over tasks: lines are counted per split, and splits add up in file order."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = text.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return text.join(splits, ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value")
+
+
+def checked_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Line-delimited JSON as file, line, record and problem (with the line's number where it is no object); blank lines are skipped. Files without any other line are an error."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    if not lines.limit(1).count():
+        raise ValueError(f"no lines in {path}")
+    parsed = F.from_json("value", StructType([*schema.fields]).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = lines.withColumn("_r", parsed)
+    bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.trim("value").startswith("{")
+    record = F.struct(*[F.col(f"_r.{f}").alias(f) for f in schema.fieldNames()])
+    return lines.select("file", "line", F.when(~bad, record).alias("record"), F.when(bad, F.format_string("line %d is no JSON object", "line")).alias("problem"))
+
+
 def delimited(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV file with a header; every column is a string, as providers write them."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -85,9 +106,9 @@ def file_digests(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def label_map(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
-    """key, label of a map column; a label outside the list fails the query."""
-    pairs = df.select(F.explode(column).alias("key", "label"))
+def label_map(df: DataFrame, column: str, allowed: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, label of a map column, beside the columns to keep; a label outside the list fails the query."""
+    pairs = df.select(*keep, F.explode(column).alias("key", "label"))
     bad = F.raise_error(F.concat(F.lit("label not allowed: "), F.coalesce("label", F.lit("null"))))
     return pairs.withColumn("label", F.when(F.col("label").isin(allowed), F.col("label")).otherwise(bad))
 

@@ -18,6 +18,10 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 SYSTEM = "system"
 
 
+def _plain(said: Column) -> Column:
+    return F.replace(said, F.lit("<|im_"), F.lit("<| im_"))
+
+
 def _header(role: Column, name: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.when(name.isNull(), F.lit("")).otherwise(F.concat(F.lit(" name="), name)), F.lit(MIDDLE))
 
@@ -34,10 +38,12 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     number (null first), then speaker and text, and repeated rows are turns of their own. System
     turns are no participant's; a conversation without participants gives no row, as does
     an empty table. Rows with a null conv_id form one conversation. Other columns are ignored.
+    Marks of the template in a name or text get a space after their bar, and line ends in a
+    name become spaces, so that no turn can pose as another.
     """
     said = conversations.select(
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-        F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.replace(_plain(F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit("unknown"))), F.lit("\n"), F.lit(" ")).alias("speaker"), _plain(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     ).withColumn("key", F.struct("conv_id"))
     people = said.where(F.col("speaker") != SYSTEM).groupBy("key").agg(F.collect_set("speaker").alias("people"))
     own = F.col("speaker") == F.col("perspective")
@@ -66,7 +72,7 @@ def rotate(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 #: The same in DuckDB.
 ROTATE_SQL = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, replace(replace(coalesce(nullif(role, ''), 'unknown'), '<|im_', '<| im_'), chr(10), ' ') AS speaker, replace(coalesce(text, ''), '<|im_', '<| im_') AS text FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
 ), seen AS (

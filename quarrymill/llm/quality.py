@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     n = known.count()
     if n > rows:  # the hash leaves little more than is wanted, so that no task sorts all labels
-        known = known.where(F.col("place") < int(1.1 * rows / n * (1 << 40))).orderBy("place", "doc_id", "y").limit(rows)
+        known = known.where(F.col("place") < int(min(1.0, (1.1 * rows + 100) / n) * (1 << 40))).orderBy("place", "doc_id", "y").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

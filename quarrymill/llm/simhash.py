@@ -35,6 +35,8 @@ SEED = 42
 BUCKET_ROWS = 8192
 #: A look-up costs about as much as so many verified candidates.
 PROBE_COST = 40.0
+#: The largest longs, so many, stand for fingerprints that no row with an id has.
+NOBODY = 1 << 50
 #: Rows of one group whose shingles are compared in one place; a larger group is cut into blocks of half this size.
 GROUP_ROWS = 1024
 #: Bits of the maps of shingles that rule most unlike pairs out.
@@ -330,12 +332,14 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = SHINGLE) -> DataF
     component_id is the smallest doc_id reachable over links of at most tau bits, the
     document itself included. Null and empty texts have fingerprint zero and are linked
     like any other. Rows with equal doc_id are kept one by one (a row each, linked as
-    documents of that id); a null doc_id keeps its fingerprint's component. Other columns
+    documents of that id). Rows with a null doc_id link others as any row does, but are no
+    component's smallest; where no id is reachable, component_id is null. Other columns
     are ignored. Empty table: no row.
     """
     prints = materialize(with_fingerprint(docs, size), "fingerprints")
     # one row per distinct fingerprint: copies fold before any search
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    nobody = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("fp"), F.lit(NOBODY))  # above all ids: a fingerprint of rows without ids
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("own_id")).select("fp", F.coalesce("own_id", nobody).alias("first_id")), "classes")
     links = near_links(classes.select("fp"), tau)
     a, b = (classes.select(F.col("fp").alias(x), F.col("first_id").alias(f"{x}_first")) for x in "ab")
     # equal ids of different fingerprints are one node already
@@ -344,6 +348,7 @@ def near_duplicates(docs: DataFrame, tau: int = 4, size: int = SHINGLE) -> DataF
     shared = shared.join(repeated, shared.a == repeated.doc_id, "left_semi")
     found = connected_components(links.join(a, "a").join(b, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).union(shared))
     component = classes.join(found, classes.first_id == found.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
+    component = component.select("fp", F.when(F.col("component_id") <= (1 << 63) - 1 - NOBODY, F.col("component_id")).alias("component_id"))
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -217,27 +217,52 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard: memory-mapped without copies where the store is local."""
+    """Random access to a shard: memory-mapped without copies where the store is local.
 
-    def __init__(self, folder: str, shard: int):
+    On another store batches are read as they are asked for, of which the last ``KEPT`` are
+    held; going back beyond them reads the stream from its begin again.
+    """
+
+    KEPT = 16
+
+    def __init__(self, folder: str, shard: int, mapped: bool | None = None):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder)
-        path = f"{root}/{_shard_name(shard)}"
-        local = isinstance(system, fs.LocalFileSystem)
-        self.source = pa.memory_map(path) if local else pa.py_buffer(system.open_input_file(path).readall())
-        self.batches = pa.ipc.open_stream(self.source).read_all().to_batches()
-        self.seq_len = self.batches[0].schema.field("input_ids").type.list_size if self.batches else 1
-        self.per_batch = len(self.batches[0]) * self.seq_len if self.batches else 1
+        self.system, root = fs.FileSystem.from_uri(folder)
+        self.path = f"{root}/{_shard_name(shard)}"
+        self.whole: list[pa.RecordBatch] | None = None
+        self.held: OrderedDict[int, pa.RecordBatch] = OrderedDict()
+        self._begin()
+        if isinstance(self.system, fs.LocalFileSystem) if mapped is None else mapped:
+            self.source = pa.memory_map(self.path)
+            self.whole = pa.ipc.open_stream(self.source).read_all().to_batches()
+        self.seq_len = self.stream.schema.field("input_ids").type.list_size
+        self.per_batch = len(self.batch(0)) * self.seq_len
+
+    def _begin(self) -> None:
+        self.stream, self.next = pa.ipc.open_stream(self.system.open_input_file(self.path)), 0
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        if self.whole is not None:
+            return self.whole[k]
+        if k not in self.held and k < self.next:
+            self._begin()
+        while k not in self.held:
+            self.held[self.next] = self.stream.read_next_batch()
+            self.next += 1
+            if len(self.held) > self.KEPT:
+                self.held.popitem(last=False)
+        self.held.move_to_end(k)
+        return self.held[k]
 
     def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of the k-th sequence, both views of the file's bytes."""
         batch, row = divmod(k * self.seq_len, self.per_batch)
         part = slice(row, row + self.seq_len)
-        return self._ids(batch)[part], self.batches[batch].column("mask").flatten()[part]
+        return self._ids(batch)[part], self.batch(batch).column("mask").flatten()[part]
 
     def _ids(self, batch: int) -> np.ndarray:
-        return self.batches[batch].column("input_ids").flatten().to_numpy(zero_copy_only=True)
+        return self.batch(batch).column("input_ids").flatten().to_numpy(zero_copy_only=True)
 
     def pieces(self, begin: int, length: int) -> Iterator[np.ndarray]:
         """Views of ids begin..begin+length of the shard, without padding."""
@@ -311,6 +336,7 @@ def read_token_files(folder: str, index: DataFrame) -> DataFrame:
                     open_shards[shard] = ShardReader(folder, shard)
                     if len(open_shards) > 4:
                         open_shards.popitem(last=False)
+                open_shards.move_to_end(shard)
                 crc = 0
                 for view in open_shards[shard].pieces(begin, length):
                     crc = zlib.crc32(view.astype("<u4"), crc)
@@ -336,7 +362,12 @@ def with_token_count(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Exact histogram: n_tokens, n_docs; one row per distinct encoded length. It is written out, so texts are encoded once however often it is read."""
+    """Exact histogram: n_tokens, n_docs; one row per distinct encoded length.
+
+    Every row counts as a document: null texts as empty ones, repeated rows and ids each for
+    themselves. Other columns are ignored; an empty table gives no row. The histogram is
+    written out, so texts are encoded once however often it is read.
+    """
     return materialize(with_token_count(docs, tokenizer).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "length-histogram")
 
 

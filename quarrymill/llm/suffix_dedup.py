@@ -42,7 +42,7 @@ FOLD_ROWS = 400_000
 #: Contents of one key in a fold from which on the others are dealt in so many parts.
 FOLD_KEY, FOLD_PARTS = 64, 32
 #: Segment bytes of one suffix array, and of one key or part of a large key.
-BLOCK_BYTES, KEY_BYTES = 2_000_000, 128_000
+BLOCK_BYTES, KEY_BYTES = 2_000_000, 64_000
 #: Bytes of a window that the keys of one round after another leave out, less one; the last is repeated.
 STEPS = (24, 6, 1)
 #: Bytes of a run from which on another begins.

@@ -36,7 +36,7 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, ch
     """Keep the last row per key in a Parquet table, batch by batch; restartable from the checkpoint.
 
     Each batch writes a new version of the table beside the last one, whose number is the
-    batch's, so a repeated batch writes the same version again.
+    batch's, so a repeated batch writes the same version again; older versions are deleted.
     """
     from ..sources.tables import last_wins
 
@@ -46,5 +46,7 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], order: str, ch
         if number > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}").unionByName(batch)
         last_wins(rows, keys, [F.col(order)]).write.mode("overwrite").parquet(f"{path}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
+from . import chat, collocations, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", quality.predicted().alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_perspectives": op8_chat_perspectives,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL}

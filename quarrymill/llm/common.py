@@ -45,6 +45,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes, piece: int = 1 << 20) -> None:
+    """Write a file of the shared folder from the driver."""
+    system, at = _file_system(spark, path)
+    out = system.create(at)
+    try:
+        for k in range(0, len(data), piece):
+            out.write(bytearray(data[k : k + piece]))
+    finally:
+        out.close()
+
+
 _written: list[str] = []
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, weighted_sampling
+from . import chat, collocations, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, url_filter, weighted_sampling
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
@@ -79,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
+    "op12_url_filter": op12_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op12_url_filter": url_filter.URL_SQL}

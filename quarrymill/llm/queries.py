@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, contamination_sql, decontaminate, html_text, packing, quality, simhash, suffix_dedup, tokens, url_filter, weighted_sampling
+from . import chat, collocations, contamination_sql, decontaminate, hard_negatives, html_text, packing, quality, simhash, suffix_dedup, tokens, url_filter, weighted_sampling
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_token_files": op2_token_files,
@@ -84,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_collocations": op11_collocations,
     "op12_url_filter": op12_url_filter,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op12_url_filter": url_filter.URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": contamination_sql.CONTAMINATION_SQL, "op8_chat_perspectives": chat.ROTATE_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL, "op12_url_filter": url_filter.URL_SQL, "op13_hard_negatives": hard_negatives.NEGATIVES_SQL}

@@ -62,6 +62,10 @@ PLACE = set("area bar block bottom box btn button buttons col column container f
 #: Words before and after a junk word that say what an element has, lacks or does at some width, not what it is.
 BEFORE, AFTER = set("has no not with without".split()), set("open closed enabled disabled".split())
 WIDTHS = set("xs sm md lg xl".split())
+#: Words that leave a junk word the whole name of an element inside an article.
+OWN = set("article body content entry global is js main page post primary reader secondary site the user visually".split())
+#: What names a paragraph or list item of an article as none of its text.
+NOTICES = set("cookie cookies notice promo promoted promotion share sharing social sponsor sponsored".split())
 WORDS = re.compile(r"[a-z]+")
 GOOD = re.compile(r"(?:^|[^a-z])(?:article|body|content|entry|main|page|post|story|text)(?:$|[^a-z])")
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
@@ -70,7 +74,8 @@ COMMA = re.compile("[,،、，]")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]+|=)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _TAG_END = re.compile(r"[\s/]*>?")
-_DOCTYPE = re.compile(r"<!doctype[^>\[]*(?:\[[^\]]*\]\s*)?>", re.IGNORECASE)
+_DOCTYPE = re.compile(r"<!doctype[^>\[]*", re.IGNORECASE)
+_SUBSET_END = re.compile(r"\]\s*>")
 _COMMENT_END = re.compile(r"--!?>")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
 #: Divisors of a block's points for its nearest containers, and for all above them.
@@ -88,6 +93,7 @@ class Tree:
         self.places: dict[str, list[int]] = {}  # heights in the stack of the open elements of each name
         self.blocks: list[int] = [0]  # heights of the open blocks
         self.ended_links: set[int] = set()
+        self.bracket = (-1, 0)  # the next "]" of a doctype, and the end of its tag if that follows
         self._read(html)
         self._pop(0)
         self.items.append(~0)
@@ -128,7 +134,14 @@ class Tree:
         if html.startswith("<![CDATA[", at):
             return html.find("]]>", at) + 3 if html.find("]]>", at) >= 0 else n
         doctype = _DOCTYPE.match(html, at)
-        return doctype.end() if doctype else html.find(">", at) + 1 or n
+        if doctype and html.startswith("[", doctype.end()):
+            if self.bracket[0] < doctype.end():  # the next one serves all doctypes before it
+                bracket = html.find("]", doctype.end())
+                end = _SUBSET_END.match(html, bracket) if bracket >= 0 else None
+                self.bracket = (bracket if bracket >= 0 else n, end.end() if end else 0)
+            if self.bracket[1]:
+                return self.bracket[1]
+        return html.find(">", at) + 1 or n
 
     def _attributes(self, html: str, at: int) -> tuple[dict[str, str], int]:
         found: dict[str, str] = {}
@@ -267,6 +280,31 @@ def _names(attrs: dict, strong: set[str], weak: set[str]) -> bool:
     return False
 
 
+def _named_whole(attrs: dict, words: set[str], ids: set[str]) -> bool:
+    """Whether a class is one of ``words``, or an id one of ``ids``, as a whole but for words of place."""
+    for name, known in (("class", words), ("id", ids)):
+        for token in _named({name: attrs.get(name, "")}).split():
+            own = [w for w in WORDS.findall(token) if w not in PLACE and w not in OWN]
+            if own and known.issuperset(own):
+                return True
+    return False
+
+
+def _names_of_article(tag: str, attrs: dict) -> bool:
+    """Whether a class or id makes an element inside an article or main element junk.
+
+    Words of the text become ids of headings, sections and paragraphs, so there only whole
+    names count: none of headings but hidden ones, of running text and sections no ids
+    ("comments" aside), of other elements both.
+    """
+    every = STRONG | WEAK | ADVERTS
+    if tag in HEADING:
+        return _named_whole(attrs, {"hidden"}, set())
+    if tag in PROSE:
+        return _named_whole(attrs, STRONG | ADVERTS | COMMENTS | NOTICES | {"hidden"}, set())
+    return _named_whole(attrs, every, COMMENTS if tag == "section" else every)
+
+
 def _hidden(attrs: dict) -> bool:
     if "hidden" in attrs and attrs["hidden"].lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in JUNK_ROLES:
         return True
@@ -278,7 +316,7 @@ def junk_of(tree: Tree) -> list[bool]:
     """For every element outside other junk: whether it is junk.
 
     Junk are elements that never are main text, hidden ones, forms, page headers and footers,
-    and what a class or id names so. A container that only its name or its being a form makes
+    and what a class or id names so, inside an article only by its whole name. A container that only its name or its being a form makes
     junk stays if it holds most of the page's text outside links and, where the page has an
     article or main element, also one of these; adverts and reader comments never stay.
     """
@@ -310,8 +348,10 @@ def junk_of(tree: Tree) -> list[bool]:
         elif tag in ("body", "main"):
             pass
         elif tag == "article":
-            junk[k] = bool(attrs) and _names(attrs, COMMENTS, set())
-        elif attrs and _names(attrs, STRONG | ADVERTS, WEAK):
+            junk[k] = bool(attrs) and (_named_whole(attrs, COMMENTS, COMMENTS) if held[up] else _names(attrs, COMMENTS, set()))
+        elif attrs and held[up]:
+            junk[k] = _names_of_article(tag, attrs) and (tag not in CONTAINER or _names(attrs, COMMENTS | ADVERTS, set()) or not most(k))
+        elif attrs and _names({"class": attrs.get("class", "")} if tag in HEADING else attrs, STRONG | ADVERTS, WEAK):
             junk[k] = tag not in CONTAINER or _names(attrs, COMMENTS | ADVERTS, set()) or not most(k)
         elif (tag == "header" or attrs and _names(attrs, set(), {"header"})) and not held[up] and not GOOD.search(_named(tree.attrs[up])):
             junk[k] = tag not in CONTAINER or not most(k)

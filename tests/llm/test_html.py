@@ -24,6 +24,31 @@ def plain_article(page):
     return " ".join(x for x in (" ".join(p.split()) for p in parts) if x)
 
 
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_pages_without_an_article_element(spark, data, tag):
+    """The scores find the same text where the article is any container."""
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        assert html_text.main_text(r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == plain_article(r.html)
+
+
+KEPT = [
+    '<h2 id="navigation">{}</h2>', '<h3 id="notice">{}</h3>', '<h2 id="modal">{}</h2>', '<h2 id="newsletter-history">{}</h2>', '<h2 class="related">{}</h2>', '<p id="share">{}</p>', '<p id="warning">{}</p>', '<p class="ad-hoc">{}</p>', '<p class="subscription">{}</p>',
+    '<section id="comments-on-kant"><p>{}</p></section>', '<section id="navigation"><p>{}</p></section>', '<table class="navbar-table"><tr><td>{}</td></tr></table>', '<div class="no-sidebar"><p>{}</p></div>', '<ul id="related-work"><li>{}</li></ul>', '<p class="hidden-xs">{}</p>', '<li class="reply-all">{}</li>',
+]
+LEFT_OUT = [
+    '<div class="ad">{}</div>', '<div class="site-notice"><p>{}</p></div>', '<section id="comments"><p>{}</p></section>', '<ol class="comment-list"><li>{}</li></ol>', '<div class="left-sidebar">{}</div>', '<ul class="share-buttons"><li>{}</li></ul>', '<p class="notice">{}</p>', '<p class="ad">{}</p>',
+    '<div class="newsletter-signup">{}</div>', '<div id="cookieBanner">{}</div>', '<h2 class="visually-hidden">{}</h2>', '<article class="comment"><p>{}</p></article>', '<table class="nav"><tr><td>{}</td></tr></table>', '<nav>{}</nav>', '<aside>{}</aside>', '<footer>{}</footer>',
+]
+
+
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_names_inside_an_article(around):
+    text = "One paragraph of the article, with a comma, that is long enough to be its text."
+    for kept, snippets in ((" A few words. ", KEPT), (" ", LEFT_OUT)):
+        for snippet in snippets:
+            assert html_text.main_text(f"<body><{around}><p>{text}</p>{snippet.format('A few words.')}<p>{text}</p></{around}></body>") == text + kept + text, snippet
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_query_against_brute_force(spark, size):
     d = f"/root/testdata/{size}"
@@ -54,7 +79,7 @@ def test_escaped_text_comes_back(text):
 @pytest.mark.parametrize(
     "page, text",
     [
-        ("<p>a</p><![foo[x]]><p>b</p>", "a b"), ("<p>x</p><!-- y", "x"), ("<p>x</p><!-- a --!><p>z</p>", "x z"), ("<!DOCTYPE [<!ENTITY x>]><p>q</p>", "q"), ("<p>a<!-->b<!--->c</p>", "abc"),
+        ("<p>a</p><![foo[x]]><p>b</p>", "a b"), ("<p>x</p><!-- y", "x"), ("<p>x</p><!-- a --!><p>z</p>", "x z"), ("<!DOCTYPE [<!ENTITY x>]><p>q</p>", "q"), ("<!doctype [a><p>b</p>]<p>c</p>", "b ] c"), ("<!doctype [a]><!doctype [b><p>c</p>", "c"), ("<p>a<!-->b<!--->c</p>", "abc"),
         ("<p title=it's>one</p><p>it's</p>", "one it's"), ("<p class='a>b'>c</p>", "c"), ("a < b, c > d", "a < b, c > d"), ("<p>x</ p></p><p>y</p>", "x y"), ("<p>one<wbr>two</p>", "onetwo"),
         ("<article><ul><li><a>Linked item</a></li><li>Plain item</li></ul></article>", "Linked item Plain item"),
         ("<article><p>Use the <button>Shift</button> key.</p><button>Share</button></article>", "Use the Shift key."),
@@ -81,7 +106,7 @@ def test_work_grows_with_the_page_alone():
     rng = random.Random(0)
     shapes = {
         "siblings": lambda n: "<div><a href=x>link text here</a></div>" * n + "<p>A, b, c text.</p>", "levels": lambda n: "<div>" * n + "<p>deep, text here, long enough to count.</p>", "inline": lambda n: "<b>" * n + "<hr>" * n + "x",
-        "sidebars": lambda n: '<div class="sidebar">' * n + "text, of the page", "quotes": lambda n: '<a b="x>y ' * n, "items": lambda n: "<ul>" + "<li>item, one" * n, "soup": lambda n: "".join(rng.choice(BITS) for _ in range(n)),
+        "sidebars": lambda n: '<div class="sidebar">' * n + "text, of the page", "quotes": lambda n: '<a b="x>y ' * n, "items": lambda n: "<ul>" + "<li>item, one" * n, "doctypes": lambda n: "<!doctype[>" * n, "bracket": lambda n: "<!doctype[>" * n + "]" + " " * n, "soup": lambda n: "".join(rng.choice(BITS) for _ in range(n)),
     }
     for name, shape in shapes.items():
         took = []

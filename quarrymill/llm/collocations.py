@@ -22,7 +22,9 @@ BLOCK = 1 << 16
 #: Words of texts that a task handles at once.
 CHUNK_WORDS = 1 << 20
 #: Words that a task remembers with their hashes.
-MOST_KNOWN = 2_000_000
+MOST_KNOWN = 1_000_000
+#: Phrases whose counts a task adds up over its texts before it hands them on.
+MOST_HELD = 400_000
 #: Every phrase that others consist of is copied so often, so that a frequent one isn't joined in one task.
 SALTS = 16
 
@@ -195,18 +197,42 @@ def phrase_counts(docs: DataFrame, least: int = 100, cells: int | None = None) -
     shared = spark.sparkContext.broadcast(_survivors(docs, least, cells))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words = shared.value, _Words()
+        bits, words, held = shared.value, _Words(), _Held()
         for lang, tokens in _chunks(batches):
             for part, n in _parts(tokens):
                 if len(words.words) > MOST_KNOWN:
                     words.clear()
                 numbers = words.numbers(part)
-                yield from _count_part(lang, numbers, words, bits, n)
+                for counted in _count_part(lang, numbers, words, bits, n):
+                    yield from held.add(counted)
+        yield from held.rows()
 
     found = docs.mapInArrow(count, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
 
 
+class _Held:
+    """Counts of a task, added up by language, size and phrase; handed on beyond MOST_HELD phrases."""
+
+    def __init__(self) -> None:
+        self.counts: dict[tuple[str, int], dict[str, int]] = {}
+
+    def add(self, counted: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Add rows of one language and size."""
+        own = self.counts.setdefault((counted["lang"][0].as_py(), counted["words"][0].as_py()), {})
+        for phrase, n in zip(counted["phrase"].to_pylist(), counted["f"].to_pylist(), strict=True):
+            own[phrase] = own.get(phrase, 0) + n
+        if sum(map(len, self.counts.values())) > MOST_HELD:
+            yield from self.rows()
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for (lang, n), own in self.counts.items():
+            phrases, counts = list(own), list(own.values())
+            for k in range(0, len(phrases), 100_000):
+                yield _rows(lang, phrases[k : k + 100_000], n, counts[k : k + 100_000])
+        self.counts = {}
+
+
 def _count_part(lang: str, numbers: np.ndarray, words: _Words, bits: np.ndarray, own: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that pass, by exact numbers of words; a phrase passes only if its own begin and end of one word less do."""
     hashes = np.array(words.hashes, np.uint64)[numbers]

@@ -140,3 +140,23 @@ def versioned_labels(spark, sf_dir):
 def newest_valid_state(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_totalprice")
     return V.newest_valid(o, "o_custkey", "o_orderdate", F.col("status") == "F", F.col("o_totalprice") > 1000).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT vec_id, len(embedding)::INT AS dims, label FROM embeddings")
+def paired_sink(spark, sf_dir):
+    """Vectors and their sidecar rows, committed as one version and joined again."""
+    root, rows = fresh_folder(spark, "paired"), table(spark, sf_dir, "embeddings")
+    S.write_versions({"tensors": rows.select("vec_id", "embedding"), "sidecar": rows.select("vec_id", "label")}, root)
+    now = S.read_version(spark, root)
+    return now["tensors"].join(now["sidecar"], "vec_id").select("vec_id", F.size("embedding").alias("dims"), "label")
+
+
+@query("SELECT n_name AS id, CASE WHEN n_regionkey <> 2 THEN n_nationkey::BIGINT END AS number, CASE WHEN n_regionkey = 2 THEN 'no JSON object of this kind' END AS reason FROM nation")
+def isolated_files(spark, sf_dir):
+    """One file per nation; those of one region break off inside the object."""
+    path = fresh_folder(spark, "isolated")
+    whole = F.to_json(F.struct(F.col("n_nationkey").alias("number")))
+    cut = F.when(F.col("n_regionkey") == 2, F.substring(whole, 1, 8)).otherwise(whole)
+    table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), cut.alias("value")).write.partitionBy("id").text(path)
+    found = S.isolated_documents(spark, f"{path}/id=*/*.txt", StructType().add("number", "long"))
+    return found.select(F.url_decode(F.url_decode(F.regexp_extract("path", "id=([^/]*)/", 1))).alias("id"), F.col("record.number").alias("number"), "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -126,7 +128,7 @@ def frame_count(probed: Column, duration: Column, rate: Column) -> Column:
 
 
 def write_table(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
-    """Replace a Parquet table; Spark's commit makes it appear whole or not at all."""
+    """Replace a Parquet table. The old one goes first, so a failed job leaves none; ``write_versions`` keeps it."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
@@ -135,6 +137,83 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_versions(parts: dict[str, DataFrame], root: str, same_rows: bool = True) -> str:
+    """Write tables that belong together as one version below ``root``, and make it the current one last.
+
+    Each part is a Parquet table in a new folder of the version. Once all are written, and
+    with ``same_rows`` hold equally many rows, the file CURRENT is replaced by one rename, so
+    readers see all of the old version or all of the new one. A job that dies before leaves
+    the old one as it was; what it wrote stays beside it, and nothing points there. Of
+    writers at one time the last rename counts. Returns the version's name.
+    """
+    if not parts:
+        raise ValueError("no tables to write")
+    spark = next(iter(parts.values())).sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in parts.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    if same_rows:
+        counts = {name: spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}").count() for name, df in parts.items()}
+        if len(set(counts.values())) > 1:
+            raise ValueError(f"parts differ in rows: {counts}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    made, current = fs.Path(f"{root}/{version}/NAME"), fs.Path(f"{root}/CURRENT")
+    out = made.getFileSystem(conf).create(made)
+    try:
+        out.write(bytearray(version.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    options[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(made.getFileSystem(conf).getUri(), conf).rename(made, current, options)
+    return version
+
+
+def read_version(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the current version, by name."""
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = fs.Path(f"{root}/{version}")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return {f.getPath().getName(): spark.read.parquet(f.getPath().toString()) for f in found if f.isDirectory()}
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte below the folders and files that a glob names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in system.globStatus(at) or []:
+        files = system.listFiles(status.getPath(), True)
+        while files.hasNext():
+            file = files.next()
+            if not file.getLen() and not file.getPath().getName().startswith(("_", ".")):
+                found.append(file.getPath().toString())
+    return found
+
+
+def isolated_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """path, record, reason: of every file one JSON object; a file that isn't one is a row with the reason in place of a record.
+
+    Files are parsed in tasks, each by itself, so none ends the run. The reason is "empty
+    file", "not UTF-8" or "no JSON object of this kind" (a field of another type included).
+    Fields that a file lacks are null. A file is one row, 2 GB at most. Spark's readers pass
+    over empty files, so the driver lists those.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.unionByName(spark.createDataFrame([(p, b"") for p in _empty_files(spark, path)], "path string, content binary"))
+    text = F.expr("try_validate_utf8(content)").alias("text")
+    parsed = F.from_json("text", StructType([*schema.fields]).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = files.select("path", F.length("content").alias("bytes"), text).withColumn("_r", parsed)
+    reason = (
+        F.when(F.col("bytes") == 0, "empty file").when(F.col("text").isNull(), "not UTF-8")
+        .when(F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.coalesce(F.col("text").rlike(r"^\s*\{"), F.lit(False)), "no JSON object of this kind")
+    )
+    record = F.struct(*[F.col(f"_r.{f}").alias(f) for f in schema.fieldNames()])
+    return rows.withColumn("reason", reason).select("path", F.when(F.col("reason").isNull(), record).alias("record"), "reason")
+
+
 def vectors_as_json(df: DataFrame, id_col: str, vector: str, digits: int = 7) -> DataFrame:
     """One JSON string per row with the vector rounded, as a search index takes it."""
     return df.select(F.to_json(F.struct(F.col(id_col).alias("id"), F.transform(vector, lambda x: F.round(x.cast("double"), digits)).alias("vector"))).alias("value"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import files, identities, quality_checks, relational, reviews, scalars, search, streams, timelines, vectors  # noqa: F401
+from .plans import files, identities, learning, quality_checks, relational, reviews, scalars, search, streams, timelines, vectors  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds as O
+from ..operators import identity as I
 from ..operators import teams as M
 from ..sources.tables import table
 from .registry import query
@@ -31,3 +33,27 @@ def fixture_teams(spark, sf_dir):
     labelled = M.team_labels(t, centres, "fixture", "embedding", ROLES, LEAST, LEAST_MARGIN)
     out = M.relabel_excess(labelled, "fixture", "vec_id", "detections", "p_outfield", "votes", LEAST, LEAST_MARGIN, STRENGTH)
     return out.select("vec_id", "fixture", "cluster", F.round("margin", 6).alias("margin"), "role", F.round("role_confidence", 6).alias("role_confidence"), "goalkeeper", "label", "relabelled")
+
+
+def statistics(spark, sf_dir):
+    """doc_id, source, quality, toxic and the statistics of a labelled document's text."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    length = F.greatest(F.length(text), F.lit(1))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / length
+    numbers = [
+        F.log(length), F.log(F.size(words) + F.lit(1)), F.try_divide(F.length(F.array_join(words, "")), F.size(words)), F.try_divide(F.size(F.array_distinct(words)), F.size(words)),
+        share("[0-9]"), share("[A-Z]"), share("[^A-Za-z0-9\\s]"), share("\\n"), share("[.!?]"),
+    ]
+    x = F.array(*[F.coalesce(n.cast("double"), F.lit(0.0)) for n in numbers])
+    return d.select("doc_id", "source", "quality", "toxic", x.alias("x"))
+
+
+@query()
+def left_out_report(spark, sf_dir):
+    guesses, skipped = O.leave_one_group_out(statistics(spark, sf_dir), "doc_id", "source", "x", "quality")
+    report = I.fold_report(guesses.withColumn("fold", F.explode(F.array("group", F.lit("all")))), "fold", "actual", "guess", "confidence", 0.8)
+    report = report.select("fold", "rows", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "accepted", "accepted_accuracy")], F.lit(False).alias("skipped"))
+    left = spark.createDataFrame([(g, True) for g in skipped], "fold string, skipped boolean")
+    return report.unionByName(left, allowMissingColumns=True)

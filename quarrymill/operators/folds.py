@@ -10,37 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import keep
-
-CELLS = "fold int, cell long, value double"
-
-
-def _arrow(folds: list, cells: list, values: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(folds), pa.int32()), pa.array(np.concatenate(cells), pa.int64()), pa.array(np.concatenate(values), pa.float64())], names=["fold", "cell", "value"])
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    return x, batch.column("y").to_numpy(zero_copy_only=False), batch.column("g").to_numpy(zero_copy_only=False)
-
-
-def _summed(data: DataFrame, size: int, folds: int, add) -> np.ndarray:
-    """A folds x size matrix to which ``add(matrix, x, y, g)`` added every batch: one matrix a task, added up by cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((folds, size))
-        for batch in batches:
-            if batch.num_rows:
-                add(total, *_columns(batch))
-        for f in np.flatnonzero(total.any(axis=1)):
-            cells = np.flatnonzero(total[f])
-            yield _arrow([np.full(len(cells), f)], [cells], [total[f, cells]])
-
-    out = np.zeros((folds, size))
-    got = data.mapInArrow(run, CELLS).groupBy("fold", "cell").agg(F.sum("value").alias("value")).toPandas()
-    out[got["fold"].to_numpy(), got["cell"].to_numpy()] = got["value"].to_numpy()
-    return out
-
+from .sums import matrix, numbers, task_sums
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -77,12 +47,13 @@ def leave_one_group_out(df: DataFrame, id_col: str, group: str, vector: str, lab
     skipped = [g for i, g in enumerate(groups) if i not in set(trained)]
     code = lambda c, values: F.coalesce(*[F.when(F.col(c) == F.lit(v), i) for i, v in enumerate(values)])
     data = rows.select("id", "group", "actual", "x", code("actual", classes).alias("y"), code("group", groups).alias("g"))
-    numbers = data.select("x", "y", "g")
+    coded = data.select("x", "y", "g")
 
-    def add_moments(total, x, y, g):
-        np.add.at(total, g, np.hstack([x, x * x]))
+    def add_moments(total, batch):
+        x = matrix(batch, "x")
+        np.add.at(total, numbers(batch, "g"), np.hstack([x, x * x]))
 
-    moments = _summed(numbers, 2 * d, n_groups, add_moments)
+    moments = task_sums(coded, n_groups, 2 * d, add_moments)
     moments = moments.sum(axis=0) - moments
     size = rest.sum(axis=1, keepdims=True).clip(1)
     mean = moments[:, :d] / size
@@ -109,7 +80,8 @@ def leave_one_group_out(df: DataFrame, id_col: str, group: str, vector: str, lab
         for _ in range(most_rounds):
             tried = theta + step
 
-            def add(total, x, y, g, block=block, active=active, tried=tried):
+            def add(total, batch, block=block, active=active, tried=tried):
+                x, y, g = matrix(batch, "x"), numbers(batch, "y"), numbers(batch, "g")
                 for k in active:
                     f = block[k]
                     other = g != f
@@ -129,7 +101,7 @@ def leave_one_group_out(df: DataFrame, id_col: str, group: str, vector: str, lab
                             if a != b:
                                 square[b, :, a] += part.T
 
-            sums = _summed(numbers, 1 + width + width * width, len(block), add)
+            sums = task_sums(coded, len(block), 1 + width + width * width, add)
             still = []
             for k in active:
                 new = sums[k, 0] + (ridge * tried[k] ** 2).sum() / 2
@@ -156,7 +128,7 @@ def leave_one_group_out(df: DataFrame, id_col: str, group: str, vector: str, lab
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, _, g = _columns(batch)
+            x, g = matrix(batch, "x"), numbers(batch, "g")
             best, sure = np.zeros(len(x), int), np.full(len(x), np.nan)
             for f in np.unique(g):
                 if f in models:

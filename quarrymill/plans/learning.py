@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosted as B
 from ..operators import folds as O
 from ..operators import identity as I
 from ..operators import teams as M
@@ -57,3 +58,13 @@ def left_out_report(spark, sf_dir):
     report = report.select("fold", "rows", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "accepted", "accepted_accuracy")], F.lit(False).alias("skipped"))
     left = spark.createDataFrame([(g, True) for g in skipped], "fold string, skipped boolean")
     return report.unionByName(left, allowMissingColumns=True)
+
+
+@query()
+def boosted_roles(spark, sf_dir):
+    role = F.when(F.col("quality") == 0, "other").when(F.col("toxic") == 1, "goalkeeper").otherwise("outfield")
+    rows = statistics(spark, sf_dir).withColumn("role", role).withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 0)
+    model = B.fit(rows.where(~F.col("held_out")), "x", "role", rounds=20, rate=0.2, depth=3)
+    guesses = B.predict(model, rows, "doc_id", "x").withColumnRenamed("id", "doc_id")
+    sure = F.round(F.array_max("probabilities"), 6).alias("confidence")
+    return rows.select("doc_id", "held_out", "role").join(guesses, "doc_id").select("doc_id", "held_out", "role", "guess", sure)

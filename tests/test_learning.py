@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrymill import catalog
+from quarrymill.operators import boosted as B
 from quarrymill.operators import folds as O
 from quarrymill.operators import teams as M
 from quarrymill.plans import learning as L
@@ -156,3 +157,70 @@ def test_left_out_report_lists_every_fold(spark, data):
     rows = {r.fold: r for r in catalog.QUERIES["left_out_report"](spark, data).collect()}
     assert rows["all"].rows == sum(r.rows or 0 for f, r in rows.items() if f != "all")
     assert rows["all"].accuracy > 0.5
+
+
+def boost(x, y, n_classes, rounds, rate, depth, most_leaves, l2, least_rows):
+    """Softmax boosting over the values themselves, sets of rows in place of nodes."""
+    n = len(y)
+    w = (n / (n_classes * np.bincount(y)))[y]
+    z = np.zeros((n, n_classes))
+
+    def best_split(rows, g, h):
+        gain = lambda part: g[part].sum() ** 2 / (h[part].sum() + l2)
+        options = []
+        for f in range(x.shape[1]):
+            for v in np.unique(x[rows, f])[:-1]:
+                low, high = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+                if min(len(low), len(high)) >= least_rows:
+                    options.append((round(gain(low) + gain(high) - gain(rows), 9), -f, -v, low, high))
+        best = max(options, key=lambda o: o[:3], default=None)
+        return best if best and best[0] > 1e-8 else None
+
+    for _ in range(rounds):
+        e = np.exp(z - z.max(1, keepdims=True))
+        p = e / e.sum(1, keepdims=True)
+        for k in range(n_classes):
+            g, h = w * (p[:, k] - (y == k)), w * p[:, k] * (1 - p[:, k])
+            level, leaves, step = [np.arange(n)], 1, np.zeros(n)
+            for _ in range(depth):
+                found = [s for rows in level if (s := best_split(rows, g, h))]
+                level = []
+                for _, _, _, low, high in sorted(found, key=lambda o: -o[0]):
+                    if leaves < most_leaves:
+                        leaves += 1
+                        level += [low, high]
+                        for rows in (low, high):
+                            step[rows] = -rate * g[rows].sum() / (h[rows].sum() + l2)
+            z[:, k] += step
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+@pytest.mark.parametrize(("n_classes", "most_leaves"), [(2, 20), (3, 20), (3, 3)])
+def test_boosting_equals_numpy(spark, n_classes, most_leaves):
+    rng = np.random.default_rng(10 + n_classes)
+    y = np.concatenate([np.arange(n_classes), rng.integers(0, n_classes, 150)])
+    x = np.round(rng.normal(size=(len(y), 3)) + y[:, None] * np.array([0.9, -0.6, 0.0]), 1).clip(-2, 3)
+    rows = [(i, [float(v) for v in x[i]], "abc"[y[i]]) for i in range(len(y))] + [(900, None, "a"), (901, [0.0] * 3, None)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, role string").repartition(4)
+    model = B.fit(df, "x", "role", rounds=5, rate=0.3, depth=3, most_leaves=most_leaves, l2=1.0, least_rows=5, bins=400, keep_every=2)
+    want = boost(x, y, n_classes, 5, 0.3, 3, most_leaves, 1.0, 5)
+    got = {r.id: r for r in B.predict(model, df, "id", "x").collect()}
+    assert len(got) == len(rows) and len(model.rounds) == 5
+    for i in range(len(y)):
+        assert got[i].probabilities == pytest.approx(list(want[i]), abs=1e-7)
+        assert got[i].guess == model.classes[int(want[i].argmax())] or want[i].max() < 0.5
+
+
+def test_boosting_of_odd_tables(spark):
+    df = spark.createDataFrame([(i, [float(i), float("nan") if i % 2 else None], "a" if i % 2 else "b") for i in range(60)], "id long, x array<double>, role string")
+    assert {r.guess for r in B.predict(B.fit(df.where("role = 'a'"), "x", "role"), df, "id", "x").collect()} == {"a"}
+    model = B.fit(df, "x", "role", rounds=3)
+    assert all(sum(r.probabilities) == pytest.approx(1) for r in B.predict(model, df, "id", "x").collect())
+    assert {r.guess for r in B.predict(B.fit(df.limit(0), "x", "role"), df, "id", "x").collect()} == {None}
+
+
+def test_boosted_roles_beat_the_commonest_on_held_out_rows(spark, data):
+    rows = catalog.QUERIES["boosted_roles"](spark, data.replace("sf0.001", "sf0.01")).where("held_out and role <> 'goalkeeper'").collect()
+    share = lambda f: np.mean([f(r) for r in rows])
+    assert share(lambda r: (r.guess == "other") == (r.role == "other")) > max(0.9, share(lambda r: r.role == "outfield"))

@@ -135,7 +135,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, bytes]]
     n_bytes = n_words = 0
     for item_id, words in _pieces(benchmark, size):
         text = b" ".join(words)
-        if block and (n_bytes + len(text) > BLOCK_BYTES or n_words + len(words) > BLOCK_WORDS or len(numbers.union(words)) > NUMBERS):
+        if block and (n_bytes + len(text) > BLOCK_BYTES or n_words + len(words) > BLOCK_WORDS or len(numbers) + len(set(words) - numbers) > NUMBERS):
             yield block
             block, numbers, n_bytes, n_words = [], set(), 0, 0
         block.append((item_id, text))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from ..streaming import tracks as K
 from ..streaming import windows as W
 from .registry import query
+from .timelines import _E, frames
 
 
 def _text(df):
@@ -30,3 +32,11 @@ def sliding_windows(spark, sf_dir):
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, s""")
 def session_windows(spark, sf_dir):
     return _text(W.sessions(W.as_instant(table(spark, sf_dir, "events")), "ts", "6 hours", ["user_id"]))
+
+
+@query(f"""WITH {_E}, m AS (SELECT user_id, frame, CASE WHEN event_type <> 'error' THEN event_type END AS label FROM e),
+g AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id, label ORDER BY frame) AS g FROM m), k AS (SELECT *, lag(label) OVER w AS before, lag(frame) OVER w AS f FROM m WHERE label IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY frame))
+SELECT user_id, 'run' AS kind, label, min(frame) AS start, max(frame) AS "end", count(*) AS rows FROM g GROUP BY user_id, label, g UNION ALL SELECT user_id, 'switch', label, f, frame, 1 FROM k WHERE before <> label""")
+def track_runs(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("label", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return K.track_runs(f, ["user_id"], "frame", "label")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import reviews as V
+from ..sources import ledger as L
 from ..sources import tables as S
 from ..sources.scratch import fresh_folder
 from ..sources.tables import table
@@ -160,3 +161,21 @@ def isolated_files(spark, sf_dir):
     table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), cut.alias("value")).write.partitionBy("id").text(path)
     found = S.isolated_documents(spark, f"{path}/id=*/*.txt", StructType().add("number", "long"))
     return found.select(F.url_decode(F.url_decode(F.regexp_extract("path", "id=([^/]*)/", 1))).alias("id"), F.col("record.number").alias("number"), "reason")
+
+
+@query("""WITH u AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT user_id FROM u GROUP BY user_id HAVING sum(n) >= 10), c AS (SELECT 'counts' AS stage, count(*) AS rows FROM u UNION ALL SELECT 'frequent', count(*) FROM f),
+s(run, stage, status) AS (VALUES (1, 'counts', 'written'), (1, 'frequent', 'written'), (2, 'counts', 'current'), (2, 'frequent', 'current'), (3, 'counts', 'current'), (3, 'frequent', 'written')) SELECT run, stage, status, rows FROM s JOIN c USING (stage)""")
+def resumed_stages(spark, sf_dir):
+    """Three calls over the events: everything runs, nothing does, and the stage whose version changed does."""
+
+    def counts(spark, _):
+        return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+    def frequent(spark, rows):
+        return rows.groupBy("user_id").agg(F.sum("n").alias("n")).where("n >= 10")
+
+    root, seen = fresh_folder(spark, "stages"), []
+    for run, version in enumerate(("1", "1", "2"), 1):
+        done = L.run_stages(spark, root, [L.Stage("counts", (f"{sf_dir}/events.parquet",), counts), L.Stage("frequent", ("counts",), frequent, version)])
+        seen += [(run, stage, status, rows.count()) for stage, (status, rows) in done.items()]  # now, as the next call replaces rows
+    return spark.createDataFrame(seen, "run int, stage string, status string, rows long")

@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.numbers import rounded
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def place() -> Column:
+    """Where a row of a Parquet table that was just read stands: its file and its number there, the order in which one reader would see it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def manifest(spark: SparkSession, path: str, keys: list[str], schema: StructType | None = None) -> DataFrame:
     """Records of a JSON document: the list under the first of ``keys`` that is present, or the document itself if it is a list.
 
@@ -216,4 +223,4 @@ def isolated_documents(spark: SparkSession, path: str, schema: StructType) -> Da
 
 def vectors_as_json(df: DataFrame, id_col: str, vector: str, digits: int = 7) -> DataFrame:
     """One JSON string per row with the vector rounded, as a search index takes it."""
-    return df.select(F.to_json(F.struct(F.col(id_col).alias("id"), F.transform(vector, lambda x: F.round(x.cast("double"), digits)).alias("vector"))).alias("value"))
+    return df.select(F.to_json(F.struct(F.col(id_col).alias("id"), F.transform(vector, lambda x: rounded(x, digits)).alias("vector"))).alias("value"))

@@ -122,9 +122,10 @@ def vetoed(classified: DataFrame, others: DataFrame, id_col: str, vector: str, o
     return classified.join(near, id_col, "left").withColumn("veto", F.coalesce(F.col("other_distance") <= F.col("distance"), F.lit(False)))
 
 
-def holder(players: DataFrame, frame: list[str], distance: Column, team: str, player: str) -> DataFrame:
-    """Per frame: the player nearest to the ball, its team and distance, and the nearest opponent's distance."""
+def holder(players: DataFrame, frame: list[str], distance: Column, team: str, player: str, *ties: str) -> DataFrame:
+    """Per frame: the player nearest to the ball, its team and distance, and the nearest opponent's distance. Of equally
+    near rows the smallest player counts, then ``ties`` (a player with two rows may have two teams)."""
     near = players.withColumn("_d", distance)
-    first = near.groupBy(*frame).agg(F.min_by(F.struct(F.col(player).alias("player"), F.col(team).alias("team"), F.col("_d").alias("d")), F.struct("_d", player)).alias("h"))
+    first = near.groupBy(*frame).agg(F.min_by(F.struct(F.col(player).alias("player"), F.col(team).alias("team"), F.col("_d").alias("d")), F.struct("_d", player, *ties)).alias("h"))
     opp = near.join(first, frame).where(F.col(team) != F.col("h.team")).groupBy(*frame).agg(F.min("_d").alias("opponent_distance"))
     return first.select(*frame, F.col("h.player").alias("holder"), F.col("h.team").alias("holder_team"), F.col("h.d").alias("holder_distance")).join(opp, frame, "left")

@@ -20,7 +20,7 @@ def first_rule(rules: list[Rule], default: tuple[str, Column]) -> tuple[Column,
     return label, confidence
 
 
-def shape_patterns(players: DataFrame, frame: list[str], x: str, y: str, ball_x: str, ball_y: str, team: str, player: str) -> DataFrame:
+def shape_patterns(players: DataFrame, frame: list[str], x: str, y: str, ball_x: str, ball_y: str, team: str, player: str, *ties: str) -> DataFrame:
     """One label per frame from the geometry of two teams around the ball.
 
     The nearest player holds the ball; under four players, beyond 7 m or with a possession
@@ -30,7 +30,7 @@ def shape_patterns(players: DataFrame, frame: list[str], x: str, y: str, ball_x:
     """
     distance = F.sqrt(F.pow(F.col(x) - F.col(ball_x), 2) + F.pow(F.col(y) - F.col(ball_y), 2))
     sides = players.groupBy(*frame).agg(F.count("*").alias("n"), F.first(F.abs(F.col(ball_y))).alias("off_centre"))
-    held = holder(players, frame, distance, team, player)
+    held = holder(players, frame, distance, team, player, *ties)
     defence = players.withColumn("_d", distance).join(held, frame).where(F.col(team) != F.col("holder_team"))
     shape = defence.groupBy(*frame).agg(
         *[F.count_if(F.col("_d") <= r).alias(f"within_{r}") for r in (8, 12, 16)], F.count("*").alias("defenders"), F.min("_d").alias("nearest"),

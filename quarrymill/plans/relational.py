@@ -90,9 +90,10 @@ def nearest_player(spark, sf_dir):
     return got.select("frame", F.round("distance", 6).alias("distance"), "nearest")
 
 
-def players(spark, sf_dir):
+def players(spark, sf_dir, *more):
     li = table(spark, sf_dir, "lineitem")
     return li.select(
+        *more,
         F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("player"), F.col("l_linestatus").alias("team"), (F.col("l_quantity") * 2.1 - 52.5).alias("x"), (F.col("l_extendedprice") % 68 - 34).alias("y")
     )
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.numbers import rounded
 from ..operators import graphs as G
 from ..operators import rules as R
-from ..sources.tables import table
+from ..sources.tables import place, table
 from .registry import query
 from .relational import _PL, players
 
@@ -81,14 +82,14 @@ _BALL = f"WITH p AS (SELECT l.*, o_totalprice % 105 - 52.5 AS bx, o_totalprice %
 
 def _with_ball(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_totalprice") % 105 - 52.5).alias("bx"), (F.col("o_totalprice") % 68 - 34).alias("by_"))
-    return players(spark, sf_dir).join(o, "frame")
+    return players(spark, sf_dir, place().alias("place")).join(o, "frame")  # an order may have two lines of one number
 
 
 @query(_BALL + ", q AS (SELECT frame, min(d) AS od FROM d JOIN h USING (frame) WHERE team <> ht GROUP BY frame) SELECT h.frame, holder, ht AS holder_team, round(hd, 6) AS holder_distance, round(od, 6) AS opponent_distance FROM h LEFT JOIN q USING (frame)")
 def ball_holder(spark, sf_dir):
     distance = F.sqrt(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by_"), 2))
-    h = G.holder(_with_ball(spark, sf_dir), ["frame"], distance, "team", "player")
-    return h.select("frame", "holder", "holder_team", F.round("holder_distance", 6).alias("holder_distance"), F.round("opponent_distance", 6).alias("opponent_distance"))
+    h = G.holder(_with_ball(spark, sf_dir), ["frame"], distance, "team", "player", "place")
+    return h.select("frame", "holder", "holder_team", rounded("holder_distance", 6).alias("holder_distance"), rounded("opponent_distance", 6).alias("opponent_distance"))
 
 
 @query(
@@ -102,7 +103,7 @@ r AS (SELECT *, CASE WHEN off >= 24 AND w12 >= 2 THEN 'touchline_trap' WHEN w16
 SELECT frame, CASE WHEN n < 4 OR hd > 7 OR ps < 0.32 THEN 'abstain' ELSE lab END AS label, round(CASE WHEN n < 4 THEN 0 WHEN hd > 7 OR ps < 0.32 THEN ps ELSE cf * ps END, 6) AS confidence FROM r"""
 )
 def shape_rules(spark, sf_dir):
-    s = R.shape_patterns(_with_ball(spark, sf_dir), ["frame"], "x", "y", "bx", "by_", "team", "player")
+    s = R.shape_patterns(_with_ball(spark, sf_dir), ["frame"], "x", "y", "bx", "by_", "team", "player", "place")
     return s.select("frame", "label", F.round("confidence", 6).alias("confidence"))
 
 

@@ -64,9 +64,17 @@ def fold_report(df: DataFrame, fold: str, actual: str, guess: str, confidence: s
     return g.join(recall, fold)
 
 
-def mean_probabilities(df: DataFrame, keys: list[str], probabilities: str) -> DataFrame:
-    """Per key and class the mean probability, with the dominant class of the key (of equal ones the first by name)."""
-    flat = df.select(*keys, F.explode(probabilities).alias("cls", "p")).groupBy(*keys, "cls").agg(F.avg("p").alias("p"))
+def mean_probabilities(df: DataFrame, keys: list[str], probabilities: str, order: str) -> DataFrame:
+    """Per key and class the mean probability, with the dominant class of the key (of equal ones the first by name).
+
+    A key's probabilities are added up in ``order``, so that a mean's last bit doesn't depend on
+    how tasks share the rows; the running sum goes through a sorted partition and holds no key's list.
+    """
+    running = Window.partitionBy(*keys, "cls").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    flat = df.select(*keys, order, F.explode(probabilities).alias("cls", "p"))
+    summed = flat.withColumn("_sum", F.sum("p").over(running)).withColumn("_n", F.count("p").over(running))
+    flat = summed.groupBy(*keys, "cls").agg(F.max_by(F.struct("_sum", "_n"), order).alias("_whole"))
+    flat = flat.select(*keys, "cls", F.try_divide("_whole._sum", "_whole._n").alias("p"))
     best = F.first("cls").over(Window.partitionBy(*keys).orderBy(F.desc("p"), "cls"))
     return flat.withColumn("dominant", best)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import identity as I
 from ..operators import selection as S
 from ..operators import sequences as Q
-from ..sources.tables import last_wins, table
+from ..sources.tables import last_wins, place, table
 from .registry import query
 
 _EVID = """ev AS (SELECT d.doc_id, d.source AS fixture, CASE WHEN d.doc_id % 3 = 0 THEN 'seed' ELSE 'evaluation' END AS split, CASE l.quality WHEN 1 THEN 'team_a' WHEN 0 THEN 'other' END AS reviewed FROM documents d LEFT JOIN labels l USING (doc_id)),
@@ -91,8 +92,8 @@ def fold_report(spark, sf_dir):
 @query("""WITH p AS (SELECT user_id, value / 100 AS a, 1 - value / 100 AS b FROM events), m AS (SELECT user_id, avg(a) AS a, avg(b) AS b FROM p GROUP BY 1), f AS (SELECT user_id, 'a' AS cls, a AS p, a, b FROM m UNION ALL SELECT user_id, 'b', b, a, b FROM m)
 SELECT user_id, cls, round(p, 6) AS p, CASE WHEN a >= b THEN 'a' ELSE 'b' END AS dominant FROM f""")
 def mean_probabilities(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.create_map(F.lit("a"), F.col("value") / 100, F.lit("b"), 1 - F.col("value") / 100).alias("probabilities"))
-    return I.mean_probabilities(e, ["user_id"], "probabilities").withColumn("p", F.round("p", 6))
+    e = table(spark, sf_dir, "events").select("user_id", place().alias("place"), F.create_map(F.lit("a"), F.col("value") / 100, F.lit("b"), 1 - F.col("value") / 100).alias("probabilities"))
+    return I.mean_probabilities(e, ["user_id"], "probabilities", "place").withColumn("p", rounded("p", 6))
 
 
 @query()

@@ -39,3 +39,12 @@ def test_holder_of_two_rows_as_near_is_the_first(spark, tmp_path, first):
     con.execute(f"copy (select 1::bigint as o_orderkey, 78247.0::double as o_totalprice) to '{tmp_path}/orders.parquet'")
     _compare(spark, tmp_path, "ball_holder", "lineitem", "orders")
     _compare(spark, tmp_path, "shape_rules", "lineitem", "orders")
+
+
+def test_mean_probabilities_add_up_in_the_order_of_the_table(spark, tmp_path):
+    rows = "select i as event_id, i % 997 as user_id, ((i * 7919 + i // 997 * 31) % 10000) / 100.0::double as value from range(63808) r(i)"
+    duckdb.execute(f"copy ({rows}) to '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    ours = sorted(tuple(r) for r in catalog.QUERIES["mean_probabilities"](spark, str(tmp_path)).collect())
+    assert ours == sorted(con.execute(catalog.ORACLE_SQL["mean_probabilities"]).fetchall())

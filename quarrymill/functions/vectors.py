@@ -48,13 +48,23 @@ def linear_head(v: Column, mean: list[float], scale: list[float], coef: list[flo
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
 
 
-def softmax_head(v: Column, mean: list[float], scale: list[float], coef: list[list[float]], intercept: list[float], classes: list[str], least: float) -> tuple[Column, Column]:
-    """(class, probability) of a standardised linear head over several classes; "unknown" under the threshold, of equal ones the first class."""
-    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    z = F.zip_with(F.zip_with(v, arr(mean), lambda x, m: x.cast("double") - m), arr(scale), lambda x, s: x / s)
-    scores = F.array(*[dot(z, arr(c)) + b for c, b in zip(coef, intercept, strict=True)])
-    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    shares = F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
-    best = F.array_max(shares)
-    at = F.array_position(shares, best).cast("int")
-    return F.when(best >= least, F.element_at(F.array(*[F.lit(c) for c in classes]), at)).otherwise("unknown"), best
+def softmax_head(v: list[Column], mean: list[float], scale: list[float], coef: list[list[float]], intercept: list[float], classes: list[str], least: float) -> tuple[Column, Column]:
+    """(class, probability) of a standardised linear head over several classes; "unknown" under the threshold, of equal ones the first class.
+
+    Numbers, coefficients and classes are few and known when the query is written, so that all is
+    plain arithmetic on columns, which Spark compiles (functions over arrays it doesn't).
+    """
+    z = [(x.cast("double") - float(m)) / float(s) for x, m, s in zip(v, mean, scale, strict=True)]
+
+    def total(columns: list[Column]) -> Column:
+        out = F.lit(0.0)
+        for c in columns:
+            out = out + c
+        return out
+
+    scores = [total([x * float(w) for x, w in zip(z, c, strict=True)]) + float(b) for c, b in zip(coef, intercept, strict=True)]
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    raised = [F.exp(s - top) for s in scores]
+    best = F.lit(1.0) / total(raised)  # the highest score is raised to exactly 1
+    first = F.coalesce(*[F.when(e >= 1.0, F.lit(c)) for e, c in zip(raised, classes, strict=True)])
+    return F.when(best >= least, first).otherwise("unknown"), best

@@ -104,8 +104,7 @@ def signal_agreement(spark, sf_dir):
 e AS (SELECT *, exp(s1 - greatest(s1, s2, s3)) AS e1, exp(s2 - greatest(s1, s2, s3)) AS e2, exp(s3 - greatest(s1, s2, s3)) AS e3 FROM s)
 SELECT l_orderkey, l_linenumber, CASE WHEN greatest(e1, e2, e3) / (e1 + e2 + e3) < 0.5 THEN 'unknown' WHEN e1 >= e2 AND e1 >= e3 THEN 'x' WHEN e2 >= e3 THEN 'y' ELSE 'z' END AS club, round(greatest(e1, e2, e3) / (e1 + e2 + e3), 6) AS probability FROM e""")
 def softmax_heads(spark, sf_dir):
-    v = F.array("l_quantity", "l_tax")
-    club, p = U.softmax_head(v, [25.0, 0.04], [10.0, 0.02], [[1.0, 0.0], [0.0, 1.0], [-1.0, -1.0]], [0.1, 0.0, 0.0], ["x", "y", "z"], 0.5)
+    club, p = U.softmax_head([F.col("l_quantity"), F.col("l_tax")], [25.0, 0.04], [10.0, 0.02], [[1.0, 0.0], [0.0, 1.0], [-1.0, -1.0]], [0.1, 0.0, 0.0], ["x", "y", "z"], 0.5)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", club.alias("club"), F.round(p, 6).alias("probability"))
 
 

@@ -126,9 +126,23 @@ def seed_split(df: DataFrame, keys: list[str], quality: str, id_col: str, seeds:
     return df.join(chosen, [*keys, id_col], "left").withColumn("split", F.coalesce("split", F.lit("evaluation")))
 
 
-def five_point_windows(centres: DataFrame, keys: list[str], centre: str, offsets: tuple[int, ...] = (-25, -12, 0, 12, 25)) -> DataFrame:
-    """The target frames around each centre: position, target."""
-    return centres.select(*keys, centre, F.posexplode(F.transform(F.array(*[F.lit(o) for o in offsets]), lambda o: F.col(centre) + o)).alias("position", "target"))
+def five_point_windows(df: DataFrame, keys: list[str], frame: str, offsets: tuple[int, ...] = (-25, -12, 0, 12, 25)) -> DataFrame:
+    """Adds nearest: for each offset the key's frame nearest to the row's own plus that offset, of equally near ones the earlier.
+
+    The last frame at or before each target and the first at or after come from growing windows
+    over the rows themselves, forwards and backwards, so no row is repeated before they are known.
+    """
+    w, back = Window.partitionBy(*keys).orderBy(frame), Window.partitionBy(*keys).orderBy(F.col(f"_back{frame}"))
+    start = Window.unboundedPreceding
+    before = [F.max(frame).over(w.rangeBetween(start, o)) for o in offsets]
+    after = [F.min(frame).over(back.rangeBetween(start, -o)) for o in offsets]
+    d = df.withColumn(f"_back{frame}", -F.col(frame)).withColumn("_before", F.array(*before)).withColumn("_after", F.array(*after))
+
+    def nearer(k: int) -> Column:
+        low, high, target = F.col("_before")[k], F.col("_after")[k], F.col(frame) + offsets[k]
+        return F.when(high - target < target - low, high).otherwise(F.coalesce(low, high))
+
+    return d.withColumn("nearest", F.array(*[nearer(k) for k in range(len(offsets))])).drop(f"_back{frame}", "_before", "_after")
 
 
 def step_frames(start: Column, end: Column, step: int) -> Column:
@@ -139,14 +153,16 @@ def step_frames(start: Column, end: Column, step: int) -> Column:
 # -------------------------------------------------------- sequential by nature
 
 
-def whole_keys(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
-    """Run a pandas function on rows sorted by key, on as many whole keys at a time as an Arrow batch holds.
+def whole_keys(df: DataFrame, keys: list[str], f, schema, least_rows: int = 0) -> DataFrame:
+    """Run a pandas function on rows sorted by key, on as many whole keys at a time as an Arrow batch holds, or
+    as make up ``least_rows``.
 
-    A task reads its keys one after another and holds a batch and the key that goes on in the next one.
+    A task reads its keys one after another and holds a batch, or so many rows, and the key that goes on in the next one.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        ready: list[pd.DataFrame] = []
         for part in parts:
             if not len(part):
                 continue
@@ -157,10 +173,13 @@ def whole_keys(df: DataFrame, keys: list[str], f, schema) -> DataFrame:
                 whole = pd.concat([*held, part.iloc[:begin]]) if held else part.iloc[:begin]
                 held = []
                 if len(whole):
-                    yield f(whole)
+                    ready.append(whole)
+                if ready and sum(map(len, ready)) >= least_rows:
+                    yield f(pd.concat(ready) if len(ready) > 1 else ready[0])
+                    ready = []
             held.append(part.iloc[begin:])
         if held:
-            yield f(pd.concat(held))
+            yield f(pd.concat([*ready, *held]))
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
@@ -205,29 +224,52 @@ def best_path(points: DataFrame, keys: list[str], frame: str, x: str, y: str, co
     """
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([frame, x, y], kind="stable").reset_index(drop=True)
-        f, px, py, gain = (g[c].to_numpy(float) for c in (frame, x, y, confidence))
+        """All keys' first frames, then all second ones: a step's pairs of candidate and chain end are one array."""
+        g = g.assign(_key=g.groupby(keys, sort=False, dropna=False).ngroup()).sort_values(["_key", frame, x, y], kind="stable").reset_index(drop=True)
+        key, f, px, py, gain = g["_key"].to_numpy(), *(g[c].to_numpy(float) for c in (frame, x, y, confidence))
         gain = 0.35 + 4.0 * gain
         score, before = gain.copy(), np.full(len(g), -1)
-        ends = np.zeros(0, int)  # chain ends of the last frame with candidates
-        for number in np.unique(f):
-            now = np.flatnonzero(f == number)
-            if len(ends) and number - f[ends[0]] <= gap_limit:
-                far = np.hypot(px[now, None] - px[ends], py[now, None] - py[ends]) / diagonal
-                total = score[ends] + gain[now, None] - 7.0 * far - 0.18 * (number - f[ends] - 1)
-                best = total.argmax(1)
-                better = total[np.arange(len(now)), best] > score[now]
-                before[now[better]] = ends[best[better]]
-                score[now[better]] = total[better, best[better]]
-            ends = now[np.argsort(-score[now], kind="stable")][:beam]
-        chain, at = [], int(score.argmax()) if len(g) else -1
-        while at >= 0:
-            chain.append(at)
+        new_key = np.diff(key, prepend=-1) != 0
+        begin = np.flatnonzero(new_key | (np.diff(f, prepend=np.nan) != 0))  # a cell: the candidates of a key's frame
+        size, owner = np.diff(begin, append=len(g)), key[begin]
+        first_cell = np.flatnonzero(new_key[begin])
+        turn = np.arange(len(begin)) - first_cell[owner]
+        order, bounds = np.argsort(turn, kind="stable"), np.append(0, np.cumsum(np.bincount(turn)))
+        ends, end_at, end_n = np.zeros(0, int), np.zeros(len(first_cell), int), np.zeros(len(first_cell), int)  # chain ends of each key's last frame
+        for step in range(len(bounds) - 1):
+            cells = order[bounds[step] : bounds[step + 1]]
+            cell = np.repeat(np.arange(len(cells)), size[cells])
+            now = np.arange(len(cell)) - np.repeat(np.cumsum(size[cells]) - size[cells], size[cells]) + begin[cells][cell]
+            if step:
+                near = f[begin[cells]] - f[begin[cells - 1]] <= gap_limit
+                fan = np.where(near, end_n[owner[cells]], 0)[cell]
+                pair = np.repeat(np.arange(len(now)), fan)
+                at = np.arange(len(pair)) - (np.cumsum(fan) - fan)[pair] + end_at[owner[cells]][cell][pair]
+                n, e = now[pair], ends[at]
+                far = np.hypot(px[n] - px[e], py[n] - py[e]) / diagonal
+                total = score[e] + gain[n] - 7.0 * far - 0.18 * (f[n] - f[e] - 1)
+                met = np.flatnonzero(fan)
+                if len(met):
+                    best = np.full(len(now), -np.inf)
+                    best[met] = np.maximum.reduceat(total, (np.cumsum(fan) - fan)[met])
+                    hit = np.flatnonzero((total == best[pair]) & (best > score[now])[pair])
+                    hit = hit[np.diff(pair[hit], prepend=-1) != 0]  # of equal chains the first
+                    before[n[hit]], score[n[hit]] = e[hit], total[hit]
+            ranked = np.lexsort((-score[now], cell))
+            kept = np.arange(len(now)) - np.repeat(np.cumsum(size[cells]) - size[cells], size[cells]) < beam
+            ends, end_n[owner[cells]] = now[ranked][kept], np.minimum(size[cells], beam)
+            end_at[owner[cells]] = np.cumsum(end_n[owner[cells]]) - end_n[owner[cells]]
+        top = np.maximum.reduceat(score, begin[first_cell])[key]
+        at = np.flatnonzero((score == top) | np.isnan(score) & np.isnan(top))
+        at, chosen = at[np.diff(key[at], prepend=-1) != 0], np.zeros(len(g), bool)
+        while len(at):
+            chosen[at] = True
             at = before[at]
-        return g.loc[chain[::-1]]
+            at = at[at >= 0]
+        return g.loc[chosen].drop(columns="_key")
 
     chosen = points.select(*keys, frame, x, y, confidence)
-    return per_key(chosen, keys, walk, chosen.schema)
+    return whole_keys(chosen, keys, walk, chosen.schema, 200_000)
 
 
 def spaced_best(df: DataFrame, keys: list[str], frame: str, quality: str, apart: int, most: int) -> DataFrame:

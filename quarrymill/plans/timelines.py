@@ -128,23 +128,18 @@ def seed_split(spark, sf_dir):
 @query(f"""WITH {_E}, c AS (SELECT user_id, frame AS centre FROM e WHERE frame % 10 = 0), t AS (SELECT user_id, centre, unnest([0, 1, 2, 3, 4]) AS position, unnest([-25, -12, 0, 12, 25]) AS o FROM c)
 SELECT t.user_id, centre, position::INT AS position, arg_min(e.frame, (abs(e.frame - (centre + o)), e.frame)) AS frame FROM t JOIN e ON e.user_id = t.user_id GROUP BY t.user_id, centre, position""")
 def five_point_windows(spark, sf_dir):
-    f = frames(spark, sf_dir)
-    return _five_points(f, f.where("frame % 10 = 0"))
+    return _five_points(frames(spark, sf_dir)).where("centre % 10 = 0")
 
 
 @query()
 def five_point_windows_all(spark, sf_dir):
     """``five_point_windows`` around every frame."""
-    f = frames(spark, sf_dir)
-    return _five_points(f, f)
-
+    return _five_points(frames(spark, sf_dir))
 
-def _five_points(f, centres):
-    from ..operators.joins import nearest
 
-    w = Q.five_point_windows(centres.select("user_id", F.col("frame").alias("centre")), ["user_id"], "centre")
-    near = nearest(w, f.select("user_id", F.col("frame").alias("rf"), F.col("frame").alias("value")), ["user_id"], "target", "rf", "value")
-    return near.select("user_id", "centre", "position", F.col("nearest_value").alias("frame"))
+def _five_points(f):
+    near = Q.five_point_windows(f.select("user_id", "frame"), ["user_id"], "frame")
+    return near.select("user_id", F.col("frame").alias("centre"), F.posexplode("nearest").alias("position", "frame"))
 
 
 @query("""SELECT o_orderkey, list_distinct(list_append(range(0, (o_orderkey % 90)::BIGINT + 1, 7), (o_orderkey % 90)::BIGINT)).list_sort() AS frames FROM orders""")

@@ -8,6 +8,7 @@ from ..functions.numbers import rounded
 from ..operators import identity as I
 from ..operators import selection as S
 from ..operators import sequences as Q
+from ..operators.teams import running_before
 from ..sources.tables import last_wins, place, table
 from .registry import query
 
@@ -119,11 +120,9 @@ def longest_phases(spark, sf_dir):
 @query("""SELECT l_returnflag, l_orderkey, row_number() OVER (PARTITION BY l_returnflag ORDER BY a DESC, t DESC, n DESC, l_orderkey)::INT AS place FROM (SELECT l_returnflag, l_orderkey, bool_or(l_linestatus = 'F') AS a, bool_or(l_tax > 0.04) AS t, count(*) AS n FROM lineitem GROUP BY ALL)""")
 def ordered_chains(spark, sf_dir):
     """Chains by several criteria, falling, with the original order last."""
-    from pyspark.sql import Window
-
     g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_orderkey").agg(F.bool_or(F.col("l_linestatus") == "F").alias("a"), F.bool_or(F.col("l_tax") > 0.04).alias("t"), F.count("*").alias("n"))
-    w = Window.partitionBy("l_returnflag").orderBy(F.desc("a"), F.desc("t"), F.desc("n"), "l_orderkey")
-    return g.select("l_returnflag", "l_orderkey", F.row_number().over(w).alias("place"))
+    g = running_before(g.withColumn("one", F.lit(1)), ["l_returnflag"], [F.desc("a"), F.desc("t"), F.desc("n"), F.asc("l_orderkey")], "one", "before")
+    return g.select("l_returnflag", "l_orderkey", (F.col("before") + 1).cast("int").alias("place"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS v, 1 AS shard FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 2 FROM orders WHERE o_orderkey % 2 = 1) SELECT k, arg_max(v, (shard, v)) AS v FROM s GROUP BY k""")

@@ -245,3 +245,9 @@ def test_boosted_roles_beat_the_commonest_on_held_out_rows(spark, data):
     rows = catalog.QUERIES["boosted_roles"](spark, data.replace("sf0.001", "sf0.01")).where("held_out and role <> 'goalkeeper'").collect()
     share = lambda f: np.mean([f(r) for r in rows])
     assert share(lambda r: (r.guess == "other") == (r.role == "other")) > max(0.9, share(lambda r: r.role == "outfield"))
+
+
+def test_statistics_read_texts_once(spark, data):
+    """A fit reads its rows many times; these are numbers in a kept table, not expressions over texts."""
+    files = L.statistics(spark, data).inputFiles()
+    assert files and not any("documents" in f for f in files)

@@ -15,11 +15,12 @@ class _Words:
     """Eight bytes from any position on, as a big-endian number; past the end there are zeros."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-        self.windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        self.words = np.concatenate([text, np.zeros(depth + 8, np.uint8)]).astype(np.uint64)
+        for have in (1, 2, 4):
+            self.words[:-have] = (self.words[:-have] << np.uint64(8 * have)) | self.words[have:]
 
     def at(self, positions: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(self.windows[positions]).view(">u8").ravel().astype(np.uint64)
+        return self.words[positions]
 
 
 def rising(text: np.ndarray) -> np.ndarray:
@@ -30,26 +31,39 @@ def rising(text: np.ndarray) -> np.ndarray:
     return np.repeat(up, np.diff(ends, prepend=-1))
 
 
+def _by_group(group: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """An order by group, which is below 2^31, and key."""
+    order = np.argsort(keys)
+    ranks = np.empty(len(keys), np.int64)
+    ordered = keys[order]
+    ranks[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return np.argsort(group << 32 | ranks)
+
+
 def _sort_directly(words: _Words, positions: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, eight bytes at a time and only among ties."""
+    """Positions in the order of their suffixes, eight bytes at a time and only among ties whose next eight bytes differ."""
     keys = words.at(positions)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     positions, keys = positions[order], keys[order]
-    slots = np.arange(len(positions))
-    group = np.zeros(len(positions), np.int64)
+    slots, here = np.arange(len(positions)), positions
+    new = np.zeros(len(positions), bool)  # where a group of ties begins
+    new[:1] = True
     for done in range(8, depth + 8, 8):
-        new = np.ones(len(slots), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
+        new[1:] |= keys[1:] != keys[:-1]
         tied = ~new
         tied[:-1] |= ~new[1:]
         if done >= depth or not tied.any():
             break
-        slots, group = slots[tied], group[tied]
-        keys = words.at(positions[slots] + done)
-        order = np.lexsort((keys, group))
-        positions[slots] = positions[slots][order]
-        keys = keys[order]
+        slots, here, new = slots[tied], here[tied], new[tied]
+        keys = words.at(here + done)
+        group = np.cumsum(new) - 1
+        differ = np.zeros(int(group[-1]) + 1, bool)
+        differ[group[1:][~new[1:] & (keys[1:] != keys[:-1])]] = True
+        some = np.flatnonzero(differ[group])
+        if len(some):
+            order = some[_by_group(group[some], keys[some])]
+            here[some], keys[some] = here[order], keys[order]
+            positions[slots[some]] = here[some]
     return positions
 
 
@@ -100,7 +114,7 @@ def shares_prefix(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray
     """For each place of the suffix array but the first, whether ``width`` bytes are shared with the place before."""
     words = _Words(text, width)
     at = np.arange(1, len(order))
-    for start in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+    for start in [*([width - 8] if width % 8 else []), *range(0, width - 7, 8)]:
         at = at[words.at(order[at] + start) == words.at(order[at - 1] + start)]
     out = np.zeros(max(len(order) - 1, 0), bool)
     out[at - 1] = True
@@ -110,11 +124,11 @@ def shares_prefix(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray
 def later_windows(text: np.ndarray, valid: np.ndarray, width: int, place: np.ndarray | None = None) -> np.ndarray:
     """Valid window starts whose ``width`` bytes also start at a valid position of a smaller place (by default, the position itself)."""
     order = suffix_array(text, width)
-    linked = shares_prefix(text, order, width)
-    starts = np.flatnonzero(np.concatenate([[True], ~linked]))
-    own = order if place is None else place[order]
-    places = np.where(valid[order], own, np.iinfo(np.int64).max)
-    least = np.repeat(np.minimum.reduceat(places, starts), np.diff(np.append(starts, len(order))))
+    order = order[valid[order]]
     out = np.zeros(len(text), bool)
-    out[order] = valid[order] & (own > least)
+    if len(order):
+        starts = np.flatnonzero(np.append(True, ~shares_prefix(text, order, width)))
+        own = order if place is None else place[order]
+        least = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(order))))
+        out[order] = own > least
     return out

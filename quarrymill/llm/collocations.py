@@ -23,6 +23,8 @@ BLOCK = 1 << 16
 CHUNK_WORDS = 1 << 20
 #: Words that a task remembers with their hashes.
 MOST_KNOWN = 1_000_000
+#: Tasks of a pass over the texts, for every core. As each hands on a sketch and a count of nearly every phrase, they don't grow with the texts.
+TASKS_PER_CORE = 2
 #: Phrases whose counts a task adds up over its texts before it hands them on.
 MOST_HELD = 400_000
 #: Every phrase that others consist of is copied so often, so that a frequent one isn't joined in one task.
@@ -188,12 +190,15 @@ def phrase_counts(docs: DataFrame, least: int = 100, cells: int | None = None) -
     overestimates, no frequent phrase is missed; what passes without being frequent is
     dropped by its exact count. ``cells`` per row of the sketch follow the size of the texts
     up to MOST_CELLS; beyond that more phrases pass and are counted, with equal results.
+    A task reads as many parts of the table as TASKS_PER_CORE asks for, so that the counts
+    to be added up grow with the phrases, not with phrases times parts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang"), F.lit(NO_LANG)).alias("lang"), text_or_empty().alias("text"))
     if cells is None:
         size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         cells = min(MOST_CELLS, max(1 << 12, 1 << (max(1, size // BYTES_PER_CELL) - 1).bit_length()))
+    docs = docs.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     shared = spark.sparkContext.broadcast(_survivors(docs, least, cells))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

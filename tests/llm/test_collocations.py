@@ -79,6 +79,21 @@ def test_sketches_only_overestimate():
     assert C._among(names, bits)[n >= 100].all() and not C._among(names, np.packbits(merged > 100, axis=1)).any()
 
 
+def test_counts_do_not_grow_with_the_parts_of_a_table(spark, monkeypatch):
+    """A phrase comes from a number of tasks that the cores fix, not from every part of the table."""
+    rows = [("en", "One two three, two three.")] * 64
+    df = spark.sparkContext.parallelize(rows, 64).toDF("lang string, text string")
+    frame, handed = type(df), []
+    plain = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *by: handed.append(self) or plain(self, *by))
+    got = {(r.phrase, r.words): r.f for r in C.phrase_counts(df, least=2).collect()}
+    assert got == {("", 0): 320, ("one", 1): 64, ("two", 1): 128, ("three", 1): 128, ("one two", 2): 64, ("two three", 2): 128, ("one two three", 3): 64}
+    most = C.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert df.rdd.getNumPartitions() == 64 > most
+    counts = next(x for x in handed if x.columns == ["lang", "phrase", "words", "f"])
+    assert counts.count() <= most * len(got)
+
+
 def test_scores_beyond_64_bits(spark):
     big = 9_000_000_000_000
     counts = spark.createDataFrame([("en", "a b", 2, big), ("en", "a", 1, big), ("en", "b", 1, big + 7), ("en", "", 0, 10 * big)], "lang string, phrase string, words int, f long")

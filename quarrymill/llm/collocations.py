@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,10 @@ DEPTH, MOST_CELLS = 2, 1 << 25
 BYTES_PER_CELL = 16
 #: Cells that travel as one row of the merge.
 BLOCK = 1 << 16
-#: Words of texts that a task handles at once.
-CHUNK_WORDS = 1 << 20
+#: Words of texts that a task handles at once; a text is split into words by slices of so many bytes.
+CHUNK_WORDS, SLICE = 1 << 19, 1 << 20
 #: Words that a task remembers with their hashes.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 300_000
 #: Tasks of a pass over the texts, for every core. As each hands on a sketch and a count of nearly every phrase, they don't grow with the texts.
 TASKS_PER_CORE = 2
 #: Phrases whose counts a task adds up over its texts before it hands them on.
@@ -34,6 +36,7 @@ _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_LOWER[0] + _BREAKS + b"\t", _LOWER[1] + b"." * len(_BREAKS) + b" ")
 _END = b"."
+_GAP = re.compile(b"[ \t" + re.escape(_BREAKS) + b"]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIXERS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 
@@ -52,7 +55,7 @@ class _Words:
     def clear(self) -> None:
         self.number: dict[bytes, int] = {_END: 0}
         self.words: list[bytes] = [_END]
-        self.hashes: list[int] = [0]
+        self.hashes = array("Q", [0])
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         import xxhash
@@ -62,27 +65,51 @@ class _Words:
             known[word] = len(self.words)
             self.words.append(word)
             self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
+    def hashed(self, numbers: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.hashes, np.uint64)[numbers]
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Tokens of many texts of one language (columns lang, text) at once."""
-    waiting: dict[str, list[bytes]] = {}
+
+def _slices(text: bytes) -> Iterator[bytes]:
+    """A text in slices of about SLICE bytes that begin and end between words."""
+    at = 0
+    while len(text) - at > SLICE and (gap := _GAP.search(text, at + SLICE)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], words: _Words) -> Iterator[tuple[str, np.ndarray]]:
+    """Numbers of the words of many texts of one language (columns lang, text) at once.
+
+    Only numbers wait, four bytes each, not the words. When there are too many words to
+    remember, all that waits is handed on first, as its numbers mean nothing afterwards.
+    """
+    waiting: dict[str, array] = {}
+    waits = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held = waiting.setdefault(lang, [])
-            held += tokens_of(text.as_buffer().to_pybytes())
-            held.append(_END)
+            held = waiting.setdefault(lang, array("i"))
+            waits -= len(held)
+            for some in _slices(text.as_buffer().to_pybytes()):
+                held.frombytes(words.numbers(tokens_of(some)).tobytes())
+            held.append(0)
             if len(held) >= CHUNK_WORDS:
-                yield lang, waiting.pop(lang)
-        if sum(map(len, waiting.values())) >= 2 * CHUNK_WORDS:
-            yield from waiting.items()
-            waiting = {}
-    yield from waiting.items()
-
-
-def _parts(tokens: list[bytes]) -> Iterator[tuple[list[bytes], int]]:
-    """A long list in parts with the words that follow each, and how many of a part are its own."""
+                yield lang, np.frombuffer(waiting.pop(lang), np.int32)
+            else:
+                waits += len(held)
+            full = len(words.words) > MOST_KNOWN
+            if full or waits >= 2 * CHUNK_WORDS:
+                yield from ((k, np.frombuffer(v, np.int32)) for k, v in waiting.items())
+                waiting, waits = {}, 0
+            if full:
+                words.clear()
+    yield from ((k, np.frombuffer(v, np.int32)) for k, v in waiting.items())
+
+
+def _parts(tokens: list[bytes] | np.ndarray) -> Iterator[tuple[list[bytes] | np.ndarray, int]]:
+    """A long list of words or their numbers in parts with the words that follow each, and how many of a part are its own."""
     for at in range(0, len(tokens), CHUNK_WORDS):
         part = tokens[at : at + CHUNK_WORDS + MOST_WORDS - 1]
         yield part, min(CHUNK_WORDS, len(tokens) - at)
@@ -144,13 +171,9 @@ def _survivors(docs: DataFrame, least: int, cells: int) -> np.ndarray:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, words = Sketch(cells, least), _Words()
-        for lang, tokens in _chunks(batches):
-            for part, n in _parts(tokens):
-                if len(words.words) > MOST_KNOWN:
-                    words.clear()
-                numbers = words.numbers(part)
-                hashes = np.array(words.hashes, np.uint64)[numbers]
-                for key, good in _phrase_keys(numbers, hashes, lang, n):
+        for lang, whole in _chunks(batches, words):
+            for numbers, n in _parts(whole):
+                for key, good in _phrase_keys(numbers, words.hashed(numbers), lang, n):
                     own.add(key[good])
         for block, data in own.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "cells"])
@@ -203,11 +226,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, cells: int | None = None) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words, held = shared.value, _Words(), _Held()
-        for lang, tokens in _chunks(batches):
-            for part, n in _parts(tokens):
-                if len(words.words) > MOST_KNOWN:
-                    words.clear()
-                numbers = words.numbers(part)
+        for lang, whole in _chunks(batches, words):
+            for numbers, n in _parts(whole):
                 for counted in _count_part(lang, numbers, words, bits, n):
                     yield from held.add(counted)
         yield from held.rows()
@@ -240,7 +260,7 @@ class _Held:
 
 def _count_part(lang: str, numbers: np.ndarray, words: _Words, bits: np.ndarray, own: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that pass, by exact numbers of words; a phrase passes only if its own begin and end of one word less do."""
-    hashes = np.array(words.hashes, np.uint64)[numbers]
+    hashes = words.hashed(numbers)
     yield _rows(lang, [""], 0, [int((numbers[:own] > 0).sum())])
     code, alive, spelled = numbers, np.zeros(0, bool), []
     for n, (key, good) in enumerate(_phrase_keys(numbers, hashes, lang, len(numbers)), 1):
@@ -250,7 +270,7 @@ def _count_part(lang: str, numbers: np.ndarray, words: _Words, bits: np.ndarray,
         at = at[_among(key[at], bits)]
         if not len(at):
             return
-        pair = code[at] if n == 1 else code[at] << 32 | numbers[at + n - 1]
+        pair = code[at] if n == 1 else code[at].astype(np.int64) << 32 | numbers[at + n - 1]
         names, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
         heads = code[at[first]]
         tails = [words.words[k] for k in numbers[at[first] + n - 1].tolist()]
@@ -260,7 +280,7 @@ def _count_part(lang: str, numbers: np.ndarray, words: _Words, bits: np.ndarray,
         for k in range(0, len(seen), 100_000):
             some = seen[k : k + 100_000]
             yield _rows(lang, [spelled[x].decode() for x in some.tolist()], n, counts[some])
-        code, alive = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), bool)
+        code, alive = np.zeros(len(numbers), np.int32), np.zeros(len(numbers), bool)
         code[at], alive[at] = inverse, True
 
 

@@ -1,9 +1,12 @@
 """Phrase mining against a plain count of every phrase."""
 
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrymill.llm import collocations as C
@@ -65,6 +68,45 @@ def test_parts_of_a_text_share_their_edges(spark, monkeypatch):
     assert set(mined(df, least=2)) == brute(rows, 2, 2000)
 
 
+def test_tasks_hold_numbers_of_words_not_words(spark, monkeypatch):
+    """Both passes over a million words, 200,000 of them different, in texts of two languages."""
+    df, passes = spark.createDataFrame([("en", "a b")], "lang string, text string"), []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a: passes.append(f) or plain(self, f, *a))
+    C.phrase_counts(df, cells=4096)
+    sketch, _, count = passes
+
+    def batches():
+        rng = random.Random(1)
+        for _ in range(20):
+            texts = [" ".join(f"{rng.randrange(200_000):09x}" for _ in range(500)) for _ in range(100)]
+            yield pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 50), pa.array(texts)], names=["lang", "text"])
+
+    for one in (sketch, count):
+        tracemalloc.start()
+        for _ in one(batches()):
+            pass
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert most < 90
+
+
+def test_long_texts_and_forgotten_words(spark, monkeypatch):
+    monkeypatch.setattr(C, "SLICE", 5)
+    monkeypatch.setattr(C, "MOST_KNOWN", 3)
+    text = "One two\tthree, four five.six seven!eight \xe9\xa0\xe9 nine\nten averylongwordindeed eleven "
+    assert b"".join(C._slices(text.encode())) == text.encode() and len(list(C._slices(text.encode()))) > 9
+    assert [t for s in C._slices(text.encode()) for t in C.tokens_of(s)] == C.tokens_of(text.encode())
+    rows = [("en", text * 3), ("de", "one two three"), (None, text), ("en", "four five"), ("de", text)] * 2
+    words, counts = C._Words(), Counter()
+    batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" for lang, _ in rows]), pa.array([t for _, t in rows])], names=["lang", "text"])
+    for lang, numbers in C._chunks(iter([batch]), words):
+        counts.update((lang, words.words[k]) for k in numbers.tolist() if k)
+    assert counts == Counter((lang or "und", t) for lang, x in rows for t in C.tokens_of(x.encode()) if t != b".")
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert set(mined(df, least=2)) == brute(rows, 2, 2000)
+
+
 def test_sketches_only_overestimate():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, 500).astype(np.uint64)[rng.zipf(1.3, 20_000) % 500]
